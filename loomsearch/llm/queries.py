@@ -6,19 +6,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash_forest
+from . import kk_sharding, packing, sentence_spans, simhash_forest, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_kk_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kk_sharding.sharded(table(spark, sf_dir, "documents"))
+
+
+def op6_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.changed(table(spark, sf_dir, "documents"))
+
+
+def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_simhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_forest.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_kk_sharding": op1_kk_sharding,
+    "op6_sentence_spans": op6_sentence_spans,
+    "op8_winnowing": op8_winnowing,
     "op9_simhash_forest": op9_simhash_forest,
+    "op10_residual_packing": op10_residual_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_sentence_spans": sentence_spans.SQL,
+    "op8_winnowing": winnowing.SQL,
+}
