@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kk_sharding, packing, sentence_spans, simhash_forest, winnowing
+from . import kk_sharding, packing, sentence_spans, simhash_forest, toxicity, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op6_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.changed(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rejected(table(spark, sf_dir, "documents"))
+
+
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -36,6 +40,7 @@ def op10_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kk_sharding": op1_kk_sharding,
     "op6_sentence_spans": op6_sentence_spans,
+    "op7_toxicity": op7_toxicity,
     "op8_winnowing": op8_winnowing,
     "op9_simhash_forest": op9_simhash_forest,
     "op10_residual_packing": op10_residual_packing,
@@ -43,5 +48,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op6_sentence_spans": sentence_spans.SQL,
+    "op7_toxicity": toxicity.SQL,
     "op8_winnowing": winnowing.SQL,
 }
