@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kk_sharding, packing, sentence_spans, simhash_forest, toxicity, winnowing
+from . import bloom_lm, kk_sharding, line_crf, packing, sentence_spans, simhash_forest, toxicity, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,14 @@ def op1_kk_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kk_sharding.sharded(table(spark, sf_dir, "documents"))
 
 
+def op2_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.scored(table(spark, sf_dir, "documents"))
+
+
+def op5_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.retained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.changed(table(spark, sf_dir, "documents"))
 
@@ -39,6 +47,8 @@ def op10_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kk_sharding": op1_kk_sharding,
+    "op2_bloom_lm": op2_bloom_lm,
+    "op5_line_crf": op5_line_crf,
     "op6_sentence_spans": op6_sentence_spans,
     "op7_toxicity": op7_toxicity,
     "op8_winnowing": op8_winnowing,
