@@ -1,24 +1,50 @@
-"""The corpus pipeline: each stage works on all that the one before it kept."""
+"""The corpus pipeline: toxic documents go, then near copies, then documents that leak the
+benchmark; personal data is masked in what is left, which is packed into training bins.
+
+Each stage works on all that the one before it kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomsearch.llm import simhash_forest
+from loomsearch.llm import packing, pii_tagger, simhash_forest, toxicity, winnowing
+from loomsearch.session import cut
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity lexicon rejects go."""
+    return toxicity.detoxified(docs)
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
     return simhash_forest.deduplicated(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share 13 words in a row with a benchmark item go."""
+    return winnowing.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mask_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to the name of its kind; every document stays."""
+    return pii_tagger.redacted(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bins of 2048 tokens with the pieces of documents in them."""
+    return packing.packed(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_copies), ("decontamination", drop_leaks), ("pii", mask_personal), ("packing", pack)]
 
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage for documents; each stage's result is written once to the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

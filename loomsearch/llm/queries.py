@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloom_lm, kk_sharding, line_crf, packing, sentence_spans, simhash_forest, toxicity, url_filter, winnowing
+from . import bloom_lm, kk_sharding, line_crf, packing, pii_tagger, sentence_spans, simhash_forest, toxicity, url_filter, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_lm.scored(table(spark, sf_dir, "documents"))
 
 
+def op3_pii_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_tagger.tagged(table(spark, sf_dir, "documents"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filtered(table(spark, sf_dir, "pages"))
 
@@ -52,6 +56,7 @@ def op10_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kk_sharding": op1_kk_sharding,
     "op2_bloom_lm": op2_bloom_lm,
+    "op3_pii_tagger": op3_pii_tagger,
     "op4_url_filter": op4_url_filter,
     "op5_line_crf": op5_line_crf,
     "op6_sentence_spans": op6_sentence_spans,

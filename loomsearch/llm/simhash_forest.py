@@ -266,12 +266,13 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     order = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id"), F.col("th"))
     best = rows.groupBy("label").agg(F.min(order).alias("best"))
     marks = rows.join(best, "label").groupBy("doc_id", "th").agg(F.first(order == F.col("best")).alias("kept"), F.count(F.lit(1)).alias("n"))
-    marks = cut(marks.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "kept", "n").where("not kept or n > 1"))
-    key = fresh("__row", docs)
+    key, d, t = fresh("__row", docs), fresh("__id", docs), fresh("__hash", docs)
+    marks = cut(marks.where("not kept or n > 1").select(F.col("doc_id").alias(d), F.col("th").alias(t), F.col("kept").alias(fresh("__kept", docs))))
+    kept = marks.columns[2]
     keyed = docs.withColumn(key, F.struct(F.col(id_col).cast("long").alias("d"), F.xxhash64(text_col).alias("t")))
-    same = keyed[key]["d"].eqNullSafe(F.col("__d")) & (keyed[key]["t"] == F.col("__t"))
+    same = keyed[key]["d"].eqNullSafe(F.col(d)) & (keyed[key]["t"] == F.col(t))
     rest = keyed.join(hinted(marks), same, "left_anti")
-    again = marks.where("kept")
+    again = marks.where(F.col(kept))
     if again.isEmpty():
         return rest.drop(key)
     once = keyed.join(hinted(again), same, "left_semi").dropDuplicates([key])
