@@ -172,7 +172,7 @@ class Database:
         return self.spark.read.parquet(self._file("data", name, m.version)) if m.version else self.spark.createDataFrame([], DOCS)
 
     def _frame(self, docs: Sequence[Mapping[str, Any]]) -> DataFrame:
-        rows = [(d.get("id"), [float(x) for x in d.get("vector") or []], json.dumps(d.get("metadata") or {}, ensure_ascii=False), i) for i, d in enumerate(docs)]
+        rows = [(d.get("id"), [float(x) for x in d.get("vector") or []], json.dumps(d.get("metadata") or {}, ensure_ascii=False, separators=(",", ":")), i) for i, d in enumerate(docs)]
         return self.spark.createDataFrame(rows, DOCS + ", nth int")
 
     def upsert(self, name: str, document: Mapping[str, Any]) -> None:
