@@ -1,17 +1,18 @@
 """Substring deduplication by sliding sentence spans.
 
-Every run of `size` consecutive sentences of at least `min_words` words is
-hashed (its words, lower-cased, in order), the hashes of all documents are
-joined, and every sentence that a non-first occurrence of a repeated span covers
-is removed. The first occurrence is that of the smallest doc_id (nulls last),
+From every sentence on, and back from every sentence, the shortest run of at least
+`size` consecutive sentences that has at least `min_words` words is hashed (its
+words, lower-cased, in order), so that runs slide over the whole text and short
+sentences are covered too; a sentence of `long_words` words is a run by itself as well. The hashes of all documents are joined, and every sentence
+that a non-first occurrence of a repeated span covers is removed. The first occurrence is that of the smallest doc_id (nulls last),
 then of the smallest text hash, then the earliest in the text.
 
 A sentence ends at a newline, or at '.', '!' or '?' before white space, or at
 the end of the text; a stretch without a word belongs to the sentence before it
 (at the beginning, to the first one). What is kept is kept byte for byte.
 
-Defined results: a null text stays null and an empty one empty; a text of fewer
-than `size` sentences is never changed; rows of equal doc_id and equal text are
+Defined results: a null text stays null and an empty one empty; a text of one
+short sentence is never changed; rows of equal doc_id and equal text are
 one document (all of them are changed alike); columns of other names are not
 read; documents that are not listed stay as they are.
 """
@@ -29,27 +30,34 @@ from ..session import cut, hinted, ship
 from . import _text as T
 
 
-def span_hashes(s: T.Slice, size: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, number of its first sentence, and hash of every span of some lower-cased rows."""
+def span_hashes(s: T.Slice, size: int, min_words: int, long_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, number of its first sentence, number of sentences, and hash of every span of some lower-cased rows."""
     w = T.words(s)
     border, row = T.sentences(s, w)
     n = len(row)
     none = np.zeros(0, np.int64)
-    if n < size:
-        return none, none, none.astype(np.uint64)
-    at = np.arange(n - size + 1)
-    at = at[(row[at] == row[at + size - 1]) & (border[at + size] - border[at] >= min_words)]
-    nth = np.arange(n) - np.searchsorted(row, row)
-    return row[at], nth[at], T.run_hash(w.h, border[at], border[at + size])
-
-
-def _spans(size: int, min_words: int):
+    if n == 0:
+        return none, none, none, none.astype(np.uint64)
+    at = np.arange(n)
+    alone = at[np.diff(border) >= long_words]
+    end = np.maximum(np.searchsorted(border, border[:-1] + min_words), at + size)
+    begin = np.minimum(np.searchsorted(border, border[1:] - min_words, "right") - 1, at + 1 - size)
+    begin, end = np.concatenate([at, begin, alone]), np.concatenate([end, at + 1, alone + 1])
+    ok = (begin >= 0) & (end <= n)
+    ok[ok] = row[begin[ok]] == row[end[ok] - 1]
+    both = np.unique(begin[ok] * (n + 1) + end[ok])
+    begin, end = both // (n + 1), both % (n + 1)
+    nth = at - np.searchsorted(row, row)
+    return row[begin], nth[begin], end - begin, T.run_hash(w.h, border[begin], border[end])
+
+
+def _spans(size: int, min_words: int, long_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in T.slices(b.column(2)):
-                row, nth, h = span_hashes(s, size, min_words)
+                row, nth, n, h = span_hashes(s, size, min_words, long_words)
                 at = pa.array(row + s.first)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(nth.astype(np.int32)), pa.array(h.view(np.int64))], ["id", "th", "nth", "h"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(nth.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h.view(np.int64))], ["id", "th", "nth", "n", "h"])
 
     return run
 
@@ -81,15 +89,15 @@ def _removal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), pa.array(n_all, pa.int32()), pa.array(n_gone, pa.int32())], ["row", "text", "n_sentences", "n_removed"])
 
 
-def removals(docs: DataFrame, size: int = 2, min_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removals(docs: DataFrame, size: int = 2, min_words: int = 8, long_words: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, gone): documents by id and text hash, and the numbers of their sentences to remove."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.lower(F.col(text_col)).alias("t")).where(F.col("t").isNotNull() & (F.col("t") != ""))
-    spans = cut(rows.mapInArrow(_spans(size, min_words), "id long, th long, nth int, h long"))
+    spans = cut(rows.mapInArrow(_spans(size, min_words, long_words), "id long, th long, nth int, n int, h long"))
     place = F.struct(F.col("id").isNull().alias("z"), "id", "th", "nth")
     repeated = spans.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "first")
     again = spans.join(repeated, "h").where(place != F.col("first"))
-    covered = again.select("id", "th", F.explode(F.sequence("nth", F.col("nth") + size - 1)).alias("nth"))
+    covered = again.select("id", "th", F.explode(F.sequence("nth", F.col("nth") + F.col("n") - 1)).alias("nth"))
     return covered.groupBy("id", "th").agg(F.collect_set("nth").alias("gone"))
 
 
@@ -109,11 +117,14 @@ WITH p AS (
     SELECT doc_id, text, unnest(cuts) AS piece, unnest(range(1, len(cuts) + 1)) AS ord FROM (
       SELECT doc_id, text, string_split(regexp_replace(regexp_replace(text, '([.!?])([ \\t\\r\\f\\v])', '\\1' || chr(1) || '\\2', 'g'), '\\n', chr(10) || chr(1), 'g'), chr(1)) AS cuts
       FROM documents WHERE text IS NOT NULL AND text <> ''))),
-n AS (SELECT *, greatest(sum(CASE WHEN len(w) > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, whole ORDER BY ord), 1) - 1 AS nth FROM p),
+n AS (SELECT *, (greatest(sum(CASE WHEN len(w) > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, whole ORDER BY ord), 1) - 1)::BIGINT AS nth FROM p),
 s AS (SELECT doc_id, whole, nth, string_agg(piece, '' ORDER BY ord) AS raw, string_agg(array_to_string(w, ' '), ' ' ORDER BY ord) FILTER (len(w) > 0) AS norm, sum(len(w)) AS words FROM n GROUP BY ALL),
-sp AS (SELECT doc_id, whole, nth, norm || ' ' || lead(norm) OVER d AS span, words + lead(words) OVER d AS words FROM s WINDOW d AS (PARTITION BY doc_id, whole ORDER BY nth)),
-rk AS (SELECT *, row_number() OVER (PARTITION BY span ORDER BY doc_id, nth) AS occurrence FROM sp WHERE words >= 8),
-gone AS (SELECT DISTINCT doc_id, whole, nth + o AS nth FROM rk, (VALUES (0), (1)) AS v(o) WHERE occurrence > 1)
+c AS (SELECT doc_id, whole, nth, words, sum(words) OVER (PARTITION BY doc_id, whole ORDER BY nth) AS total FROM s WHERE words > 0),
+all_norms AS (SELECT doc_id, whole, list(norm ORDER BY nth) AS norms FROM s GROUP BY ALL),
+reach AS (SELECT a.doc_id, a.whole, a.nth AS i, b.nth AS j FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.whole = b.whole AND b.nth BETWEEN a.nth + 1 AND a.nth + 7 AND b.total - a.total + a.words >= 8),
+ij AS (SELECT doc_id, whole, i, min(j) AS j FROM reach GROUP BY doc_id, whole, i UNION SELECT doc_id, whole, max(i) AS i, j FROM reach GROUP BY doc_id, whole, j UNION SELECT doc_id, whole, nth, nth FROM c WHERE words >= 25),
+rk AS (SELECT doc_id, whole, i, j, row_number() OVER (PARTITION BY array_to_string(norms[i + 1:j + 1], ' ') ORDER BY doc_id, i) AS occurrence FROM ij JOIN all_norms USING (doc_id, whole)),
+gone AS (SELECT DISTINCT doc_id, whole, unnest(range(i, j + 1)) AS nth FROM rk WHERE occurrence > 1)
 SELECT s.doc_id, coalesce(string_agg(s.raw, '' ORDER BY s.nth) FILTER (g.nth IS NULL), '') AS text,
   count(*)::INT AS n_sentences, count(g.nth)::INT AS n_removed
 FROM s LEFT JOIN gone g ON s.doc_id = g.doc_id AND s.whole = g.whole AND s.nth = g.nth
