@@ -40,7 +40,7 @@ LEXICON: dict[str, int] = {
     "dimwit": 10, "halfwit": 10, "jackass": 10, "douchebag": 10, "shithead": 10, "fuckwit": 10, "lowlife": 8, "parasite": 6,
 }
 ORDINARY = ("lover", "lovers", "loses", "lose", "loner", "loners", "crown", "crowns", "thrash", "verein", "cretan", "dastard", "batch", "botch", "birch", "parasites", "parasitic")
-REPORTING = ("said", "says", "called", "calls", "calling", "quote", "quoted", "quoting", "wrote", "writes", "word", "words", "term", "insult", "slur", "means")
+REPORTING = ("said", "says", "called", "calls", "calling", "quote", "quoted", "quoting", "wrote", "writes", "insult", "slur")
 ADDRESSED = ("you", "your", "youre", "yourself", "yall", "ur")
 ACCENTS = ("àáâãäåèéêëìíîïòóôõöùúûüýÿñç013457“”„«»", 'aaaaaaeeeeiiiiooooouuuuyyncoieast"""""')
 
