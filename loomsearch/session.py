@@ -59,9 +59,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def hinted(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """A broadcast hint if a materialised df has at most max_rows rows; else df, for a shuffle join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def hinted(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
+    """A broadcast hint if a materialised df measures at most max_bytes; else df, for a shuffle join."""
+    one = F.lit(16)
+    for name, kind in df.dtypes:
+        if kind.startswith("array"):
+            one = one + 8 * F.greatest(F.size(name), F.lit(1))
+        elif kind in ("string", "binary"):
+            one = one + F.coalesce(F.octet_length(name), F.lit(0))
+        else:
+            one = one + 8 * (1 + kind.count(":"))
+    size = df.agg(F.sum(one.cast("long")).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if size <= max_bytes else df
 
 
 def fresh(base: str, *frames: DataFrame) -> str:
