@@ -93,9 +93,9 @@ def removals(docs: DataFrame, size: int = 2, min_words: int = 8, long_words: int
     """(id, th, gone): documents by id and text hash, and the numbers of their sentences to remove."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.lower(F.col(text_col)).alias("t")).where(F.col("t").isNotNull() & (F.col("t") != ""))
-    spans = cut(rows.mapInArrow(_spans(size, min_words, long_words), "id long, th long, nth int, n int, h long"))
-    place = F.struct(F.col("id").isNull().alias("z"), "id", "th", "nth")
-    repeated = spans.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "first")
+    spans = rows.mapInArrow(_spans(size, min_words, long_words), "id long, th long, nth int, n int, h long")
+    place = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), "th", "nth")
+    repeated = spans.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("h", "first")
     again = spans.join(repeated, "h").where(place != F.col("first"))
     covered = again.select("id", "th", F.explode(F.sequence("nth", F.col("nth") + F.col("n") - 1)).alias("nth"))
     return covered.groupBy("id", "th").agg(F.collect_set("nth").alias("gone"))

@@ -212,7 +212,7 @@ def filtered(pages: DataFrame, threshold: float = 0.0, labelled: tuple[list[str]
             odds = [round(base + sum(ratio.get(t, 0.0) for t in (*w, *path_tokens(rest or ""))), 9) for w, rest in zip(words, b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([" ".join(w) for w in words], pa.string()), pa.array(odds, pa.float64()), pa.array([x > threshold for x in odds], pa.bool_())], ["page_id", "host", "host_words", "log_odds", "blocked"])
 
-    both = rows.join(hinted(by_host, 50_000), "host", "left").select("page_id", "host", "rest", "words")
+    both = rows.join(hinted(by_host), "host", "left").select("page_id", "host", "rest", "words")
     return both.mapInArrow(score, "page_id long, host string, host_words string, log_odds double, blocked boolean")
 
 
