@@ -137,10 +137,14 @@ def close_pairs(key: np.ndarray, seq: np.ndarray, run: np.ndarray, distance: int
     for at, m in zip(begin[~small], size[~small]):
         k, q = key[at : at + m], seq[at : at + m]
         label = np.arange(m)
-        for i in range(m):  # each row against all later ones, at once
-            near = np.flatnonzero(np.bitwise_count(k[i + 1 :] ^ k[i]) <= distance) + i + 1
+        for i in range(m):  # each row against all later ones of other components, at once
+            rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+            if not len(rest):
+                if (label == label[i]).all():
+                    break
+                continue
+            near = rest[np.bitwise_count(k[rest] ^ k[i]) <= distance]
             near = near[np.bitwise_count(q[near] ^ q[i]) <= seq_distance]
-            near = near[label[near] != label[i]]
             if len(near):
                 joined, first = np.unique(label[near], return_index=True)
                 left.append(np.full(len(first), at + i))
