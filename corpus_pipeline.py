@@ -13,8 +13,8 @@ from loomsearch.session import cut
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity lexicon rejects go."""
-    return toxicity.detoxified(docs)
+    """Documents that the toxicity lexicons reject go."""
+    return toxicity.detoxified(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

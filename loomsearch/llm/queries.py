@@ -38,7 +38,7 @@ def op6_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.rejected(table(spark, sf_dir, "documents"))
+    return toxicity.rejected(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,13 @@ to 4 letters, 1 up to 9, 2 beyond; the first letter must be right), but for
 ordinary words that happen to be near. All words of a batch run through the table
 together.
 
+Beside a built-in lexicon there are words learned from labelled documents: those that
+occur far more often in toxic than in clean ones, of up to `train_docs` each. Copies would
+make every word of theirs look so, hence of documents with the same three longest words,
+or the same first three long words in order, one teaches. Learned words match exactly
+only, count 0.6, and only as far as they are more than ten times as many as in as long a
+clean text.
+
 Each hit is scored by its context, `window` words to either side: it counts 0.3
 where quotation marks stand on both sides or a reporting word comes before it,
 else 1.5 where somebody is addressed, else 1. Exact terms weigh their severity,
@@ -15,18 +22,19 @@ misspelled ones half of it. A text is rejected when its hits sum to `threshold`.
 Texts are lower-cased, accents and digits that stand for letters are folded, and
 typographic quotation marks made plain. Scores are sums of whole thousandths.
 
-Defined results: null, empty and wordless texts have score 0 and stay; every row,
+Labels of null, or of a null doc_id, teach nothing; of several for a document the toxic
+one counts. Defined results: null, empty and wordless texts have score 0 and stay; every row,
 repeated or not, is judged by itself; null ids are passed on; other columns too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut, fresh, hinted, ship
@@ -59,7 +67,8 @@ class Automaton:
     longest: int
 
 
-def automaton(terms: list[str]) -> Automaton:
+def automaton(terms: list[str], limits: list[int] | None = None) -> Automaton:
+    limits = [edits(t) for t in terms] if limits is None else limits
     child: list[dict[int, int]] = [{}]
     ends, allow = [-1], [0]
     for i, term in enumerate(terms):
@@ -77,7 +86,7 @@ def automaton(terms: list[str]) -> Automaton:
             path.append(at)
         ends[at] = i
         for node in path:
-            allow[node] = max(allow[node], edits(term))
+            allow[node] = max(allow[node], limits[i])
 
     def closed(state: dict[int, int]) -> frozenset[tuple[int, int]]:
         todo = list(state.items())
@@ -126,10 +135,10 @@ def automaton(terms: list[str]) -> Automaton:
         at += 1
     term, distance = np.full(len(states), -1, np.int32), np.zeros(len(states), np.int32)
     for i, s in enumerate(states):
-        best = min(((e, ends[node]) for node, e in s if ends[node] >= 0 and e <= edits(terms[ends[node]])), default=None)
+        best = min(((e, ends[node]) for node, e in s if ends[node] >= 0 and e <= limits[ends[node]]), default=None)
         if best:
             distance[i], term[i] = best
-    return Automaton(np.stack(rows), term, distance, max(len(t) + edits(t) for t in terms))
+    return Automaton(np.stack(rows), term, distance, max((len(t) + n for t, n in zip(terms, limits)), default=0))
 
 
 LETTER = np.full(256, 26, np.uint8)
@@ -163,8 +172,68 @@ def _hash_of(words: tuple[str, ...]) -> np.ndarray:
     return np.unique(T.words(s).h)
 
 
-def scores(s: T.Slice, a: Automaton, weight: np.ndarray, window: int, marks: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@dataclass
+class Learned:
+    """Words learned from labels, and how often they occur in so many words of clean documents."""
+
+    words: list[str] = field(default_factory=list)
+    hits: int = 0
+    total: int = 1
+
+
+def learn(docs: DataFrame, labels: DataFrame, train_docs: int = 4000, min_docs: int = 4, least_share: int = 6, odds: int = 12, id_col: str = "doc_id", text_col: str = "text") -> Learned:
+    """Words in at least min_docs and least_share thousandths of the toxic documents, and odds times as often there as in clean ones.
+
+    The documents are the labelled ones of smallest MD5 of their id, up to train_docs toxic and as many clean ones.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    order = [F.md5(F.col("label_id").cast("string").cast("binary")), F.col("label_id")]
+    pick = cut(known.where("toxic = 1").orderBy(*order).limit(train_docs).unionByName(known.where("toxic = 0").orderBy(*order).limit(train_docs)))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), prepared(text_col).alias("t")).where("t is not null")
+    words = F.filter(F.split("t", "[^a-z0-9\\x{80}-\\x{10FFFF}]+"), lambda x: x != "")
+    sample = rows.join(F.broadcast(pick), F.col("id") == F.col("label_id")).select("toxic", "label_id", words.alias("words"))
+    distinct = F.array_distinct("words")
+    longest = F.slice(F.array_sort(F.transform(distinct, lambda x: F.struct((-F.length(x)).alias("l"), x.alias("w")))), 1, 3)
+    first = F.slice(F.array_sort(F.filter(distinct, lambda x: F.length(x) > 5)), 1, 3)
+    for key in (longest, first):
+        nth = F.row_number().over(Window.partitionBy("toxic", "key").orderBy(*order, F.md5(F.array_join("words", " ").cast("binary"))))
+        sample = sample.withColumn("key", key).withColumn("nth", nth).where("nth = 1").drop("key", "nth")
+    sample = cut(sample)
+    size = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    toxic, clean = size.get(1, 0), size.get(0, 0)
+    each = sample.select("toxic", F.explode(F.array_distinct("words")).alias("word")).where(F.col("word").rlike("^[a-z]{4,}$"))
+    df = each.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+    enough = (F.col("t") >= min_docs) & (F.col("t") * 1000 >= least_share * toxic) & (F.col("t") * clean >= odds * (F.col("c") + 1) * toxic)
+    found = sorted(r["word"] for r in df.where(enough).select("word").collect() if r["word"] not in LEXICON)
+    base = sample.where("toxic = 0").agg(F.sum(F.size(F.filter("words", lambda x: x.isin(found)))).alias("hits"), F.sum(F.size("words")).alias("total")).first()
+    return Learned(found, base["hits"] or 0, max(1, base["total"] or 0))
+
+
+@dataclass
+class Judge:
+    """The automaton of both lexicons; from term `known` on they are learned."""
+
+    automaton: Automaton
+    weight: np.ndarray
+    known: int
+    learned: Learned
+    marks: tuple[np.ndarray, ...]
+
+
+LEARNED_WEIGHT, USUAL = 6, 10
+
+
+def judge(lexicon: dict[str, int], learned: Learned) -> Judge:
+    own = [w for w in learned.words if w not in lexicon]
+    terms = [*lexicon, *own]
+    limits = [edits(t) for t in lexicon] + [0] * len(own)
+    weight = np.array([*lexicon.values(), *[LEARNED_WEIGHT] * len(own)], np.int64)
+    return Judge(automaton(terms, limits), weight, len(lexicon), learned, tuple(_hash_of(x) for x in (REPORTING, ADDRESSED, ORDINARY)))
+
+
+def scores(s: T.Slice, j: Judge, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hits, misspelled hits and thousandths of score of each row of prepared text."""
+    a, marks = j.automaton, j.marks
     w = T.words(s)
     state = run_words(a, s.buf, w.start, w.end)
     hit = np.flatnonzero(a.term[state] >= 0)
@@ -184,28 +253,31 @@ def scores(s: T.Slice, a: Automaton, weight: np.ndarray, window: int, marks: tup
     named = np.append(0, np.cumsum(np.isin(w.h, marks[1])))
     addressed = named[np.minimum(hit + window + 1, hi)] > named[np.maximum(hit - window, lo)]
     factor = np.where(quoted, 3, np.where(addressed, 15, 10))
-    points = weight[term] * np.where(distance == 0, 10, 5) * factor
-    return n, np.bincount(row[distance > 0], minlength=s.rows), np.bincount(row, weights=points, minlength=s.rows).astype(np.int64)
+    points = j.weight[term] * np.where(distance == 0, 10, 5) * factor
+    own = term >= j.known
+    given = np.bincount(row, weights=points * ~own, minlength=s.rows).astype(np.int64)
+    taught = np.bincount(row, weights=points * own, minlength=s.rows).astype(np.int64)
+    usual = USUAL * LEARNED_WEIGHT * 100 * j.learned.hits * np.diff(w.ptr).astype(np.int64) // j.learned.total
+    return n, np.bincount(row[distance > 0], minlength=s.rows), given + np.maximum(taught - usual, 0)
 
 
 def prepared(text_col: str) -> Column:
     return F.translate(F.lower(F.col(text_col)), *ACCENTS)
 
 
-def judged(docs: DataFrame, window: int = 8, threshold: float = 1.0, lexicon: dict[str, int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame | None = None, window: int = 8, threshold: float = 1.0, lexicon: dict[str, int] | None = None, id_col: str = "doc_id", text_col: str = "text", train_docs: int = 4000) -> DataFrame:
     """(doc_id, text_hash, n_hits, n_misspelled, score) of every rejected row."""
     spark = docs.sparkSession
     ship(spark)
-    lexicon = LEXICON if lexicon is None else lexicon
-    shared = spark.sparkContext.broadcast((automaton(list(lexicon)), np.array(list(lexicon.values()), np.int64), tuple(_hash_of(x) for x in (REPORTING, ADDRESSED, ORDINARY))))
-    least = round(threshold * 1000)
+    learned = Learned() if labels is None else learn(docs, labels, train_docs, id_col=id_col, text_col=text_col)
+    shared = spark.sparkContext.broadcast(judge(LEXICON if lexicon is None else lexicon, learned))
+    least = max(1, round(threshold * 1000))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, weight, marks = shared.value
         for b in batches:
             for s in T.slices(b.column(2)):
-                n, bad, points = scores(s, a, weight, window, marks)
-                at = np.flatnonzero(points >= max(least, 1))
+                n, bad, points = scores(s, shared.value, window)
+                at = np.flatnonzero(points >= least)
                 if len(at):
                     rows = pa.array(at + s.first)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(n[at], pa.int64()), pa.array(bad[at], pa.int64()), pa.array(points[at] / 1000)], ["doc_id", "text_hash", "n_hits", "n_misspelled", "score"])
@@ -214,15 +286,15 @@ def judged(docs: DataFrame, window: int = 8, threshold: float = 1.0, lexicon: di
     return rows.where("t is not null").mapInArrow(run, "doc_id long, text_hash long, n_hits long, n_misspelled long, score double")
 
 
-def rejected(docs: DataFrame, **options) -> DataFrame:
+def rejected(docs: DataFrame, labels: DataFrame | None = None, **options) -> DataFrame:
     """(doc_id, n_hits, n_misspelled, score) of every rejected row."""
-    return judged(docs, **options).drop("text_hash")
+    return judged(docs, labels, **options).drop("text_hash")
 
 
-def detoxified(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+def detoxified(docs: DataFrame, labels: DataFrame | None = None, text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that are not rejected, with all their columns."""
     key = fresh("__row", docs)
-    bad = cut(judged(docs, text_col=text_col, **options).select(F.col("text_hash").alias(key)).distinct())
+    bad = cut(judged(docs, labels, text_col=text_col, **options).select(F.col("text_hash").alias(key)).distinct())
     return docs.withColumn(key, F.xxhash64(text_col)).join(hinted(bad), key, "left_anti").select(*docs.columns)
 
 
@@ -230,19 +302,30 @@ def _values(words: tuple[str, ...]) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
+_POINTS = "sev * CASE WHEN e = 0 THEN 10 ELSE 5 END * CASE WHEN quoted THEN 3 WHEN addressed THEN 15 ELSE 10 END"
+
 SQL = f"""
-WITH lex(i, term, sev, lim) AS (VALUES {", ".join(f"({i}, '{t}', {s}, {edits(t)})" for i, (t, s) in enumerate(LEXICON.items()))}),
+WITH given(i, term, sev, lim) AS (VALUES {", ".join(f"({i}, '{t}', {s}, {edits(t)})" for i, (t, s) in enumerate(LEXICON.items()))}),
 d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(lower(text), '{ACCENTS[0]}', '{ACCENTS[1]}'), '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]*[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS pieces FROM documents WHERE text IS NOT NULL),
 w AS (SELECT r, doc_id, pieces, list_transform(pieces, lambda x: regexp_extract(x, '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+$')) AS words FROM d),
 t AS (SELECT r, doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w),
+pick AS (SELECT doc_id, toxic FROM (SELECT *, row_number() OVER (PARTITION BY toxic ORDER BY md5(doc_id::VARCHAR), doc_id) AS n FROM (SELECT doc_id, max(toxic) AS toxic FROM labels WHERE doc_id IS NOT NULL AND toxic IN (0, 1) GROUP BY doc_id)) WHERE n <= 4000),
+s0 AS (SELECT r, doc_id, toxic, words, list_sort(list_transform(list_distinct(words), lambda x: struct_pack(l := -length(x), w := x)))[1:3] AS longest, list_sort(list_filter(list_distinct(words), lambda x: length(x) > 5))[1:3] AS first FROM w JOIN pick USING (doc_id)),
+s1 AS (SELECT * FROM s0 QUALIFY row_number() OVER (PARTITION BY toxic, longest ORDER BY md5(doc_id::VARCHAR), doc_id, md5(array_to_string(words, ' '))) = 1),
+sample AS (SELECT r, toxic, words FROM s1 QUALIFY row_number() OVER (PARTITION BY toxic, first ORDER BY md5(doc_id::VARCHAR), doc_id, md5(array_to_string(words, ' '))) = 1),
+size AS (SELECT count(*) FILTER (toxic = 1) AS nt, count(*) FILTER (toxic = 0) AS nc FROM sample),
+df AS (SELECT word, count(*) FILTER (toxic = 1) AS t, count(*) FILTER (toxic = 0) AS c FROM (SELECT DISTINCT r, toxic, word FROM (SELECT r, toxic, unnest(words) AS word FROM sample)) WHERE regexp_full_match(word, '[a-z]{{4,}}') GROUP BY word),
+learned AS (SELECT word FROM df, size WHERE t >= 4 AND t * 1000 >= 6 * nt AND t * nc >= 12 * (c + 1) * nt AND word NOT IN (SELECT term FROM given)),
+base AS (SELECT count(*) FILTER (word IN (SELECT word FROM learned)) AS hits, greatest(count(*), 1) AS total FROM (SELECT unnest(words) AS word FROM sample WHERE toxic = 0)),
+lex AS (SELECT * FROM given UNION ALL SELECT {len(LEXICON)} - 1 + row_number() OVER (ORDER BY word), word, {LEARNED_WEIGHT}, 0 FROM learned),
 v AS (SELECT word, min(struct_pack(e := levenshtein(word, term), k := lex.i)) AS best
   FROM (SELECT DISTINCT word FROM t WHERE regexp_full_match(word, '[a-z]+')) JOIN lex ON left(word, 1) = left(term, 1) AND abs(length(word) - length(term)) <= lim AND levenshtein(word, term) <= lim GROUP BY word
   HAVING min(levenshtein(word, term)) = 0 OR NOT list_contains({_values(ORDINARY)}, word)),
-h AS (SELECT r, doc_id, t.i AS i, best.e AS e, sev FROM t JOIN v USING (word) JOIN lex ON lex.i = best.k),
-c AS (SELECT h.*, (contains(array_to_string(pieces[greatest(h.i - 7, 1):h.i], ''), '"') AND contains(array_to_string(pieces[h.i + 1:h.i + 8], ''), '"'))
+h AS (SELECT r, doc_id, t.i AS i, best.e AS e, best.k AS k, sev FROM t JOIN v USING (word) JOIN lex ON lex.i = best.k),
+c AS (SELECT h.*, len(words) AS n_words, (contains(array_to_string(pieces[greatest(h.i - 7, 1):h.i], ''), '"') AND contains(array_to_string(pieces[h.i + 1:h.i + 8], ''), '"'))
     OR list_has_any(words[greatest(h.i - 8, 1):h.i - 1], {_values(REPORTING)}) AS quoted,
-  list_has_any(words[greatest(h.i - 8, 1):h.i + 8], {_values(ADDRESSED)}) AS addressed FROM h JOIN w USING (r))
-SELECT doc_id, count(*) AS n_hits, count(*) FILTER (e > 0) AS n_misspelled,
-  sum(sev * CASE WHEN e = 0 THEN 10 ELSE 5 END * CASE WHEN quoted THEN 3 WHEN addressed THEN 15 ELSE 10 END)::BIGINT / 1000.0::DOUBLE AS score
-FROM c GROUP BY r, doc_id HAVING sum(sev * CASE WHEN e = 0 THEN 10 ELSE 5 END * CASE WHEN quoted THEN 3 WHEN addressed THEN 15 ELSE 10 END) >= 1000
+  list_has_any(words[greatest(h.i - 8, 1):h.i + 8], {_values(ADDRESSED)}) AS addressed FROM h JOIN w USING (r)),
+p AS (SELECT r, doc_id, count(*) AS n_hits, count(*) FILTER (e > 0) AS n_misspelled, coalesce(sum({_POINTS}) FILTER (k < {len(LEXICON)}), 0)::BIGINT AS of_given, coalesce(sum({_POINTS}) FILTER (k >= {len(LEXICON)}), 0)::BIGINT AS of_learned, any_value(n_words) AS n_words FROM c GROUP BY r, doc_id),
+x AS (SELECT doc_id, n_hits, n_misspelled, of_given + greatest(of_learned - {USUAL * LEARNED_WEIGHT * 100} * hits * n_words // total, 0) AS points FROM p, base)
+SELECT doc_id, n_hits, n_misspelled, points::BIGINT / 1000.0::DOUBLE AS score FROM x WHERE points >= 1000
 """

@@ -359,6 +359,16 @@ def test_context(spark):
     assert got == {1: (1, 0, 1.0), 2: (1, 0, 0.3), 3: (1, 0, 0.3), 4: (1, 0, 1.5), 6: (2, 1, 1.5), 8: (1, 0, 1.0)}
 
 
+def test_learned_words(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    half = labels.where("doc_id % 2 = 0")
+    held = {r["doc_id"]: r["toxic"] for r in labels.where("doc_id % 2 = 1").collect()}
+    found = {r["doc_id"] for r in toxicity.rejected(docs, half).select("doc_id").collect()}
+    alone = {r["doc_id"] for r in toxicity.rejected(docs).select("doc_id").collect()}
+    caught = lambda x: np.mean([i in x for i, t in held.items() if t == 1])
+    assert caught(found) > caught(alone) + 0.2 and np.mean([i in found for i, t in held.items() if t == 0]) < 0.01
+
+
 @pytest.mark.parametrize("limit", [5_000_000, 0])
 def test_every_long_span_is_found(spark, limit):
     r = random.Random(8)
@@ -478,7 +488,7 @@ def test_pipeline(spark, documents, texts):
     for b in bins:
         for p in b["pieces"]:
             packed[p["doc_id"]] += p["length"]
-    toxic = {r["doc_id"] for r in toxicity.rejected(documents).collect()}
+    toxic = {r["doc_id"] for r in toxicity.rejected(documents, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
     left = documents.where(~F.col("doc_id").isin(list(toxic)))
     group = {r["doc_id"]: r["group_id"] for r in simhash_forest.near_duplicates(left).collect()}
     unique = {i for i in texts if i not in toxic and group.get(i, i) == i}

@@ -98,6 +98,9 @@ def test_toxicity(docs, none):
     assert [r["doc_id"] for r in toxicity.rejected(docs).collect()] == [8]
     kept = toxicity.detoxified(docs)
     assert kept.columns == docs.columns and kept.count() == len(ROWS) - 1
+    labels = docs.selectExpr("doc_id", "if(doc_id = 8, 1, 0) as toxic", "1 as label_id")
+    assert [r["doc_id"] for r in toxicity.rejected(docs, labels).collect()] == [8]
+    assert toxicity.rejected(docs, labels.where("false")).count() == 1 and toxicity.rejected(none, labels).count() == 0
     assert toxicity.rejected(none).count() == 0 and toxicity.detoxified(none).count() == 0
 
 
@@ -133,6 +136,7 @@ def test_packing(docs, none):
 def test_pipeline_stages(spark, docs, none, tmp_path, monkeypatch, net):
     monkeypatch.setattr(pii_tagger, "default_net", lambda *a: net)
     spark.createDataFrame([(1, "nothing of the kind")], "item_id int, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, 1, 0), (None, 1, 1), (8, None, None), (8, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     for start in (docs, none):
         now = start
         for nth, (_, stage) in enumerate(corpus_pipeline.STAGES):
