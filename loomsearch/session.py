@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import os
+import io
 import shutil
 import tempfile
 import uuid
@@ -17,17 +17,23 @@ _shipped: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, once per application."""
+    """Make this package importable in Python workers, once per application, from the shared folder."""
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
     root = Path(__file__).resolve().parent
-    folder = tempfile.mkdtemp(prefix="ship-")
-    atexit.register(shutil.rmtree, folder, True)
-    target = os.path.join(folder, f"{root.name}.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, str(p.relative_to(root.parent)))
+    target = f"{scratch_dir(spark)}/ship-{app}/{root.name}.zip"
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(target)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(packed.getvalue()))
+    finally:
+        out.close()
     spark.sparkContext.addPyFile(target)
     _shipped[app] = target
 
