@@ -1,7 +1,8 @@
 """Metadata filters: a small expression tree, compiled to a Spark column that is never null.
 
 Since every leaf is wrapped so that it is true or false, And, Or and Not are
-two-valued. Fields resolve to typed columns or, for metadata without a schema, to
+two-valued. For a WHERE clause, `where` leaves the wrapping out wherever null and
+false come to the same, which lets Parquet see the predicates. Fields resolve to typed columns or, for metadata without a schema, to
 paths of a VARIANT column.
 """
 
@@ -16,7 +17,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DataType, NumericType, StringType, StructType
+from pyspark.sql.types import BooleanType, DataType, IntegralType, NumericType, StringType, StructType
 
 from ..functions.metrics import haversine_km
 from ..functions.text import ascii_lower
@@ -27,6 +28,15 @@ def _sure(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
+def _between(x: Column, low: float | None, high: float | None) -> Column:
+    out = x.isNotNull() & ~F.isnan(x)
+    if low is not None:
+        out &= x >= F.lit(float(low))
+    if high is not None:
+        out &= x <= F.lit(float(high))
+    return out
+
+
 def _kind(value: Any) -> str:
     if value is None:
         return "null"
@@ -55,14 +65,27 @@ class Typed:
             return F.lit(False)
         fits = {"bool": BooleanType, "number": NumericType, "string": StringType}.get(_kind(value))
         if fits is None:
-            return _sure(F.to_json(self.at[field]) == json.dumps(value, separators=(",", ":"))) if not isinstance(kind, (BooleanType, NumericType, StringType)) else F.lit(False)
-        return _sure(self.at[field] == F.lit(value)) if isinstance(kind, fits) else F.lit(False)
+            return F.to_json(self.at[field]) == json.dumps(value, separators=(",", ":")) if not isinstance(kind, (BooleanType, NumericType, StringType)) else F.lit(False)
+        if isinstance(kind, IntegralType) and isinstance(value, float) and value.is_integer() and abs(value) < 2**63:
+            value = int(value)
+        return self.at[field] == F.lit(value) if isinstance(kind, fits) else F.lit(False)
 
     def exists(self, field: str) -> Column:
         return self.at[field].isNotNull() if field in self.types else F.lit(False)
 
-    def number(self, field: str) -> Column:
-        return self.at[field].cast("double") if isinstance(self.types.get(field), NumericType) else F.lit(None).cast("double")
+    def within(self, field: str, low: float | None, high: float | None) -> Column:
+        kind = self.types.get(field)
+        if not isinstance(kind, NumericType):
+            return F.lit(False)
+        x = self.at[field]
+        if not isinstance(kind, IntegralType) or any(b is not None and not abs(b) < 2**62 for b in (low, high)):
+            return _between(x.cast("double"), low, high)
+        out = x.isNotNull()
+        if low is not None:
+            out &= x >= F.lit(math.ceil(low))
+        if high is not None:
+            out &= x <= F.lit(math.floor(high))
+        return out
 
     def text(self, field: str) -> Column:
         return self.at[field] if isinstance(self.types.get(field), StringType) else F.lit(None).cast("string")
@@ -97,12 +120,12 @@ class Dynamic:
         same = self.kind(field) == kind
         match kind:
             case "null":
-                return _sure(same)
+                return same
             case "nested":
-                return _sure(same & (F.to_json(self.get(field)) == json.dumps(value, separators=(",", ":"), sort_keys=True, ensure_ascii=False)))
+                return same & (F.to_json(self.get(field)) == json.dumps(value, separators=(",", ":"), sort_keys=True, ensure_ascii=False))
             case _:
                 typed = {"bool": "boolean", "number": "double", "string": "string"}[kind]
-                return _sure(same & (self.get(field, kind=typed) == F.lit(float(value) if kind == "number" else value)))
+                return same & (self.get(field, kind=typed) == F.lit(float(value) if kind == "number" else value))
 
     def exists(self, field: str) -> Column:
         return self.get(field).isNotNull()
@@ -110,6 +133,9 @@ class Dynamic:
     def number(self, *fields: str) -> Column:
         return F.when(self.kind(*fields) == "number", self.get(*fields, kind="double"))
 
+    def within(self, field: str, low: float | None, high: float | None) -> Column:
+        return _between(self.number(field), low, high)
+
     def text(self, field: str) -> Column:
         return F.when(self.kind(field) == "string", self.get(field, kind="string"))
 
@@ -122,9 +148,18 @@ Fields = Typed | Dynamic
 
 @dataclass(frozen=True)
 class Filter:
-    def column(self, fields: Fields) -> Column:
+    def raw(self, fields: Fields) -> Column:
+        """True, or false or null."""
         raise NotImplementedError
 
+    def column(self, fields: Fields) -> Column:
+        """True or false, never null."""
+        return _sure(self.raw(fields))
+
+    def where(self, fields: Fields) -> Column:
+        """The same for a WHERE clause, which drops rows of null."""
+        return self.raw(fields)
+
     def __and__(self, other: Filter) -> Filter:
         return And((self, other))
 
@@ -142,7 +177,7 @@ class Eq(Filter):
     field: str
     value: Any
 
-    def column(self, fields: Fields) -> Column:
+    def raw(self, fields: Fields) -> Column:
         return fields.equals(self.field, self.value)
 
 
@@ -153,8 +188,12 @@ class Ne(Filter):
     field: str
     value: Any
 
-    def column(self, fields: Fields) -> Column:
-        return ~fields.equals(self.field, self.value)
+    def raw(self, fields: Fields) -> Column:
+        return ~_sure(fields.equals(self.field, self.value))
+
+    def where(self, fields: Fields) -> Column:
+        same = fields.equals(self.field, self.value)
+        return ~same | same.isNull() if isinstance(fields, Dynamic) or self.field not in fields.types else ~same | fields.at[self.field].isNull()
 
 
 @dataclass(frozen=True)
@@ -165,14 +204,8 @@ class Range(Filter):
     low: float | None = None
     high: float | None = None
 
-    def column(self, fields: Fields) -> Column:
-        x = fields.number(self.field)
-        out = x.isNotNull() & ~F.isnan(x)
-        if self.low is not None:
-            out &= x >= F.lit(float(self.low))
-        if self.high is not None:
-            out &= x <= F.lit(float(self.high))
-        return _sure(out)
+    def raw(self, fields: Fields) -> Column:
+        return fields.within(self.field, self.low, self.high)
 
 
 @dataclass(frozen=True)
@@ -182,8 +215,8 @@ class In(Filter):
     field: str
     values: tuple
 
-    def column(self, fields: Fields) -> Column:
-        return reduce(lambda a, b: a | b, [fields.equals(self.field, v) for v in self.values], F.lit(False))
+    def raw(self, fields: Fields) -> Column:
+        return reduce(lambda a, b: a | b, [fields.equals(self.field, v) for v in self.values]) if self.values else F.lit(False)
 
 
 @dataclass(frozen=True)
@@ -192,7 +225,7 @@ class Exists(Filter):
 
     field: str
 
-    def column(self, fields: Fields) -> Column:
+    def raw(self, fields: Fields) -> Column:
         return fields.exists(self.field)
 
 
@@ -203,9 +236,9 @@ class Text(Filter):
     field: str
     pattern: str
 
-    def column(self, fields: Fields) -> Column:
+    def raw(self, fields: Fields) -> Column:
         x = fields.text(self.field)
-        return _sure(ascii_lower(x).contains(ascii_lower(F.lit(self.pattern))) & (F.length(x) > 0))
+        return ascii_lower(x).contains(ascii_lower(F.lit(self.pattern))) & (F.length(x) > 0)
 
 
 @dataclass(frozen=True)
@@ -217,10 +250,10 @@ class Geo(Filter):
     lng: float
     metres: float
 
-    def column(self, fields: Fields) -> Column:
+    def raw(self, fields: Fields) -> Column:
         lat, lng = fields.point(self.field)
         km = haversine_km(lat, lng, F.lit(float(self.lat)), F.lit(float(self.lng)))
-        return _sure(~F.isnan(km) & (km <= F.lit(self.metres / 1000.0)))
+        return ~F.isnan(km) & (km <= F.lit(self.metres / 1000.0))
 
 
 @dataclass(frozen=True)
@@ -230,7 +263,10 @@ class And(Filter):
     parts: tuple[Filter, ...]
 
     def column(self, fields: Fields) -> Column:
-        return reduce(lambda a, b: a & b, [p.column(fields) for p in self.parts], F.lit(True)) if self.parts else F.lit(True)
+        return reduce(lambda a, b: a & b, [p.column(fields) for p in self.parts]) if self.parts else F.lit(True)
+
+    def where(self, fields: Fields) -> Column:
+        return reduce(lambda a, b: a & b, [p.where(fields) for p in self.parts]) if self.parts else F.lit(True)
 
 
 @dataclass(frozen=True)
@@ -242,6 +278,9 @@ class Or(Filter):
     def column(self, fields: Fields) -> Column:
         return reduce(lambda a, b: a | b, [p.column(fields) for p in self.parts]) if self.parts else F.lit(False)
 
+    def where(self, fields: Fields) -> Column:
+        return reduce(lambda a, b: a | b, [p.where(fields) for p in self.parts]) if self.parts else F.lit(False)
+
 
 @dataclass(frozen=True)
 class Not(Filter):
@@ -250,6 +289,9 @@ class Not(Filter):
     def column(self, fields: Fields) -> Column:
         return ~self.part.column(fields)
 
+    def where(self, fields: Fields) -> Column:
+        return self.column(fields)
+
 
 def _number(field: str, op: str, value: Any) -> float:
     if _kind(value) != "number":

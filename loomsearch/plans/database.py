@@ -295,7 +295,7 @@ class Database:
         if isinstance(given, Column) or given is None:
             return given
         tree = given if isinstance(given, Filter) else parse_filter(given)
-        return None if tree is None else tree.column(Dynamic(F.try_parse_json("metadata")))
+        return None if tree is None else tree.where(Dynamic(F.try_parse_json("metadata")))
 
     def search(self, name: str, query: Sequence[float], k: int = 10, where: Filter | Mapping | str | Column | None = None, exact: bool = False) -> DataFrame:
         """(rank, id, score, vector, metadata) of the k best documents that satisfy the filter.

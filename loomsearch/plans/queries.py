@@ -128,13 +128,13 @@ def search_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(top_sql("cosine", "label IN (2, 5)"))
 def search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = vectors(spark, sf_dir)
-    return six(search.search(docs, first_vectors(spark, sf_dir, 1)[0], K, "cosine", In("label", (2, 5)).column(Typed(docs))), "score")
+    return six(search.search(docs, first_vectors(spark, sf_dir, 1)[0], K, "cosine", In("label", (2, 5)).where(Typed(docs))), "score")
 
 
 @query(top_sql("l2", "label <> 3"))
 def search_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = vectors(spark, sf_dir)
-    return six(search.search(docs, first_vectors(spark, sf_dir, 1)[0], K, "l2", parse_filter({"label": {"$ne": 3}}).column(Typed(docs))), "score")
+    return six(search.search(docs, first_vectors(spark, sf_dir, 1)[0], K, "l2", parse_filter({"label": {"$ne": 3}}).where(Typed(docs))), "score")
 
 
 @query(
@@ -180,7 +180,7 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _filter(name: str, tree: Filter, sql: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = _labelled(spark, sf_dir)
-        return docs.where(tree.column(Typed(docs))).select("doc_id", "lang")
+        return docs.where(tree.where(Typed(docs))).select("doc_id", "lang")
 
     run.__name__ = name
     query(f"SELECT doc_id, lang FROM {DL} WHERE {sql}")(run)
@@ -214,14 +214,14 @@ def geo_haversine(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT s_suppkey FROM ({HAV}) WHERE {KM} <= 5000")
 def filter_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = _places(spark, sf_dir)
-    return places.where(Geo("place", 48.85, 2.35, 5_000_000).column(Typed(places))).select("s_suppkey")
+    return places.where(Geo("place", 48.85, 2.35, 5_000_000).where(Typed(places))).select("s_suppkey")
 
 
 @query("SELECT event_id, props FROM events WHERE coalesce((props ->> '$.k')::DOUBLE BETWEEN 10 AND 60, false) AND event_type IN ('click', 'view')")
 def filter_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    inside = parse_filter('{"k": {"$gt": 10, "$lt": 60}}').column(Dynamic(F.try_parse_json("props")))
-    return events.where(inside & parse_filter({"event_type": {"$in": ["click", "view"]}}).column(Typed(events))).select("event_id", "props")
+    inside = parse_filter('{"k": {"$gt": 10, "$lt": 60}}').where(Dynamic(F.try_parse_json("props")))
+    return events.where(inside & parse_filter({"event_type": {"$in": ["click", "view"]}}).where(Typed(events))).select("event_id", "props")
 
 
 # Metadata postings
@@ -387,7 +387,7 @@ AND cid IN (SELECT cid FROM near WHERE id = (SELECT qid FROM q) AND nth <= {N_PR
 def search_ivf_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists, centroids = _lists(spark, sf_dir)
     both = lists.join(vectors(spark, sf_dir).select("id", "label"), "id")
-    return six(ivf.search(both, centroids, first_vectors(spark, sf_dir, 1)[0], K, N_PROBE, "cosine", Ne("label", 3).column(Typed(both))), "score")
+    return six(ivf.search(both, centroids, first_vectors(spark, sf_dir, 1)[0], K, N_PROBE, "cosine", Ne("label", 3).where(Typed(both))), "score")
 
 
 @query(

@@ -26,11 +26,15 @@ def typed(spark):
 
 
 def dyn(df, tree):
-    return sorted(r["id"] for r in df.where(tree.column(Dynamic(F.col("v")))).collect())
+    got = sorted(r["id"] for r in df.where(tree.column(Dynamic(F.col("v")))).collect())
+    assert got == sorted(r["id"] for r in df.where(tree.where(Dynamic(F.col("v")))).collect())
+    return got
 
 
 def typ(df, tree):
-    return sorted(r["id"] for r in df.where(tree.column(Typed(df))).collect())
+    got = sorted(r["id"] for r in df.where(tree.column(Typed(df))).collect())
+    assert got == sorted(r["id"] for r in df.where(tree.where(Typed(df))).collect())
+    return got
 
 
 def test_dynamic_leaves(dynamic):
