@@ -16,8 +16,17 @@ from pyspark.sql import functions as F
 _shipped: dict[str, str] = {}
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, once per application, from the shared folder."""
+    """Make this package importable in Python workers, once per application, from the shared folder.
+
+    Unless the cluster sets them itself, Arrow batches are limited to 4 MB, since texts
+    are large and a batch is held several times over in the JVM and in Python.
+    """
+    if not spark.sparkContext.getConf().contains(BATCH):
+        spark.conf.set(BATCH, "4m")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
