@@ -46,7 +46,7 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_forest.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash_forest.near_duplicates(table(spark, sf_dir, "documents"), similarity=0.6)
 
 
 def op10_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,13 @@ recall; subtrees that are still small are searched from a shorter prefix yet.
 Candidates are verified by exact Hamming distances of both signatures, and the
 connected components of the verified pairs are the groups.
 
+With `similarity` the search is wider: it is planned for pairs at `WIDE_PLAN` bits of
+`lex`, and pairs within `WIDE` and `WIDE_SEQ` bits that the limits of the signatures
+don't join are joined where the texts' sets of word trigrams have at least that exact
+Jaccard similarity. Texts with equal signatures are stood for by one of them. Of the
+candidates those are compared whose numbers of trigrams allow that similarity and whose
+SimHashes `tri` of the trigrams are within `WIDE_TRI` bits.
+
 Texts with equal signatures are one node, so thousands of exact copies cost a
 line each. A subtree's pairs are compared in blocks inside numpy and leave it as
 a spanning forest, so that a family of m near copies yields m-1 edges a trie,
@@ -36,6 +43,8 @@ from ..session import cut, fresh, hinted, ship
 from . import _text as T
 
 BUCKET_BITS = 12
+#: Bits of lex, seq and tri up to which texts are compared, bits of lex for which the tries are planned, and by how many levels they are shallower then.
+WIDE, WIDE_SEQ, WIDE_TRI, WIDE_PLAN, EASE = 12, 20, 26, 10, 3
 
 
 def signatures(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,21 +74,51 @@ def signatures(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(lex), np.concatenate(seq), np.concatenate(count)
 
 
-def _sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        lex, seq, n = signatures(b.column(2))
-        out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lex.view(np.int64)), pa.array(seq.view(np.int64))], ["doc_id", "th", "lex", "seq"])
-        yield out.filter(pa.array(n > 0))
+def trigrams(s: T.Slice) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of each row's word trigrams, and the borders of rows."""
+    w = T.words(s)
+    h, begin = T.ngrams(w, 3)
+    row = T.row_of(w.ptr)[begin]
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[new], np.searchsorted(row[new], np.arange(s.rows + 1))
+
+
+def _sign_batches(wide: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lex, seq, n = signatures(b.column(2))
+            columns, names = [b.column(0), b.column(1), pa.array(lex.view(np.int64)), pa.array(seq.view(np.int64))], ["doc_id", "th", "lex", "seq"]
+            if wide:
+                parts = [trigrams(s) for s in T.slices(b.column(2))]
+                tri = np.concatenate([T.simhash(None, h, ptr) for h, ptr in parts] or [np.zeros(0, np.uint64)])
+                size = np.concatenate([np.diff(ptr) for _, ptr in parts] or [np.zeros(0, np.int64)])
+                columns += [pa.array(tri.view(np.int64)), pa.array(size.astype(np.int32))]
+                names += ["tri", "size"]
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(n > 0))
+
+    return run
 
 
-def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, th, lex, seq) of every text that has a word; th is a hash of the text as it is."""
+def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wide: bool = False) -> DataFrame:
+    """(doc_id, th, lex, seq) of every text that has a word, if wide with (tri, size) of its trigrams; th is a hash of the text as it is."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.lower(F.col(text_col)).alias("t")).where(F.col("t").isNotNull() & (F.col("t") != ""))
-    return rows.mapInArrow(_sign_batches, "doc_id long, th long, lex long, seq long")
+    return rows.mapInArrow(_sign_batches(wide), "doc_id long, th long, lex long, seq long" + (", tri long, size int" if wide else ""))
+
+
+def _shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = []
+        for s in T.slices(b.column(1)):
+            h, ptr = trigrams(s)
+            sets += [x.astype(np.uint32).view(np.int32) for x in np.split(h, ptr[1:-1])]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int32()))], ["node", "sh"])
 
 
-def plan_forest(nodes: int, distance: int, recall: float) -> tuple[int, int]:
+def plan_forest(nodes: int, distance: int, recall: float, ease: int = 0) -> tuple[int, int]:
     """Depth and number of tries for so many signatures.
 
     The depth grows with log2(nodes), so that unrelated signatures seldom share
@@ -87,7 +126,7 @@ def plan_forest(nodes: int, distance: int, recall: float) -> tuple[int, int]:
     probability (1 - distance/64)**depth, and the tries are as many as it takes
     to find it in one of them with probability recall.
     """
-    depth = max(BUCKET_BITS, math.ceil(math.log2(max(nodes, 2))))
+    depth = max(BUCKET_BITS, math.ceil(math.log2(max(nodes, 2))) - ease)
     agree = math.prod((64 - distance - i) / (64 - i) for i in range(depth))
     return depth, max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
 
@@ -156,6 +195,44 @@ def close_pairs(key: np.ndarray, seq: np.ndarray, run: np.ndarray, distance: int
     return np.concatenate(left), np.concatenate(right)
 
 
+def wide_pairs(key: np.ndarray, seq: np.ndarray, run: np.ndarray, sure: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of all pairs of a run within the wide limits, but for those that the sure edges connect already."""
+    n = len(key)
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[sure[0]], label[sure[1]])
+        new = label.copy()
+        np.minimum.at(new, label[sure[0]], low)
+        np.minimum.at(new, label[sure[1]], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    size = np.diff(np.append(np.flatnonzero(np.append(True, run[1:] != run[:-1])), n)) if n else np.zeros(0, int)
+    begin = np.cumsum(size) - size
+    small = size <= 64
+    idx = np.flatnonzero(np.repeat(small, size))
+    k, q, r, own = key[idx], seq[idx], run[idx], label[idx]
+    for step in range(1, int(size[small].max(initial=1))):
+        a = np.flatnonzero(r[step:] == r[:-step])
+        if not len(a):
+            break
+        a = a[np.bitwise_count(k[a] ^ k[a + step]) <= WIDE]
+        a = a[(np.bitwise_count(q[a] ^ q[a + step]) <= WIDE_SEQ) & (own[a] != own[a + step])]
+        yield idx[a], idx[a + step]
+    for at, m in zip(begin[~small], size[~small]):
+        left, right, held = [], [], 0
+        for i in range(at, at + m):
+            rest = np.flatnonzero(np.bitwise_count(key[i + 1 : at + m] ^ key[i]) <= WIDE) + i + 1
+            rest = rest[(np.bitwise_count(seq[rest] ^ seq[i]) <= WIDE_SEQ) & (label[rest] != label[i])]
+            left.append(np.full(len(rest), i))
+            right.append(rest)
+            held += len(rest)
+            if held > 100_000 or i == at + m - 1:
+                yield np.concatenate(left), np.concatenate(right)
+                left, right, held = [], [], 0
+
+
 def adaptive_runs(key: np.ndarray, depth: int, crowd: int) -> np.ndarray:
     """A run number for each row of one sorted trie partition.
 
@@ -181,7 +258,7 @@ def adaptive_runs(key: np.ndarray, depth: int, crowd: int) -> np.ndarray:
     return np.cumsum(border)
 
 
-def _search(tables: list[np.ndarray], depth: int, distance: int, seq_distance: int, crowd: int):
+def _search(depth: int, distance: int, seq_distance: int, crowd: int, wide: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
@@ -194,11 +271,14 @@ def _search(tables: list[np.ndarray], depth: int, distance: int, seq_distance: i
         for one in np.unique(trie):
             rows = np.flatnonzero(trie == one)
             rows = rows[np.argsort(key[rows], kind="stable")]
-            a, b = close_pairs(key[rows], seq[rows], adaptive_runs(key[rows], depth, crowd), distance, seq_distance)
-            x, y = node[rows][a], node[rows][b]
-            keep = x != y
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[keep]), pa.array(np.maximum(x, y)[keep])], ["a", "b"])
+            own = key[rows], seq[rows], adaptive_runs(key[rows], depth, crowd)
+            edges = close_pairs(*own, distance, seq_distance)
+            for sure, blocks in ((True, [edges]), (False, wide_pairs(*own, edges) if wide else [])):
+                for a, b in blocks:
+                    x, y = node[rows][a], node[rows][b]
+                    keep = x != y
+                    if keep.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[keep]), pa.array(np.maximum(x, y)[keep]), pa.array(np.full(keep.sum(), sure))], ["a", "b", "sure"])
 
     return run
 
@@ -240,15 +320,34 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("label")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("label"))).distinct()
 
 
-def grouped(sigs: DataFrame, distance: int = 7, seq_distance: int = 16, recall: float = 0.9, crowd: int = 32, seed: int = 7) -> DataFrame:
-    """The rows of signed() that have a near duplicate, with their component as `label`. sigs must be materialised."""
+def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts' word trigrams have at least that Jaccard similarity."""
+    few = nodes.select("node", "tri", "size")
+    pairs = pairs.join(few.toDF("a", "t", "n"), "a").join(few.toDF("b", "u", "m"), "b")
+    pairs = cut(pairs.where((F.bit_count(F.col("t").bitwiseXOR(F.col("u"))) <= WIDE_TRI) & (F.least("n", "m") >= similarity * F.greatest("n", "m"))).select("a", "b"))
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "th"), "node"))
+    rows = docs.select(F.xxhash64(text_col).alias("th"), F.lower(F.col(text_col)).alias("t")).join(hinted(wanted), "th").dropDuplicates(["node"]).select("node", "t")
+    sets = cut(rows.mapInArrow(_shingle_batches, "node long, sh array<int>"))
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where((common > 0) & (common >= similarity * (F.size("x") + F.size("y") - common))).select("a", "b")
+
+
+def grouped(sigs: DataFrame, distance: int = 7, seq_distance: int = 16, recall: float = 0.9, crowd: int = 32, seed: int = 7, similarity: float | None = None, docs: DataFrame | None = None, text_col: str = "text") -> DataFrame:
+    """The rows of signed() that have a near duplicate, with their component as `label`. sigs must be materialised; for `similarity` it is wide, and docs is read again."""
     sigs = sigs.withColumn("node", F.xxhash64("lex", "seq"))
-    nodes = cut(sigs.groupBy("node").agg(F.first("lex").alias("lex"), F.first("seq").alias("seq"), F.count(F.lit(1)).alias("n")))
-    depth, tries = plan_forest(nodes.count(), distance, recall)
+    wide = similarity is not None
+    least = F.min(F.struct("th", "tri", "size"))
+    rep = [least[c].alias(c) for c in ("th", "tri", "size")] if wide else []
+    nodes = cut(sigs.groupBy("node").agg(F.first("lex").alias("lex"), F.first("seq").alias("seq"), F.count(F.lit(1)).alias("n"), *rep))
+    depth, tries = plan_forest(nodes.count(), WIDE_PLAN, recall, EASE) if wide else plan_forest(nodes.count(), distance, recall)
     tables = permutations(tries, seed)
     planted = nodes.select("node", "lex", "seq").mapInArrow(_plant(tables), "node long, trie int, bucket int, key long, seq long")
-    edges = planted.repartition("trie", "bucket").mapInArrow(_search(tables, depth, distance, seq_distance, crowd), "a long, b long")
-    label = components(edges)
+    edges = planted.repartition("trie", "bucket").mapInArrow(_search(depth, distance, seq_distance, crowd, wide), "a long, b long, sure boolean")
+    if wide:
+        edges = cut(edges.groupBy("a", "b").agg(F.max("sure").alias("sure")))
+        edges = edges.where("sure").select("a", "b").unionByName(similar(edges.where("not sure").select("a", "b"), nodes, docs, text_col, similarity))
+    label = components(edges.select("a", "b"))
     alone = nodes.where("n > 1").join(label, "node", "left_anti").select("node", F.col("node").alias("label"))
     label = cut(label.unionByName(alone))
     return sigs.join(hinted(label), "node").select("doc_id", "th", "label")
@@ -256,7 +355,7 @@ def grouped(sigs: DataFrame, distance: int = 7, seq_distance: int = 16, recall:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(doc_id, group_id, group_size) of every document that has a near duplicate; group_id is the group's smallest doc_id."""
-    rows = cut(grouped(cut(signed(docs, id_col, text_col)), **options))
+    rows = cut(grouped(cut(signed(docs, id_col, text_col, options.get("similarity") is not None)), docs=docs, text_col=text_col, **options))
     groups = rows.groupBy("label").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("group_size"))
     return rows.join(groups, "label").select("doc_id", "group_id", "group_size")
 
@@ -266,7 +365,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Rows without a word are kept. All columns are returned as they are.
     """
-    rows = cut(grouped(cut(signed(docs, id_col, text_col)), **options))
+    rows = cut(grouped(cut(signed(docs, id_col, text_col, options.get("similarity") is not None)), docs=docs, text_col=text_col, **options))
     order = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id"), F.col("th"))
     best = rows.groupBy("label").agg(F.min(order).alias("best"))
     marks = rows.join(best, "label").groupBy("doc_id", "th").agg(F.first(order == F.col("best")).alias("kept"), F.count(F.lit(1)).alias("n"))
