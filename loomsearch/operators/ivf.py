@@ -73,6 +73,17 @@ def probes(centroids: np.ndarray, query: Sequence[float], n_probe: int = N_PROBE
     return [int(c) for c in nearest(centroids, np.array([query], np.float64), n_probe)[0]]
 
 
+def measured_probes(docs: DataFrame, centroids: np.ndarray, metric: str | Metric = "cosine", k: int = 10, wanted: float = 0.92, sample: int = 200, id_col: str = "id", vector_col: str = "vector") -> int:
+    """How many lists hold that share of the k true neighbours (but for itself) of a sample of rows, N_PROBE at least."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where(F.size("vector") == centroids.shape[1])
+    asked = rows.orderBy(F.md5(F.col("id").cast("string").cast("binary"))).limit(sample)
+    true = exact.search_batch(asked, rows, k + 1, metric).where("query_id <> id").select("query_id", "id")
+    order = _near(asked, centroids, len(centroids), "id", "vector").select(F.col("id").alias("query_id"), "cids")
+    place = true.join(order, "query_id").join(assign(rows, centroids).select("id", "cid"), "id").select(F.array_position("cids", F.col("cid")).alias("p"))
+    places = sorted(r["p"] for r in place.collect())
+    return max(N_PROBE, places[int(np.ceil(wanted * len(places))) - 1]) if places else len(centroids)
+
+
 def search(lists: DataFrame, centroids: np.ndarray, query: Sequence[float], k: int = 10, n_probe: int = N_PROBE, metric: str | Metric = "cosine", where: Column | None = None) -> DataFrame:
     """(rank, id, score) among the probed lists; lists has (id, v, cid) and whatever `where` reads."""
     probed = lists.where(F.col("cid").isin(probes(centroids, query, n_probe)))

@@ -41,6 +41,7 @@ class Meta:
     version: str = ""
     index_version: str = ""
     centroids: list[list[float]] = field(default_factory=list)
+    n_probe: int = 0  # of an IVF index, as measured when it was built; 0: all lists
 
     @property
     def typed(self) -> Schema | None:
@@ -281,6 +282,7 @@ class Database:
             if m.index_type == "ivf":
                 centroids = ivf.train(docs)
                 m.centroids = centroids.tolist()
+                m.n_probe = ivf.measured_probes(docs, centroids, m.metric, id_col="n")
                 rows = ivf.assign(docs, centroids, "n").join(docs.select(F.col("n").alias("id"), F.col("id").alias("name"), "metadata"), "id")
                 rows.write.mode("overwrite").partitionBy("cid").parquet(path)
             else:
@@ -315,7 +317,7 @@ class Database:
             found = search.search(docs, query, k, m.metric, wanted)
         elif m.index_type == "ivf":
             lists = index.select(F.col("name").alias("id"), "v", "cid", "metadata")
-            found = ivf.search(lists, np.array(m.centroids), query, k, metric=m.metric, where=wanted)
+            found = ivf.search(lists, np.array(m.centroids), query, k, m.n_probe or len(m.centroids), m.metric, wanted)
         else:
             one = self.spark.createDataFrame([(0, [float(x) for x in query])], "id long, vector array<double>")
             hits = hnsw.search_batch(one, index, k, m.metric).select("rank", F.col("id").alias("n"), "score")
@@ -348,7 +350,7 @@ class Database:
         results.count()
         took = time.perf_counter_ns() - began
         m = self._get(name)
-        probed = ivf.probes(np.array(m.centroids), query) if m.index_type == "ivf" and m.centroids else None
+        probed = ivf.probes(np.array(m.centroids), query, m.n_probe or len(m.centroids)) if m.index_type == "ivf" and m.centroids else None
         scanned = self._index(m).where(F.col("cid").isin(probed)).count() if probed else self.documents(name).count()
         return Explained(query, k, m.index_type, where, scanned, took, results._jdf.queryExecution().toString(), results)
 
