@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import Metric, score, vector
+from ..session import ship
 
 DIGITS = 9
 BLOCK = 2048
@@ -60,6 +61,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def blocks(docs: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(ids, m): vectors of one length packed by up to BLOCK rows; rows of a null id or vector are left out."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
     return rows.mapInArrow(_blocks, "ids array<long>, m binary")
 
@@ -78,6 +80,19 @@ def pair_scores(q: np.ndarray, d: np.ndarray, metric: Metric) -> np.ndarray:
     return s
 
 
+def best_of_block(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k best scores of each row; ties go to the smaller id."""
+    key = -np.round(s, DIGITS)
+    if key.shape[1] > k:
+        row, at = np.nonzero(key <= np.partition(key, k - 1, axis=1)[:, k - 1 : k])
+    else:
+        row, at = (x.ravel() for x in np.indices(key.shape))
+    order = np.lexsort((ids[at], key[row, at], row))
+    row, at = row[order], at[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], at[keep]
+
+
 def _compare(k: int, metric: Metric):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -88,8 +103,8 @@ def _compare(k: int, metric: Metric):
                 if q.shape[1] != d.shape[1]:
                     continue
                 s = pair_scores(q, d, metric)
-                order = np.lexsort((np.broadcast_to(d_ids, s.shape), -np.round(s, DIGITS)), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, order.shape[1])), pa.array(d_ids[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], ["query_id", "id", "score"])
+                row, at = best_of_block(s, d_ids, k)
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(d_ids[at]), pa.array(s[row, at])], ["query_id", "id", "score"])
 
     return run
 

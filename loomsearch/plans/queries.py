@@ -20,7 +20,8 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 TERMS = "the and der que la nicht"
 K = 10
-N_LISTS, N_PROBE = 16, 5
+#: The IVF queries take the first vectors as centroids, as many as ivf.list_count says, and probe as many lists as hold this share of the true neighbours of the rows whose id is divisible by 20.
+RECALL = 0.92
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -344,13 +345,23 @@ def hybrid_text_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Inverted file
 
-CENTROIDS = f"SELECT row_number() OVER (ORDER BY id) - 1 AS cid, v AS c FROM (SELECT * FROM ({V}) ORDER BY id LIMIT {N_LISTS})"
+CENTROIDS = f"SELECT n AS cid, v AS c FROM (SELECT v, row_number() OVER (ORDER BY id) - 1 AS n, count(*) OVER () AS rows FROM ({V})) WHERE n < least(rows, greatest({ivf.FEWEST}, floor(sqrt(rows - 1)) + 1))"
 NEAR = f"SELECT id, v, label, cid, row_number() OVER (PARTITION BY id ORDER BY round(list_distance(v, c), 9), cid) AS nth FROM ({V}), ({CENTROIDS})"
+ASKED = batch_sql("cosine").replace(f"WHERE rank <= {K}", f"WHERE rank <= {K + 1} AND query_id % 20 = 0")
+#: CTEs near and probe(n)
+PROBE = f"""near AS ({NEAR}), place AS (SELECT q.nth AS p FROM ({ASKED}) t JOIN near d ON t.id = d.id AND d.nth = 1 JOIN near q ON q.id = t.query_id AND q.cid = d.cid WHERE t.query_id <> t.id),
+probe AS (SELECT min(p) AS n FROM (SELECT p, row_number() OVER (ORDER BY p) AS seen, count(*) OVER () AS whole FROM place) WHERE seen >= {RECALL} * whole)"""
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, np.ndarray]:
-    centroids = first_vectors(spark, sf_dir, N_LISTS)
-    return ivf.assign(vectors(spark, sf_dir), centroids), centroids
+    docs = vectors(spark, sf_dir)
+    centroids = first_vectors(spark, sf_dir, ivf.list_count(docs.count()))
+    return ivf.assign(docs, centroids), centroids
+
+
+def _probed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, np.ndarray, int]:
+    docs, (lists, centroids) = vectors(spark, sf_dir), _lists(spark, sf_dir)
+    return lists, centroids, ivf.measured_probes(docs, centroids, "cosine", K, RECALL, asked=docs.where("id % 20 = 0"), least=1)
 
 
 @query(f"SELECT id, cid FROM ({NEAR}) WHERE nth = 1")
@@ -369,36 +380,36 @@ def ivf_lloyd_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 IVF_BATCH = f"""SELECT query_id, rank, id, s FROM (SELECT query_id, id, s, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS rank
 FROM (SELECT p.id AS query_id, d.id AS id, {SQL_SCORE["cosine"].replace("v,", "d.v,").replace(" v)", " d.v)").replace("(q", "(p.v").replace(" q)", " p.v)")} AS s
-FROM near p JOIN near d ON p.cid = d.cid AND d.nth = 1 WHERE p.nth <= {N_PROBE})) WHERE rank <= {K}"""
+FROM near p JOIN near d ON p.cid = d.cid AND d.nth = 1 WHERE p.nth <= (SELECT n FROM probe))) WHERE rank <= {K}"""
 
 
-@query(f"WITH near AS ({NEAR}) SELECT query_id, rank, id, round(s, 6) + 0.0 AS score FROM ({IVF_BATCH})")
+@query(f"WITH {PROBE} SELECT query_id, rank, id, round(s, 6) + 0.0 AS score FROM ({IVF_BATCH})")
 def search_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists, centroids = _lists(spark, sf_dir)
-    return six(ivf.search_batch(vectors(spark, sf_dir), lists, centroids, K, N_PROBE), "score")
+    lists, centroids, n_probe = _probed(spark, sf_dir)
+    return six(ivf.search_batch(vectors(spark, sf_dir), lists, centroids, K, n_probe), "score")
 
 
 @query(
-    f"""WITH near AS ({NEAR}), q AS (SELECT v AS q, id AS qid FROM ({V}) ORDER BY id LIMIT 1)
+    f"""WITH {PROBE}, q AS (SELECT v AS q, id AS qid FROM ({V}) ORDER BY id LIMIT 1)
 SELECT row_number() OVER (ORDER BY round(s, 9) DESC, id) AS rank, id, round(s, 6) + 0.0 AS score FROM (
 SELECT d.id, {SQL_SCORE["cosine"].replace("v,", "d.v,").replace(" v)", " d.v)")} AS s FROM near d, q WHERE nth = 1 AND label <> 3
-AND cid IN (SELECT cid FROM near WHERE id = (SELECT qid FROM q) AND nth <= {N_PROBE})) ORDER BY rank LIMIT {K}"""
+AND cid IN (SELECT cid FROM near WHERE id = (SELECT qid FROM q) AND nth <= (SELECT n FROM probe))) ORDER BY rank LIMIT {K}"""
 )
 def search_ivf_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists, centroids = _lists(spark, sf_dir)
+    lists, centroids, n_probe = _probed(spark, sf_dir)
     both = lists.join(vectors(spark, sf_dir).select("id", "label"), "id")
-    return six(ivf.search(both, centroids, first_vectors(spark, sf_dir, 1)[0], K, N_PROBE, "cosine", Ne("label", 3).where(Typed(both))), "score")
+    return six(ivf.search(both, centroids, first_vectors(spark, sf_dir, 1)[0], K, n_probe, "cosine", Ne("label", 3).where(Typed(both))), "score")
 
 
 @query(
-    f"""WITH near AS ({NEAR}), a AS ({IVF_BATCH}), e AS ({batch_sql("cosine")})
+    f"""WITH {PROBE}, a AS ({IVF_BATCH}), e AS ({batch_sql("cosine")})
 SELECT count(DISTINCT e.query_id) AS queries, count(*) AS wanted, count(a.id) AS found, round(count(a.id) / count(*), 6) AS recall
 FROM e LEFT JOIN a ON a.query_id = e.query_id AND a.id = e.id"""
 )
 def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists, centroids = _lists(spark, sf_dir)
+    lists, centroids, n_probe = _probed(spark, sf_dir)
     docs = vectors(spark, sf_dir)
-    return six(recall.recall_at_k(ivf.search_batch(docs, lists, centroids, K, N_PROBE), search.search_batch(docs, docs, K)), "recall")
+    return six(recall.recall_at_k(ivf.search_batch(docs, lists, centroids, K, n_probe), search.search_batch(docs, docs, K)), "recall")
 
 
 @query()

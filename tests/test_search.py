@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loomsearch.plans.queries import QUERIES
 from loomsearch.operators import bm25, hnsw, hybrid, ivf, metadata_index, recall, search
 from loomsearch.operators.filters import Eq, Typed
 
@@ -161,3 +162,49 @@ def test_metadata_index(spark):
     assert {r["id"] for r in metadata_index.match_in(index, "k", [5, 7]).collect()} >= {"a"}
     assert {r["id"] for r in metadata_index.all_ids(index).collect()} == {"a", "b"}
     assert metadata_index.size(metadata_index.remove(index, df.where("id = 'a'"))) == 3
+
+
+def test_recall_of_registered_ivf_query(spark):
+    row = QUERIES["recall_at_k"](spark, "/root/testdata/sf0.01").first()
+    assert row["queries"] == 500 and row["recall"] >= 0.9
+
+
+def test_blocks_keep_the_best_with_ties():
+    r = np.random.default_rng(3)
+    s, ids = r.integers(0, 4, (30, 50)) / 4, r.permutation(50)
+    row, at = search.best_of_block(s, ids, 7)
+    for i in range(30):
+        assert list(at[row == i]) == list(np.lexsort((ids, -s[i]))[:7])
+    assert len(search.best_of_block(s[:, :3], ids[:3], 7)[0]) == 90
+
+
+def test_list_with_most_rows_is_cut_over_tasks(spark):
+    r = np.random.default_rng(4)
+    v = np.concatenate([r.normal(0, 0.01, (6000, 8)), r.normal(5, 1, (200, 8))])
+    df = frame(spark, v)
+    c = np.array([[0.0] * 8, [5.0] * 8])
+    lists = ivf.assign(df, c)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else so few rows are put together again
+    parts = ivf._blocks(lists).withColumn("p", F.spark_partition_id()).where("cid = 0").select("p").distinct().count()
+    spark.conf.unset("spark.sql.adaptive.enabled")
+    assert parts > 1
+    asked = df.where("id % 500 = 0")
+    got = {(x["query_id"], x["rank"]): x["id"] for x in ivf.search_batch(asked, lists, c, 5, 2, "l2").collect()}
+    assert got == {(x["query_id"], x["rank"]): x["id"] for x in search.search_batch(asked, df, 5, "l2").collect()}
+
+
+def test_stored_text_index(spark, tmp_path):
+    rows = [(1, "vector database engine"), (2, "database query, the database"), (3, "machine learning with vectors"), (4, None), (5, "..."), (None, "database")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    path = str(tmp_path / "index")
+    bm25.add(docs, path)
+    exact = lambda d, q: {r["id"]: round(r["score"], 9) for r in bm25.scores(d.where("id is not null"), q).collect()}
+    stored = lambda q: {r["id"]: round(r["score"], 9) for r in bm25.stored_scores(spark, path, q).collect()}
+    for q in ("database", "vector engine", "nothing", ""):
+        assert stored(q) == exact(docs, q)
+    bm25.add(spark.createDataFrame([(2, "a vector"), (6, "engine")], "id long, text string"), path)
+    bm25.remove(spark.createDataFrame([(3,), (99,)], "id long"), path)
+    now = spark.createDataFrame([(1, "vector database engine"), (2, "a vector"), (6, "engine")], "id long, text string")
+    for q in ("database", "vector engine", "machine"):
+        assert stored(q) == exact(now, q)
+    assert [r["id"] for r in bm25.stored_search(spark, path, "engine", 1).collect()] == [6]
