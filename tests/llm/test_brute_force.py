@@ -23,7 +23,7 @@ WORD = re.compile("[a-z0-9\u0080-\U0010ffff]+")
 
 @pytest.fixture(scope="module")
 def documents(spark):
-    return spark.read.parquet(f"{SF}/documents.parquet").cache()
+    return spark.read.parquet(f"{SF}/documents.parquet")
 
 
 @pytest.fixture(scope="module")

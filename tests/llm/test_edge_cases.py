@@ -24,7 +24,9 @@ NAMES = ("id", "th", "t", "h", "g", "n", "node", "label", "gone", "row", "part",
 @pytest.fixture(scope="module")
 def docs(spark):
     df = spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string, n_chars long")
-    return df.withColumns({name: F.lit(f"extra {name}") for name in NAMES}).cache()
+    df = df.withColumns({name: F.lit(f"extra {name}") for name in NAMES}).cache()
+    yield df
+    df.unpersist()
 
 
 @pytest.fixture(scope="module")
