@@ -1,16 +1,15 @@
 """Personal data by a character-level bidirectional LSTM with CRF transitions, all in numpy.
 
 The tagger reads the bytes of a text in windows of `WINDOW`, each beginning `STRIDE`
-after the last, tags them B/I by kind or O, and is trained from labelled spans (by
-default those that `examples` makes: invented prose in which invented addresses,
-numbers and tokens stand beside harmless numbers). Every window is decoded by Viterbi.
+after the last, tags them B/I by kind or O, and is trained from labelled spans (those
+that are given, by default those that `examples` makes: invented prose in which invented
+addresses, numbers and tokens, with and without digits, stand beside harmless ones).
+Every window of every text goes through the network, and is decoded by Viterbi but where
+the emissions alone prove that the best path is O throughout (`quiet`).
 Then a text's spans are reconciled as a whole: overlapping ones of a kind are one,
 with the borders that a window saw entirely if any did, and of overlapping ones of
 different kinds the set with the greatest total score stays.
 
-A span has a digit or an '@' by definition; windows without either can have none
-and are not run through the network, which changes no result.
-
 Defined results: null, empty and harmless texts have no spans and stay as they are;
 every row, repeated or not, is tagged by itself; null ids are passed on; other columns
 are passed on, and n_chars is set anew where a text has changed.
@@ -31,7 +30,7 @@ from . import _text as T
 
 KINDS = ("EMAIL", "PHONE", "IP", "CARD", "SSN", "SECRET")
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
-WINDOW, STRIDE = 128, 64
+WINDOW, STRIDE, TRAIN_WINDOW, PAD = 256, 192, 128, 64
 _PUNCTUATION = " .@-+():/_=\"',#|!?;$%&*\n<>[]{}~"
 SYMBOLS = np.full(256, 1, np.uint8)  # 0: beyond the text, 1: any other byte
 SYMBOLS[0x80:] = 2
@@ -41,9 +40,6 @@ SYMBOLS[97:123] = np.arange(5, 31)
 for _i, _c in enumerate(_PUNCTUATION):
     SYMBOLS[ord(_c)] = 31 + _i
 N_SYMBOLS = 31 + len(_PUNCTUATION)
-IS_TRIGGER = np.zeros(256, bool)
-IS_TRIGGER[48:58] = True
-IS_TRIGGER[ord("@")] = True
 
 
 @dataclass
@@ -68,6 +64,11 @@ def new_net(seed: int, dim: int, hidden: int, dtype: type = np.float32) -> Net:
     return Net(*(x.astype(dtype) for x in raw))
 
 
+def soft(x: np.ndarray) -> np.ndarray:
+    """The activation, x / (1 + |x|) in place of tanh, which costs ten times as much in numpy; (1 + soft) / 2 takes the place of the sigmoid."""
+    return x / (1 + np.abs(x))
+
+
 def _forward(net: Net, ids: np.ndarray) -> tuple[np.ndarray, tuple]:
     """Emissions [window, place, tag], and what the gradient needs."""
     n, length = ids.shape
@@ -78,17 +79,70 @@ def _forward(net: Net, ids: np.ndarray) -> tuple[np.ndarray, tuple]:
     h, c = np.zeros((2, n, hidden), net.emb.dtype), np.zeros((2, n, hidden), net.emb.dtype)
     hs, cs, gates = np.empty((length, 2, n, hidden), h.dtype), np.empty((length, 2, n, hidden), h.dtype), np.empty((length, 2, n, 4 * hidden), h.dtype)
     for t in range(length):
-        z = pre[t] + np.matmul(h, net.wh)
-        z[..., : 3 * hidden] *= 0.5
-        np.tanh(z, out=z)
-        z[..., : 3 * hidden] = 0.5 + 0.5 * z[..., : 3 * hidden]
-        c = z[..., hidden : 2 * hidden] * c + z[..., :hidden] * z[..., 3 * hidden :]
-        h = z[..., 2 * hidden : 3 * hidden] * np.tanh(c)
-        hs[t], cs[t], gates[t] = h, c, z
+        y = soft(pre[t] + np.matmul(h, net.wh))
+        i, f, o = (0.5 + 0.5 * y[..., k * hidden : (k + 1) * hidden] for k in range(3))
+        c = f * c + i * y[..., 3 * hidden :]
+        h = o * soft(c)
+        hs[t], cs[t], gates[t] = h, c, y
     out = np.concatenate([hs[:, 0], hs[::-1, 1]], 2)
     return (out @ net.wo + net.bo).transpose(1, 0, 2), (both, hs, cs, gates, out)
 
 
+def emissions(net: Net, ids: np.ndarray) -> np.ndarray:
+    """Emissions [place, tag, window] only: the input's share of the gates is looked up by symbol, and no state is kept."""
+    n, length = ids.shape
+    hidden = net.wh.shape[1]
+    kind = net.emb.dtype
+    out = np.empty((length, net.wo.shape[1], n), kind)
+    places = np.ascontiguousarray(ids.T).astype(np.intp)
+    z, size = np.empty((4, n, hidden), kind), np.empty((4, n, hidden), kind)
+    for d in (0, 1):
+        table = np.ascontiguousarray((net.emb @ net.wx[d] + net.b[d]).reshape(-1, 4, hidden).transpose(1, 0, 2))
+        wh = np.ascontiguousarray(net.wh[d].reshape(hidden, 4, hidden).transpose(1, 0, 2))
+        wo = np.ascontiguousarray(net.wo[d * hidden : (d + 1) * hidden].T)
+        h, c = np.zeros((n, hidden), kind), np.zeros((n, hidden), kind)
+        for t in range(length) if d == 0 else range(length - 1, -1, -1):
+            np.take(table, places[t], axis=1, out=z, mode="clip")
+            np.matmul(h, wh, out=size)
+            z += size
+            np.abs(z, out=size)
+            size += 1
+            z /= size
+            z[:3] *= 0.5
+            z[:3] += 0.5
+            c *= z[1]
+            z[0] *= z[3]
+            c += z[0]
+            h = np.abs(c)
+            h += 1
+            np.divide(c, h, out=h)
+            h *= z[2]
+            if d == 0:
+                np.matmul(wo, h.T, out=out[t])
+            else:
+                out[t] += wo @ h.T
+    out += net.bo[:, None]
+    return out
+
+
+def quiet(net: Net, e: np.ndarray) -> np.ndarray:
+    """Windows of emissions [place, tag, window] whose best path is surely O throughout.
+
+    Against O throughout, a stretch of other tags gains at most its best emissions over O's,
+    the best transition inwards, between, and (but at the window's end) outwards, each over
+    that of O to O. If no stretch can gain, every other path loses.
+    """
+    base = net.trans[0, 0]
+    enter = max(net.trans[0, 1:].max() - base, net.begin[1:].max() - net.begin[0])
+    leave, inner = net.trans[1:, 0].max() - base, net.trans[1:, 1:].max() - base
+    over = e[:, 1:].max(1) - e[:, 0] + inner
+    best = run = over[0]
+    for t in range(1, len(over)):
+        run = np.maximum(run, 0) + over[t]
+        best = np.maximum(best, run)
+    return (best + enter + leave - inner < -1e-3) & (run + enter - inner < -1e-3)
+
+
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     m = x.max(axis, keepdims=True)
     return np.log(np.exp(x - m).sum(axis)) + np.squeeze(m, axis)
@@ -125,12 +179,13 @@ def loss_and_gradient(net: Net, ids: np.ndarray, tags: np.ndarray) -> tuple[floa
     dh, dc = np.zeros_like(hs[0]), np.zeros_like(hs[0])
     d_wh = np.zeros_like(net.wh)
     for t in range(length - 1, -1, -1):
-        i, f, o, g = (gates[t][..., k * hidden : (k + 1) * hidden] for k in range(4))
+        y = gates[t]
+        i, f, o = (0.5 + 0.5 * y[..., k * hidden : (k + 1) * hidden] for k in range(3))
         dh = dh + dh_all[t]
-        th = np.tanh(cs[t])
-        dc = dc + dh * o * (1 - th**2)
+        th = soft(cs[t])
+        dc = dc + dh * o * (1 - np.abs(th)) ** 2
         before = cs[t - 1] if t else np.zeros_like(dc)
-        d_pre[t] = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), dh * th * o * (1 - o), dc * i * (1 - g**2)], 2)
+        d_pre[t] = np.concatenate([0.5 * dc * y[..., 3 * hidden :], 0.5 * dc * before, 0.5 * dh * th, dc * i], 2) * (1 - np.abs(y)) ** 2
         if t:
             d_wh += np.matmul(hs[t - 1].transpose(0, 2, 1), d_pre[t])
         dh = np.matmul(d_pre[t], net.wh.transpose(0, 2, 1))
@@ -157,6 +212,12 @@ def viterbi(net: Net, e: np.ndarray) -> np.ndarray:
     return out
 
 
+_ONSET = ("b", "c", "d", "f", "g", "h", "j", "k", "l", "m", "n", "p", "r", "s", "t", "v", "w", "y", "z", "bl", "br", "ch", "cl", "dr", "fl", "gr", "pl", "pr", "qu", "sch", "sh", "sl", "sp", "st", "str", "th", "tr", "wh", "")
+_VOWEL = ("a", "e", "i", "o", "u", "a", "e", "i", "o", "u", "ai", "au", "ea", "ee", "ei", "ie", "io", "ou", "é", "è", "ê", "ç", "á", "í", "ó", "ú", "ä", "ö", "ü", "å", "ø")
+_CODA = ("", "", "", "", "b", "ck", "d", "ft", "g", "l", "ll", "m", "n", "nd", "ng", "nt", "p", "r", "rt", "s", "ss", "st", "t", "x", "ß", "ñ")
+_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def examples(n: int, seed: int) -> list[tuple[bytes, list[tuple[int, int, int]]]]:
     """Invented texts with labelled spans (begin, end, kind), in bytes."""
     r = np.random.default_rng(seed)
@@ -168,64 +229,72 @@ def examples(n: int, seed: int) -> list[tuple[bytes, list[tuple[int, int, int]]]
         return "".join(chars[i] for i in r.integers(0, len(chars), r.integers(low, high + 1)))
 
     def digits(k: int) -> str:
-        return some("0123456789", k, k)
-
-    syllables = ("th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it", "st", "io", "le", "is", "ou", "ar", "as", "de", "rt", "ve", "ión", "é", "è", "ç", "ñ", "ü", "ö", "ß", "sch", "ung", "heit", "que", "ment", "eau", "tion", "la", "co", "ba", "mi", "za", "kl", "pf", "gr", "wa", "lo", "su", "ji")
+        return some(_DIGITS, k, k)
 
     def word() -> str:
-        w = "".join(pick(syllables) for _ in range(r.integers(1, 5)))
+        w = "".join(pick(_ONSET) + pick(_VOWEL) + pick(_CODA) for _ in range(pick((1, 1, 2, 2, 2, 3, 3, 4, 6))))
         x = r.random()
-        return w.capitalize() if x < 0.12 else w.upper() if x < 0.16 else w
+        return w.capitalize() if x < 0.14 else w.upper() if x < 0.18 else w
+
+    def plain() -> str:
+        return "".join(c for c in word().lower() if ord(c) < 128) or some(_LOWER, 2, 6)
 
     def email() -> str:
-        name = pick((word(), word(), word() + pick("._-") + word(), word() + pick((".", "", "_", "-")) + digits(r.integers(1, 4)), some("abcdefghijklmnopqrstuvwxyz", 1, 3)))
-        host = pick((word().lower() + digits(r.integers(0, 3)), "mail" + digits(1), word().lower(), "mail"))
-        host = "".join(c for c in host if ord(c) < 128) or "host"
-        return name + "@" + pick(("", "", host + ".")) + (("".join(c for c in word().lower() if ord(c) < 128)) or "site") + pick((".com", ".org", ".net", ".de", ".fr", ".co.uk", ".io", ".example.com"))
+        name = pick((plain(), plain() + pick("._-+") + plain(), plain() + pick((".", "", "_", "-")) + digits(r.integers(1, 5)), some(_LOWER, 1, 9), plain().capitalize() + "." + plain().capitalize(), some(_LOWER + _DIGITS + "._", 4, 14).strip("._") or "a"))
+        host = ".".join(pick((plain(), plain() + digits(r.integers(1, 3)), plain() + "-" + plain())) for _ in range(pick((1, 1, 1, 2, 2, 3))))
+        return name + "@" + host + "." + pick(("com", "org", "net", "edu", "gov", "info", "de", "fr", "es", "it", "nl", "co.uk", "com.br", "io", "dev", "ac.jp"))
 
     def phone() -> str:
         a, b, c = digits(3), digits(3), digits(4)
-        return pick((f"+{pick('123456789')} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{digits(2)} {digits(3)} {digits(3)} {digits(3)}", f"+1-{a}-{b}-{c}", f"+1 {a} {b} {c}", f"{a}.{b}.{c}"))
+        land = some(_DIGITS, 1, 3)
+        return pick((f"+{land} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{land} {a} {b} {digits(3)}", f"+{land}-{a}-{b}-{c}", f"+{land} {a} {b} {c}", f"{a}.{b}.{c}", f"0{digits(2)} {c} {digits(4)}", f"+{land} {digits(2)} {digits(2)} {digits(2)} {digits(2)} {digits(1)}", f"+{land}{digits(10)}", f"0{digits(4)}/{digits(6)}"))
 
     def ip() -> str:
         return ".".join(str(r.integers(0, 256)) for _ in range(4))
 
     def card() -> str:
-        d = pick("2345679") + digits(15)
-        return pick((d, d, " ".join(d[i : i + 4] for i in (0, 4, 8, 12)), "-".join(d[i : i + 4] for i in (0, 4, 8, 12)), d[:15]))
+        d = pick("3456") + digits(15)
+        return pick((d, d, " ".join(d[i : i + 4] for i in (0, 4, 8, 12)), "-".join(d[i : i + 4] for i in (0, 4, 8, 12)), d[:15], f"{d[:4]} {d[4:10]} {d[10:15]}"))
 
     def ssn() -> str:
         return f"{digits(3)}-{digits(2)}-{digits(4)}"
 
     def secret() -> tuple[str, str, str]:
-        value = pick((some("0123456789abcdef", 32, 32), some("0123456789abcdef", 24, 64), some("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20, 48), "AKIA" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16, 16), "sk-" + some("abcdefghijklmnopqrstuvwxyz0123456789", 24, 40)))
-        if not any("0" <= x <= "9" for x in value):
-            value = value[:-1] + "7"
-        q = pick(('"', '"', "'", ""))
-        return pick(("token", "api_key", "secret", "key", "password", "access_token", "apikey", "")) + pick((" = ", "=", ": ", " ")) + q, value, q
+        own = r.random() < 0.3
+        hexes = _DIGITS + pick(("abcdef", "abcdef", "ABCDEF"))
+        value = pick((some(hexes, 16, 64), some(hexes, 16, 40), some(_LOWER + _UPPER + _DIGITS, 16, 48), some(_LOWER + _UPPER + _DIGITS, 16, 48), some(_LOWER + _UPPER, 20, 40), pick(("AKIA", "ASIA")) + some(_UPPER + "234567", 16, 16), pick(("sk-", "ghp_", "pk_live_", "xoxb-")) + some(_LOWER + _UPPER + _DIGITS, 20, 40), some(_LOWER + _UPPER + _DIGITS + "+/", 24, 44) + pick(("", "=", "=="))))
+        if own:
+            q = pick(('"', "'", "", ""))
+            return q, value, q
+        if r.random() < 0.4:
+            value = pick((some(_LOWER, 8, 20), some(_LOWER + _UPPER, 8, 24), some(_LOWER + _DIGITS, 8, 16), plain() + plain() + plain() + "xyz", some(_LOWER + _UPPER + _DIGITS + "!#%_-", 9, 18)))
+        q = pick(('"', '"', "'", "", ""))
+        name = pick(("token", "api_key", "secret", "key", "password", "passwd", "pwd", "access_token", "apikey", "auth", "client_secret", "private_key", "API_KEY", "SECRET", "Password", "Token"))
+        return name + pick((" = ", "=", ": ", ":", " := ")) + q, value, q
 
     def harmless() -> str:
-        return pick((str(r.integers(0, 100_000)), digits(r.integers(1, 8)), f"{r.integers(1900, 2100)}", f"{r.integers(1, 999)}.{digits(2)}", f"{r.integers(1, 13)}/{r.integers(1, 29)}/{r.integers(1990, 2030)}", f"{r.integers(1990, 2030)}-{r.integers(10, 13)}-{r.integers(10, 29)}", f"{r.integers(0, 24)}:{digits(2)}", f"{digits(1)}.{digits(1)}.{digits(2)}", f"Version {digits(1)}.{digits(1)}", f"{digits(2)}%", f"${digits(3)},{digits(3)}", "@" + word(), "@ " + word(), f"({r.integers(1900, 2100)})", word() + digits(2), f"{digits(2)}-{digits(2)}", f"No. {digits(4)}", digits(3) + " " + digits(3), f"p. {digits(3)}", f"{word()} {digits(1)}.{digits(1)}.", f"{word().upper()}-{digits(1)}.{digits(1)}", f"CC BY-SA {digits(1)}.0.", "Licensed under the Apache License, Version 2.0."))
+        w = plain()
+        return pick((str(r.integers(0, 100_000)), digits(r.integers(1, 8)), f"{r.integers(1900, 2100)}", f"{r.integers(1, 999)}.{digits(2)}", f"{r.integers(1, 13)}/{r.integers(1, 29)}/{r.integers(1990, 2030)}", f"{r.integers(1990, 2030)}-{r.integers(10, 13)}-{r.integers(10, 29)}", f"{r.integers(0, 24)}:{digits(2)}", f"{digits(1)}.{digits(1)}.{digits(2)}", f"v{digits(1)}.{digits(1)}.{digits(1)}", f"{digits(2)}%", f"${digits(3)},{digits(3)}", "@" + w, "@ " + w, f"({r.integers(1900, 2100)})", w + digits(2), f"{digits(2)}-{digits(2)}", f"No. {digits(4)}", digits(3) + " " + digits(3), f"p. {digits(3)}", f"{w} {digits(1)}.{digits(1)}.", f"{w.upper()}-{digits(1)}.{digits(1)}", f"https://www.{w}.com/{plain()}/{digits(3)}", f"{w}.org", f"/{w}/{plain()}.txt", f"{w}_{plain()}", f"{w}{plain().capitalize()}{plain().capitalize()}", w.upper() + plain().upper(), "#" + some(_DIGITS + "abcdef", 6, 6), f"the {pick(('password', 'token', 'key', 'secret'))} of {w}", f"a {pick(('secret', 'key', 'token'))} {w}", f"{w}: {plain()}", f"{w} = {digits(2)}", f'"{w} {plain()}"', f"{w}({digits(1)})", f"<{w}>", f"{w}-{plain()}-{plain()}", f"1,{digits(3)},{digits(3)}", pick(("*", "-", "=", "%", "#", "~", ".")) * int(r.integers(3, 12)), f"{digits(3)} x {digits(4)}", f"ISBN {digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}", w + plain() + plain() + plain()))
 
     out = []
     for _ in range(n):
         text, spans = b"", []
-        style = r.random()
-        gap = " | " if style < 0.06 else " "
-        for _ in range(r.integers(6, 26)):
+        gap = " " if r.random() < 0.92 else pick((" | ", ", ", "\t", "; ", "\n"))
+        noise = 0.97 if r.random() < 0.9 else 0.4
+        for _ in range(r.integers(6, 30)):
             x = r.random()
-            if x < 0.13:
-                kind = int(r.integers(len(KINDS)))
+            if x < 0.11:
+                kind = int(r.choice(len(KINDS), p=(0.17, 0.15, 0.12, 0.13, 0.11, 0.32)))
                 lead, value, tail = secret() if kind == 5 else ("", (email, phone, ip, card, ssn)[kind](), "")
                 raw = value.encode()
                 text += lead.encode()
                 spans.append((len(text), len(text) + len(raw), kind))
                 text += raw + tail.encode()
                 text += pick(("", "", "", "", ".", ",", ")", ";")).encode()
-            elif x < 0.2:
+            elif x < 0.22:
                 text += harmless().encode()
             else:
-                text += word().encode() + pick(("", "", "", "", "", "", "", ".", ",", "!", "***", "%%%", ":", "?")).encode()
+                text += word().encode() + (pick(("", "", "", "", "", "", "", ".", ",", "!", ":", "?", ".", '"', ")")) if r.random() < noise else some("*%$#&~^=+|<>!?-_", 1, 4)).encode()
             text += pick((gap,) * 12 + ("\n",)).encode()
         out.append((text, spans))
     return out
@@ -233,13 +302,14 @@ def examples(n: int, seed: int) -> list[tuple[bytes, list[tuple[int, int, int]]]
 
 def windows_of(data: list[tuple[bytes, list[tuple[int, int, int]]]], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and tags of a window at a random place of each text."""
-    ids, tags = np.zeros((len(data), WINDOW), np.uint8), np.zeros((len(data), WINDOW), np.int8)
+    size = TRAIN_WINDOW
+    ids, tags = np.zeros((len(data), size), np.uint8), np.zeros((len(data), size), np.int8)
     for k, (text, spans) in enumerate(data):
-        at = int(rng.integers(0, max(1, len(text) - WINDOW // 2)))
-        piece = np.frombuffer(text[at : at + WINDOW], np.uint8)
+        at = int(rng.integers(0, max(1, len(text) - size // 2)))
+        piece = np.frombuffer(text[at : at + size], np.uint8)
         ids[k, : len(piece)] = SYMBOLS[piece]
         for a, b, kind in spans:
-            lo, hi = max(a - at, 0), min(b - at, WINDOW)
+            lo, hi = max(a - at, 0), min(b - at, size)
             if lo < hi:
                 tags[k, lo:hi] = 2 + 2 * kind
                 if a >= at:
@@ -247,7 +317,7 @@ def windows_of(data: list[tuple[bytes, list[tuple[int, int, int]]]], rng: np.ran
     return ids, tags
 
 
-def train(data: list[tuple[bytes, list[tuple[int, int, int]]]], steps: int = 450, batch: int = 48, rate: float = 0.012, seed: int = 3, dim: int = 12, hidden: int = 20) -> Net:
+def train(data: list[tuple[bytes, list[tuple[int, int, int]]]], steps: int = 600, batch: int = 64, rate: float = 0.015, seed: int = 3, dim: int = 12, hidden: int = 20) -> Net:
     """Adam, with a rate that falls to a tenth, over random windows of the labelled texts."""
     rng = np.random.default_rng(seed)
     net = new_net(seed, dim, hidden)
@@ -269,7 +339,7 @@ def train(data: list[tuple[bytes, list[tuple[int, int, int]]]], steps: int = 450
 _trained: dict[tuple[int, int], Net] = {}
 
 
-def default_net(size: int = 6000, steps: int = 450) -> Net:
+def default_net(size: int = 8000, steps: int = 600) -> Net:
     """The tagger fitted on the built-in examples, once per process."""
     key = (size, steps)
     if key not in _trained:
@@ -312,22 +382,26 @@ def _one(group: list[tuple[int, int, int, float, bool]]) -> tuple[int, int, int,
 
 def find(net: Net, s: T.Slice, most: int = 512) -> dict[int, list[tuple[int, int, int]]]:
     """Spans (begin, end, kind), in bytes, of the rows that have any."""
-    trigger = np.flatnonzero(IS_TRIGGER[s.buf])
-    if not len(trigger):
-        return {}
-    row = np.searchsorted(s.offs, trigger, "right") - 1
-    place = trigger - s.offs[row]
-    cell = np.concatenate([place // STRIDE, np.maximum(place // STRIDE - 1, 0)])
-    need = np.unique(np.stack([np.concatenate([row, row]), cell]), axis=1)
-    begin = s.offs[need[0]] + need[1] * STRIDE
-    stop = np.minimum(begin + WINDOW, s.offs[need[0] + 1])
+    size = np.diff(s.offs)
+    count = np.where(size > 0, 1 + np.maximum(-(-(size - WINDOW) // STRIDE), 0), 0)
+    of = np.repeat(np.arange(s.rows), count)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    begin = s.offs[of] + nth * STRIDE
+    stop = np.minimum(begin + WINDOW, s.offs[of + 1])
+    padded_to = -(-(stop - begin) // PAD) * PAD  # what a window sees depends on itself alone
+    order = np.argsort(padded_to, kind="stable")
+    of, begin, stop, padded_to = of[order], begin[order], stop[order], padded_to[order]
+    border = np.unique(np.concatenate([np.arange(0, len(of), most), np.searchsorted(padded_to, np.arange(0, WINDOW + 1, PAD), "right"), [len(of)]]))
     found: dict[int, list[tuple[int, int, int, float, bool]]] = {}
-    total = np.append(0, np.cumsum(IS_TRIGGER[s.buf]))
-    for k in range(0, len(begin), most):
-        lo, hi = begin[k : k + most], stop[k : k + most]
-        at = lo[:, None] + np.arange(WINDOW)
+    for k, z in zip(border[:-1], border[1:]):
+        lo, hi, row, length = begin[k:z], stop[k:z], of[k:z], int(padded_to[k])
+        at = lo[:, None] + np.arange(length)
         ids = np.where(at < hi[:, None], SYMBOLS[s.buf[np.minimum(at, len(s.buf) - 1)]], 0)
-        e, _ = _forward(net, ids)
+        e = emissions(net, ids)
+        loud = np.flatnonzero(~quiet(net, e))
+        if not len(loud):
+            continue
+        lo, hi, row, at, e = lo[loud], hi[loud], row[loud], at[loud], np.ascontiguousarray(e[:, :, loud].transpose(2, 0, 1))
         tags = viterbi(net, e)
         tags[at >= hi[:, None]] = 0
         kind = np.where(tags > 0, (tags - 1) // 2, -1)
@@ -335,14 +409,12 @@ def find(net: Net, s: T.Slice, most: int = 512) -> dict[int, list[tuple[int, int
         starts = (kind >= 0) & ((padded[:, :-1] != kind) | (tags % 2 == 1))
         for i, j in np.argwhere(starts):
             end = j + 1
-            while end < WINDOW and kind[i, end] == kind[i, j] and not starts[i, end]:
+            while end < length and kind[i, end] == kind[i, j] and not starts[i, end]:
                 end += 1
-            a, b, r = int(lo[i] + j), int(lo[i] + end), int(need[0][k + i])
-            if total[b] == total[a]:
-                continue
+            a, b, r = int(lo[i] + j), int(lo[i] + end), int(row[i])
             base = int(s.offs[r])
             score = float((e[i, np.arange(j, end), tags[i, j:end]] - e[i, j:end, 0]).sum())
-            whole = (j > 0 or a == base) and (end < WINDOW or b == int(s.offs[r + 1]))
+            whole = (j > 0 or a == base) and (b < int(hi[i]) or b == int(s.offs[r + 1]))
             found.setdefault(r, []).append((a - base, b - base, int(kind[i, j]), score, bool(whole)))
     return {r: reconciled(x) for r, x in found.items()}
 

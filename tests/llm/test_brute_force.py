@@ -182,6 +182,53 @@ def test_viterbi_of_tags():
         assert tuple(got) == best
 
 
+def test_emissions_and_quiet_windows():
+    r = np.random.default_rng(2)
+    quiet = 0
+    for trial in range(60):
+        net = pii_tagger.new_net(trial, 4, 5, np.float64)
+        net.bo[0] += r.uniform(0, 4)
+        net.trans[0, 0] += r.uniform(0, 2)
+        ids = r.integers(0, pii_tagger.N_SYMBOLS, (20, 12))
+        e, _ = pii_tagger._forward(net, ids)
+        fast = pii_tagger.emissions(net, ids)
+        assert np.allclose(fast.transpose(2, 0, 1), e)
+        sure = pii_tagger.quiet(net, fast)
+        assert not pii_tagger.viterbi(net, e)[sure].any()
+        quiet += sure.sum()
+    assert 0 < quiet < 60 * 20
+
+
+def test_every_window_is_run_and_reconciled():
+    """find() against a direct version: every window by itself, by the full forward pass and Viterbi."""
+    net = pii_tagger.default_net()
+    texts = [x.decode() for x, _ in pii_tagger.examples(60, 5)] + ["", "x", "a word " * 200 + "password = kqzvbnmxwrtp and then on " * 3, "tail mail to bo.li@some.site.org" + " and so on" * 50]
+    W, S = pii_tagger.WINDOW, pii_tagger.STRIDE
+    got = pii_tagger.find(net, slice_of(texts))
+    for i, text in enumerate(texts):
+        raw, found = np.frombuffer(text.encode(), np.uint8), []
+        for at in range(0, max(1, len(raw)), S):
+            piece = raw[at : at + W]
+            if not len(piece) or at and at + W - S >= len(raw):
+                continue
+            ids = np.zeros(-(-len(piece) // pii_tagger.PAD) * pii_tagger.PAD, np.uint8)
+            ids[: len(piece)] = pii_tagger.SYMBOLS[piece]
+            e, _ = pii_tagger._forward(net, ids[None])
+            tags = pii_tagger.viterbi(net, e)[0][: len(piece)]
+            j = 0
+            while j < len(piece):
+                if not tags[j]:
+                    j += 1
+                    continue
+                kind, end = (tags[j] - 1) // 2, j + 1
+                while end < len(piece) and tags[end] == 2 + 2 * kind:
+                    end += 1
+                score = sum(float(e[0, t, tags[t]] - e[0, t, 0]) for t in range(j, end))
+                found.append((at + j, at + end, int(kind), score, (j > 0 or at == 0) and (end < len(piece) or at + end == len(raw))))
+                j = end
+        assert got.get(i, []) == pii_tagger.reconciled(found), text
+
+
 def test_reconciled():
     found = [(0, 10, 1, 5.0, False), (0, 14, 1, 6.0, True), (12, 20, 2, 2.0, True), (30, 90, 3, 9.0, False), (64, 128, 3, 9.0, False), (40, 50, 0, 1.0, True)]
     assert pii_tagger.reconciled(found) == [(0, 14, 1), (30, 128, 3)]
@@ -196,6 +243,26 @@ def test_held_out_and_windows(spark):
     right = sum(len(set(sp) & set(got.get(i, []))) for i, (_, sp) in enumerate(data))
     f1 = 2 * right / (sum(len(sp) for _, sp in data) + sum(map(len, got.values())))
     assert f1 > 0.93
+    by_hand = {
+        "Dear Sir, please write to Maria.Schmidt+post@kanzlei-nord.co.uk before Friday, or we shall have to close the file.": ["Maria.Schmidt+post@kanzlei-nord.co.uk"],
+        "My number is 415-555-2671, but do not call on Sundays; the office has (030) 555-0199.": ["415-555-2671", "(030) 555-0199"],
+        "He set password: swordfishlane and went home.": ["swordfishlane"],
+        'export API_KEY="QmFzZVNpeHR5Rm91ckVuY29kZWQ"': ["QmFzZVNpeHR5Rm91ckVuY29kZWQ"],
+        "client_secret=xKqWvZpLmNbTrYhGfDsJ was found in the log": ["xKqWvZpLmNbTrYhGfDsJ"],
+        "Blocked requests from 198.51.100.23 since midnight.": ["198.51.100.23"],
+        "The card 5500 0055 5555 5559 was refused twice.": ["5500 0055 5555 5559"],
+        "Her social security number, 078-05-1120, had been printed on the form.": ["078-05-1120"],
+        "The treaty of 1648 ended a war of 30 years, and in 1,204 towns the bells were rung at 12:30 for 3.5 hours.": [],
+        "Nobody knew the password of the gate, and the key to the cellar was a secret that the old gardener took with him.": [],
+        "Donaudampfschifffahrtsgesellschaft and antidisestablishmentarianism are long words, not tokens.": [],
+    }
+    right = wrong = wanted = 0
+    for i, (text, spans) in enumerate(by_hand.items()):
+        own = [text.encode()[a:b].decode() for a, b, _ in pii_tagger.find(net, slice_of([text])).get(0, [])]
+        wanted += len(spans)
+        right += len(set(own) & set(spans))
+        wrong += len(set(own) - set(spans))
+    assert right >= 0.8 * wanted and wrong <= 2, (right, wrong, wanted)
     lead = "And so it went on for a while longer, until nobody was left. " * 5
     for shift in range(0, 64, 7):
         text = lead + "x" * shift + ' Mail anna.lee@mail4.example.com or call +1 (212) 555-0147 from 10.20.30.40 with token = "' + "0a1b2c3d" * 4 + '" and card 4929348385146306. ' + lead
