@@ -400,10 +400,10 @@ def levenshtein(a, b):
 
 
 def test_automaton():
-    terms = ["scum", "idiot", "idiots", "worthless", "disgusting", "degenerate"]
+    terms = ["scum", "idiot", "idiots", "worthless", "disgusting", "degenerate", "xyz"]
     a = toxicity.automaton(terms)
     r = random.Random(7)
-    words = list(terms)
+    words = [*terms, "ediot", "ldiot", "cum", "scams", "xya"]
     for t in terms:
         for _ in range(400):
             w = list(t)
@@ -415,15 +415,37 @@ def test_automaton():
     w = T.words(s)
     state = toxicity.run_words(a, s.buf, w.start, w.end)
     for word, st in zip(words, state):
-        near = [(levenshtein(word, t), i) for i, t in enumerate(terms) if re.fullmatch("[a-z]+", word) and word[0] == t[0] and levenshtein(word, t) <= toxicity.edits(t)]
+        near = [(levenshtein(word, t), i) for i, t in enumerate(terms) if re.fullmatch("[a-z]+", word) and levenshtein(word, t) <= toxicity.edits(t)]
         assert (int(a.distance[st]), int(a.term[st])) == min(near) if near else a.term[st] == -1, word
 
 
+def test_folding(spark):
+    r = random.Random(17)
+    rows = ["".join(r.choice(toxicity.ACCENTS[0] + "aZ9 ßłéØ日«»😀ãÃ„") for _ in range(r.randint(0, 30))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, t string").select("i", F.lower("t").alias("l"), toxicity.prepared("t").alias("p")).orderBy("i").collect()
+    s = toxicity.folded(slice_of([x["l"] for x in df]))
+    assert [s.buf[a:b].tobytes().decode() for a, b in zip(s.offs[:-1], s.offs[1:])] == [x["p"] for x in df]
+
+
+def test_words_of_any_script_and_their_near_forms(spark):
+    r = random.Random(18)
+    clean = lambda: " ".join("".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(3)) for _ in range(30))
+    rows = [(i, f"{clean()} {r.choice(['глупец', 'zorkwump'])} {clean()}", 1) for i in range(60)] + [(100 + i, clean(), 0) for i in range(120)]
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    got = toxicity.learn(docs, labels)
+    assert got.words == ["zorkwump", "глупец"]
+    more = spark.createDataFrame([(1, clean() + " глупец глупец " + clean()), (2, clean() + " zorkvump zorkwumps qorkwump zorkwum " + clean()), (3, clean()), (4, clean() + " idiott " + clean()), (5, clean() + " ediot " + clean()), (6, clean() + ' he said "ediot" and ' + clean()), (7, clean() + " termin summing verein discussing lower " + clean())], "doc_id long, text string")
+    both = docs.unionByName(more.withColumn("doc_id", F.col("doc_id") + 1000))
+    assert {x["doc_id"] - 1000 for x in toxicity.rejected(both, labels).where("doc_id > 1000").collect()} == {1, 2, 4, 5}
+
+
 def test_context(spark):
     lead, tail = "and so on as it was told before by them all ", " which was the end of all of it for now then again"
-    rows = {1: lead + "such an idiot" + tail, 2: lead + 'such an "idiot"' + tail, 3: lead + "they said idiot" + tail, 4: lead + "you 1d10t" + tail, 5: lead + "idoit" + tail, 6: lead + "worthles scum" + tail, 7: lead + "he is a lover of crowns" + tail, 8: lead + "Pathétic" + tail}
+    rows = {1: lead + "such an idiot" + tail, 2: lead + 'such an "idiot"' + tail, 3: lead + "they said idiot" + tail, 4: lead + "you 1d10t" + tail, 5: lead + "idoit" + tail, 9: lead + "an ediot" + tail, 6: lead + "worthles scum" + tail, 7: lead + "he is a lover of crowns" + tail, 8: lead + "Pathétic" + tail}
     got = {r["doc_id"]: (r["n_hits"], r["n_misspelled"], r["score"]) for r in toxicity.rejected(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), threshold=0.1).collect()}
-    assert got == {1: (1, 0, 1.0), 2: (1, 0, 0.3), 3: (1, 0, 0.3), 4: (1, 0, 1.5), 6: (2, 1, 1.5), 8: (1, 0, 1.0)}
+    assert got == {1: (1, 0, 1.0), 2: (1, 0, 0.3), 3: (1, 0, 0.3), 4: (1, 0, 1.5), 6: (2, 1, 2.0), 8: (1, 0, 1.0), 9: (1, 1, 1.0)}
+    assert {r["doc_id"] for r in toxicity.rejected(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()} == {1, 4, 6, 8, 9}
 
 
 def test_learned_words(spark):
