@@ -2,17 +2,21 @@
 
 Every text gets two 64-bit SimHashes: `lex` over its words, each with weight
 1 + floor(log2(its count)), and `seq` over its word pairs. An LSH forest of
-several tries indexes `lex`: trie t holds the signatures with their bits in the
-order of a random permutation, so that similar signatures share a long prefix
-in some trie. The prefix depth adapts to density: from the longest prefix that a
-subtree needs to stay small, the search climbs to shorter ones until the depth
-at which the tries together find a pair at the distance limit with the target
-recall; subtrees that are still small are searched from a shorter prefix yet.
+`tries` tries, a number that doesn't depend on the input, indexes `lex`: trie t holds
+the signatures with their bits in the order of a random permutation, so that similar
+signatures share a long prefix in some trie. A pair at the distance limit is found in
+a subtree of prefix p with a known probability; the search begins at the longest prefix
+and climbs to shorter ones until all tries together reach the target recall
+(`climb`). The subtrees at that prefix are the tasks' units. A subtree that is still
+crowded is not compared pair by pair: within its task it becomes a forest of its own over
+the bits that are left, whose prefix is the longer the denser the subtree is and
+which has as many tries as it takes to lose `LOSS` of its pairs at most; they cost memory
+of that task only, since nothing more is shuffled. What no prefix splits is compared whole.
 Candidates are verified by exact Hamming distances of both signatures, and the
 connected components of the verified pairs are the groups.
 
-With `similarity` the search is wider: it is planned for pairs at `WIDE_PLAN` bits of
-`lex`, and pairs within `WIDE` and `WIDE_SEQ` bits that the limits of the signatures
+With `similarity` (the default) the search is wider: it is planned for pairs at `WIDE_PLAN`
+bits of `lex`, and pairs within `WIDE` and `WIDE_SEQ` bits that the limits of the signatures
 don't join are joined where the texts' sets of word trigrams have at least that exact
 Jaccard similarity. Texts with equal signatures are stood for by one of them. Of the
 candidates those are compared whose numbers of trigrams allow that similarity and whose
@@ -42,9 +46,12 @@ from pyspark.sql import functions as F
 from ..session import cut, fresh, hinted, ship
 from . import _text as T
 
-BUCKET_BITS = 12
-#: Bits of lex, seq and tri up to which texts are compared, bits of lex for which the tries are planned, and by how many levels they are shallower then.
-WIDE, WIDE_SEQ, WIDE_TRI, WIDE_PLAN, EASE = 12, 20, 26, 10, 3
+#: Bits of lex, seq and tri up to which texts are compared, and bits of lex for which the forest is planned.
+WIDE, WIDE_SEQ, WIDE_TRI, WIDE_PLAN = 12, 20, 26, 10
+#: Tries; share of the pairs at the limit that the forest within a crowded subtree may lose; rows that it compares directly.
+TRIES, LOSS, CROWD = 24, 0.05, 512
+#: Jaccard similarity of word trigrams from which texts are near copies.
+SIMILARITY = 0.6
 
 
 def signatures(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,24 +125,32 @@ def _shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int32()))], ["node", "sh"])
 
 
-def plan_forest(nodes: int, distance: int, recall: float, ease: int = 0) -> tuple[int, int]:
-    """Depth and number of tries for so many signatures.
+def agreement(depth: int, distance: int, bits: int = 64) -> float:
+    """The probability that signatures of so many bits that differ in `distance` agree on a random prefix."""
+    return math.prod(max(0, bits - distance - i) / (bits - i) for i in range(depth))
+
+
+def climb(distance: int, recall: float, tries: int) -> int:
+    """The longest prefix at which the tries together find a pair at the distance limit with the target recall."""
+    depth = 64
+    while depth and 1 - (1 - agreement(depth, distance) * (1 - LOSS)) ** tries < recall:
+        depth -= 1
+    return depth
 
-    The depth grows with log2(nodes), so that unrelated signatures seldom share
-    it; a pair at the distance limit agrees on a random prefix of that depth with
-    probability (1 - distance/64)**depth, and the tries are as many as it takes
-    to find it in one of them with probability recall.
-    """
-    depth = max(BUCKET_BITS, math.ceil(math.log2(max(nodes, 2))) - ease)
-    agree = math.prod((64 - distance - i) / (64 - i) for i in range(depth))
-    return depth, max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
 
+def inner_plan(rows: int, distance: int, used: int, crowd: int = CROWD) -> tuple[int, int]:
+    """Prefix over the bits that are left, and number of tries, of the forest within a crowded subtree."""
+    bits = 64 - used
+    depth = min(bits - distance, max(1, math.ceil(math.log2(rows / crowd)))) if bits > distance else 0
+    agree = agreement(depth, distance, bits)
+    return depth, 1 if agree >= 1 else math.ceil(math.log(LOSS) / math.log(1 - agree))
 
-def permutations(tries: int, seed: int) -> list[np.ndarray]:
-    """For each trie a table [byte number, byte value] of permuted bits, to be or-ed."""
+
+def permutations(tries: int, seed: int, top: int = 64) -> list[np.ndarray]:
+    """For each trie a table [byte number, byte value] of permuted bits, to be or-ed; only the `top` bits change places."""
     out = []
     for t in range(tries):
-        to = np.random.default_rng([seed, t]).permutation(64)
+        to = np.append(np.arange(64 - top), 64 - top + np.random.default_rng([seed, t]).permutation(top))
         table = np.zeros((8, 256), np.uint64)
         for byte in range(8):
             for bit in range(8):
@@ -233,32 +248,34 @@ def wide_pairs(key: np.ndarray, seq: np.ndarray, run: np.ndarray, sure: tuple[np
                 left, right, held = [], [], 0
 
 
-def adaptive_runs(key: np.ndarray, depth: int, crowd: int) -> np.ndarray:
-    """A run number for each row of one sorted trie partition.
+def runs_of(key: np.ndarray, depth: int) -> np.ndarray:
+    """A number for each prefix of sorted keys."""
+    if depth == 0 or not len(key):
+        return np.zeros(len(key), np.int64)
+    prefix = key >> np.uint64(64 - depth)
+    return np.cumsum(np.append(0, prefix[1:] != prefix[:-1]))
+
+
+def subtrees(key: np.ndarray, depth: int, distance: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows and their run numbers, sets of rows to be compared: the subtrees of a prefix, and in place of crowded ones those of their own forests."""
+    order = np.argsort(key, kind="stable")
+    run = runs_of(key[order], depth)
+    size = np.bincount(run, minlength=1)
+    small = size[run] <= CROWD
+    yield order[small], run[small]
+    border = np.append(0, np.cumsum(size))
+    for one in np.flatnonzero(size > CROWD):
+        rows = order[border[one] : border[one + 1]]
+        below, tries = inner_plan(len(rows), distance, depth)
+        for t in range(tries):
+            own = permuted(key[rows] << np.uint64(depth), permutations(1, seed * 1000 + t, 64 - depth)[0])
+            again = np.argsort(own, kind="stable")
+            yield rows[again], runs_of(own[again], below)
 
-    Beginning at the partition's own prefix, a subtree of at most `crowd` rows is
-    a run; a larger one is split by a longer prefix, down to `depth`, below which
-    no subtree is split whatever its size.
-    """
-    n = len(key)
-    fixed = np.zeros(n, bool)
-    border = np.zeros(n, bool)
-    if n:
-        border[0] = True
-    jump = np.zeros(n, np.uint64)
-    jump[1:] = key[1:] ^ key[:-1]
-    for d in range(min(BUCKET_BITS, depth), depth + 1):
-        new = jump >= (np.uint64(1) << np.uint64(64 - d)) if d else np.zeros(n, bool)
-        border |= new & ~fixed
-        at = np.flatnonzero(border)
-        size = np.diff(np.append(at, n))
-        fixed = np.repeat(size <= crowd, size)
-        if fixed.all():
-            break
-    return np.cumsum(border)
 
+def _search(depth: int, distance: int, seq_distance: int, wide: bool, seed: int):
+    plan = WIDE_PLAN if wide else distance
 
-def _search(depth: int, distance: int, seq_distance: int, crowd: int, wide: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
@@ -270,53 +287,58 @@ def _search(depth: int, distance: int, seq_distance: int, crowd: int, wide: bool
         node = t["node"].to_numpy()
         for one in np.unique(trie):
             rows = np.flatnonzero(trie == one)
-            rows = rows[np.argsort(key[rows], kind="stable")]
-            own = key[rows], seq[rows], adaptive_runs(key[rows], depth, crowd)
-            edges = close_pairs(*own, distance, seq_distance)
-            for sure, blocks in ((True, [edges]), (False, wide_pairs(*own, edges) if wide else [])):
-                for a, b in blocks:
-                    x, y = node[rows][a], node[rows][b]
-                    keep = x != y
-                    if keep.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[keep]), pa.array(np.maximum(x, y)[keep]), pa.array(np.full(keep.sum(), sure))], ["a", "b", "sure"])
+            for pick, runs in subtrees(key[rows], depth, plan, seed):
+                at = rows[pick]
+                own = key[at], seq[at], runs
+                edges = close_pairs(*own, distance, seq_distance)
+                for sure, blocks in ((True, [edges]), (False, wide_pairs(*own, edges) if wide else [])):
+                    for a, b in blocks:
+                        x, y = node[at][a], node[at][b]
+                        keep = x != y
+                        if keep.any():
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[keep]), pa.array(np.maximum(x, y)[keep]), pa.array(np.full(keep.sum(), sure))], ["a", "b", "sure"])
 
     return run
 
 
-def _plant(tables: list[np.ndarray]):
+def _plant(tables: list[np.ndarray], depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lex = b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
             for trie, table in enumerate(tables):
                 key = permuted(lex, table)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(np.full(len(lex), trie, np.int32)), pa.array((key >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)), pa.array(key.view(np.int64)), b.column(2)],
+                    [b.column(0), pa.array(np.full(len(lex), trie, np.int32)), pa.array((key >> np.uint64(64 - depth)).astype(np.int64)), pa.array(key.view(np.int64)), b.column(2)],
                     ["node", "trie", "bucket", "key", "seq"],
                 )
 
     return run
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of the edges (a, b); label is its component's smallest node.
 
     Alternates between linking every larger neighbour and every smaller neighbour
-    to the smallest one, until nothing changes. Each round is cut by a checkpoint.
+    to the smallest one, until nothing changes, which the number of edges and two sums over
+    them tell. Each round is cut by a checkpoint.
     """
+
+    def state(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.sum(F.xxhash64("b", "a").cast("decimal(20,0)"))).first())
+
     edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    for _ in range(rounds):
+    now = state(edges)
+    while now[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").distinct()
         down = large.select(F.col("b").alias("n"), F.col("a").alias("o"))
         least = down.groupBy("n").agg(F.min("o").alias("m"))
         small = down.join(least, "n").select(F.col("m").alias("a"), F.col("o").alias("b")).unionByName(least.select(F.col("m").alias("a"), F.col("n").alias("b"))).where("a <> b").distinct()
-        small = cut(small)
-        if small.exceptAll(edges).isEmpty() and edges.exceptAll(small).isEmpty():
+        edges, before = cut(small), now
+        now = state(edges)
+        if now == before:
             break
-        edges = small
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("b").alias("node"), F.col("a").alias("label")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("label"))).distinct()
 
 
@@ -333,17 +355,17 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str,
     return both.where((common > 0) & (common >= similarity * (F.size("x") + F.size("y") - common))).select("a", "b")
 
 
-def grouped(sigs: DataFrame, distance: int = 7, seq_distance: int = 16, recall: float = 0.9, crowd: int = 32, seed: int = 7, similarity: float | None = None, docs: DataFrame | None = None, text_col: str = "text") -> DataFrame:
+def grouped(sigs: DataFrame, distance: int = 7, seq_distance: int = 16, recall: float = 0.9, tries: int = TRIES, seed: int = 7, similarity: float | None = SIMILARITY, docs: DataFrame | None = None, text_col: str = "text") -> DataFrame:
     """The rows of signed() that have a near duplicate, with their component as `label`. sigs must be materialised; for `similarity` it is wide, and docs is read again."""
     sigs = sigs.withColumn("node", F.xxhash64("lex", "seq"))
     wide = similarity is not None
     least = F.min(F.struct("th", "tri", "size"))
     rep = [least[c].alias(c) for c in ("th", "tri", "size")] if wide else []
     nodes = cut(sigs.groupBy("node").agg(F.first("lex").alias("lex"), F.first("seq").alias("seq"), F.count(F.lit(1)).alias("n"), *rep))
-    depth, tries = plan_forest(nodes.count(), WIDE_PLAN, recall, EASE) if wide else plan_forest(nodes.count(), distance, recall)
+    depth = climb(WIDE_PLAN if wide else distance, recall, tries)
     tables = permutations(tries, seed)
-    planted = nodes.select("node", "lex", "seq").mapInArrow(_plant(tables), "node long, trie int, bucket int, key long, seq long")
-    edges = planted.repartition("trie", "bucket").mapInArrow(_search(depth, distance, seq_distance, crowd, wide), "a long, b long, sure boolean")
+    planted = nodes.select("node", "lex", "seq").mapInArrow(_plant(tables, depth), "node long, trie int, bucket long, key long, seq long")
+    edges = planted.repartition("trie", "bucket").mapInArrow(_search(depth, distance, seq_distance, wide, seed), "a long, b long, sure boolean")
     if wide:
         edges = cut(edges.groupBy("a", "b").agg(F.max("sure").alias("sure")))
         edges = edges.where("sure").select("a", "b").unionByName(similar(edges.where("not sure").select("a", "b"), nodes, docs, text_col, similarity))
@@ -355,7 +377,7 @@ def grouped(sigs: DataFrame, distance: int = 7, seq_distance: int = 16, recall:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(doc_id, group_id, group_size) of every document that has a near duplicate; group_id is the group's smallest doc_id."""
-    rows = cut(grouped(cut(signed(docs, id_col, text_col, options.get("similarity") is not None)), docs=docs, text_col=text_col, **options))
+    rows = cut(grouped(cut(signed(docs, id_col, text_col, options.get("similarity", SIMILARITY) is not None)), docs=docs, text_col=text_col, **options))
     groups = rows.groupBy("label").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("group_size"))
     return rows.join(groups, "label").select("doc_id", "group_id", "group_size")
 
@@ -365,7 +387,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Rows without a word are kept. All columns are returned as they are.
     """
-    rows = cut(grouped(cut(signed(docs, id_col, text_col, options.get("similarity") is not None)), docs=docs, text_col=text_col, **options))
+    rows = cut(grouped(cut(signed(docs, id_col, text_col, options.get("similarity", SIMILARITY) is not None)), docs=docs, text_col=text_col, **options))
     order = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id"), F.col("th"))
     best = rows.groupBy("label").agg(F.min(order).alias("best"))
     marks = rows.join(best, "label").groupBy("doc_id", "th").agg(F.first(order == F.col("best")).alias("kept"), F.count(F.lit(1)).alias("n"))

@@ -506,7 +506,7 @@ def test_forest_recall_and_groups(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     lex, seq, _ = simhash_forest.signatures(pa.array([t for _, t in rows]))
     near = [(i, j) for i in range(len(rows)) for j in range(i) if (lex[i] ^ lex[j]).bit_count() <= 7 and (seq[i] ^ seq[j]).bit_count() <= 16]
-    got = {x["doc_id"]: x["group_id"] for x in simhash_forest.near_duplicates(docs).collect()}
+    got = {x["doc_id"]: x["group_id"] for x in simhash_forest.near_duplicates(docs, similarity=None).collect()}
     found = sum(i in got and got[i] == got.get(j) for i, j in near)
     assert len(near) > 100 and found >= 0.9 * len(near)
     top = list(range(len(rows)))
@@ -520,10 +520,73 @@ def test_forest_recall_and_groups(spark):
         a, b = root(i), root(j)
         top[max(a, b)] = min(a, b)
     assert all(root(i) == root(g) for i, g in got.items())
-    kept = {x["doc_id"] for x in simhash_forest.deduplicated(docs).collect()}
+    kept = {x["doc_id"] for x in simhash_forest.deduplicated(docs, similarity=None).collect()}
     assert kept == {i for i, _ in rows if got.get(i, i) == i}
 
 
+def shingles(text):
+    words = WORD.findall(text.lower())
+    return set(zip(words, words[1:], words[2:]))
+
+
+def test_near_copies_by_exact_jaccard(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {r["doc_id"]: shingles(r["text"]) for r in docs.where("text is not null").collect()}
+    where = defaultdict(list)
+    for i, own in sets.items():
+        for x in own:
+            where[x].append(i)
+    common = Counter(p for ids in where.values() if len(ids) < 200 for p in itertools.combinations(ids, 2))
+    near = [(a, b) for (a, b), n in common.items() if n >= 0.6 * (len(sets[a]) + len(sets[b]) - n)]
+    group = {r["doc_id"]: r["group_id"] for r in simhash_forest.near_duplicates(docs).collect()}
+    found = sum(a in group and group[a] == group.get(b) for a, b in near)
+    assert len(near) > 50 and found >= 0.9 * len(near), (found, len(near))
+
+
+def test_family_of_many_variants(spark):
+    r = random.Random(19)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base = [r.choice(vocabulary) for _ in range(150)]
+    rows = []
+    for i in range(700):
+        words = list(base)
+        for _ in range(3):
+            words[r.randrange(150)] = r.choice(vocabulary)
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join(r.choice(vocabulary) for _ in range(100))) for i in range(100)]
+    for similarity in (None, 0.6):
+        got = simhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), similarity=similarity).collect()
+        assert len({x["doc_id"] for x in got if x["doc_id"] < 1000}) >= 690 and not any(x["doc_id"] >= 1000 for x in got)
+        assert max(Counter(x["group_id"] for x in got).values()) >= 690
+
+
+def test_forest_climbs_and_crowded_subtrees(monkeypatch):
+    assert [simhash_forest.climb(7, x, 24) for x in (0.5, 0.9, 0.99)] == sorted((simhash_forest.climb(7, x, 24) for x in (0.5, 0.9, 0.99)), reverse=True)
+    monkeypatch.setattr(simhash_forest, "CROWD", 64)
+    r = np.random.default_rng(20)
+    key = r.integers(0, 2**63, 6000).astype(np.uint64) & np.uint64(0x00FFFFFFFFFFFFFF)  # 256 times as dense
+    for i in range(500):
+        flips = 8 + r.choice(48, 7, replace=False)
+        key[5500 + i] = key[i] ^ np.bitwise_or.reduce(np.uint64(1) << flips.astype(np.uint64) >> np.uint64(8))
+    depth = simhash_forest.climb(7, 0.9, 24)
+    pairs = set()
+    crowded = 0
+    for table in simhash_forest.permutations(24, 7):
+        own = simhash_forest.permuted(key, table)
+        for pick, runs in simhash_forest.subtrees(own, depth, 7, 7):
+            crowded = max(crowded, int(np.bincount(runs).max()) if len(runs) else 0)
+            a, b = simhash_forest.close_pairs(own[pick], np.zeros(len(pick), np.uint64), runs, 7, 64)
+            pairs |= {(min(x, y), max(x, y)) for x, y in zip(pick[a].tolist(), pick[b].tolist())}
+    assert all((int(key[a]) ^ int(key[b])).bit_count() <= 7 for a, b in pairs)
+    assert sum((i, 5500 + i) in pairs for i in range(500)) >= 450
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001)], "a long, b long")
+    assert {r["node"]: r["label"] for r in simhash_forest.components(edges).collect()} == {**{i: 0 for i in range(301)}, 1000: 1000, 1001: 1000}
+    assert simhash_forest.components(edges.where("false")).count() == 0
+
+
 # 10 Packing
 
 
