@@ -8,8 +8,9 @@ with the largest spread are combined again and again, the largest subset of one
 with the smallest of the other, until one is left.
 
 Groups are spread over Spark partitions by a hash and differenced there, which
-leaves one partial partition each; those are differenced in turn, on the driver,
-which sees `shards` numbers for every `groups_per_part` groups.
+leaves one partial partition each. Those go up a tree: a task differences `fan_in` of them,
+`fan_in * shards` numbers, into one, until one is left; the subsets' places are then
+joined down the tree. Nothing is collected to the driver.
 
 Defined results: null texts are one group of 0 bytes, as are empty ones; repeated
 rows are in one group; null ids are dealt too; with fewer groups than shards some
@@ -84,27 +85,53 @@ def _local(shards: int):
     return run
 
 
-def sharded(docs: DataFrame, shards: int = 16, group: Column | None = None, id_col: str = "doc_id", text_col: str = "text", groups_per_part: int = 50_000) -> DataFrame:
+def _merge(shards: int):
+    """Partial partitions (up, part, slot, bytes) of each `up` differenced; of each slot its place (up, up_slot) and that place's bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        for b in batches:
+            for up, part, slot, n in zip(*(b[c].to_pylist() for c in ("up", "part", "slot", "bytes"))):
+                own.setdefault(up, {}).setdefault(part, []).append((n, slot))
+        for up in sorted(own):
+            ready = []
+            for part, slots in sorted(own.pop(up).items()):
+                slots.sort()
+                pad = shards - len(slots)
+                ready.append(([0] * pad + [n for n, _ in slots], [None] * pad + [[part, slot] for _, slot in slots]))
+            sums, held = difference(ready, shards)
+            rows = [(*leaf, up, i, sums[i]) for i in range(shards) for leaf in leaves(held[i])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64()))], ["part", "slot", "up", "up_slot", "up_bytes"])
+
+    return run
+
+
+def placed(slots: DataFrame, parts: int, shards: int, fan_in: int) -> DataFrame:
+    """(part, slot, shard) of the slots (part, slot, bytes) of so many partial partitions."""
+    links, now = [], slots
+    while parts > 1:
+        ups = -(-parts // fan_in)
+        link = cut(now.withColumn("up", (F.col("part") / fan_in).cast("int")).repartition("up").select("up", "part", "slot", "bytes").mapInArrow(_merge(shards), "part int, slot int, up int, up_slot int, up_bytes long"))
+        links.append(link)
+        now = link.select(F.col("up").alias("part"), F.col("up_slot").alias("slot"), F.col("up_bytes").alias("bytes")).distinct()
+        parts = ups
+    table = now.select("part", "slot", F.col("slot").alias("shard"))
+    for link in reversed(links):
+        above = table.select(F.col("part").alias("up"), F.col("slot").alias("up_slot"), "shard")
+        table = cut(link.join(above, ["up", "up_slot"]).select("part", "slot", "shard"))
+    return table
+
+
+def sharded(docs: DataFrame, shards: int = 16, group: Column | None = None, id_col: str = "doc_id", text_col: str = "text", groups_per_part: int = 50_000, fan_in: int = 64) -> DataFrame:
     """(doc_id, group_id, bytes, shard) of every row; group_id is a hash of the group's key."""
-    if shards < 1:
-        raise ValueError("shards must be positive")
-    spark = docs.sparkSession
-    ship(spark)
+    if shards < 1 or fan_in < 2:
+        raise ValueError("shards must be positive and fan_in at least 2")
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col) if group is None else group).alias("group_id"), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("bytes"))
     groups = cut(rows.groupBy(F.col("group_id").alias("g")).agg(F.sum("bytes").alias("bytes")))
     parts = max(1, -(-groups.count() // groups_per_part))
     spread = groups.withColumn("part", F.pmod(F.hash("g"), F.lit(parts)).cast("int")).repartition(parts, "part")
     slots = cut(spread.select("part", "g", "bytes").mapInArrow(_local(shards), "g long, part int, slot int, slot_bytes long"))
-    partial: dict[int, list[tuple[int, int]]] = {}
-    for r in slots.select("part", "slot", "slot_bytes").distinct().collect():
-        partial.setdefault(r["part"], []).append((r["slot_bytes"], r["slot"]))
-    ready = []
-    for part in sorted(partial):
-        own = sorted(partial[part])
-        pad = shards - len(own)
-        ready.append(([0] * pad + [n for n, _ in own], [None] * pad + [[part, slot] for _, slot in own]))
-    _, held = difference(ready, shards)
-    named = [(*leaf, i) for i in range(shards) for leaf in leaves(held[i])]
-    table = spark.createDataFrame(named, "part int, slot int, shard int")
+    table = placed(slots.select("part", "slot", F.col("slot_bytes").alias("bytes")).distinct(), parts, shards, fan_in)
     dealt = slots.join(hinted(table), ["part", "slot"]).select(F.col("g").alias("group_id"), "shard")
     return rows.join(dealt, "group_id").select("doc_id", "group_id", "bytes", "shard")
