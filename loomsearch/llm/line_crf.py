@@ -6,10 +6,10 @@ conditional random field over the lines of a text weighs them and the labels of
 neighbouring lines; Viterbi decoding gives the labels. A text is retained when
 content lines hold at least `min_share` of its bytes.
 
-The field is fitted in numpy on the lines of at most `train_docs` labelled
-documents, of each the first `train_lines` lines: those of a document of quality
-1 are content but for lines of legal or navigation words, those of quality 0 are
-boilerplate. A few built-in lines are always among them, so that the fit is
+The field is fitted in numpy on all lines of at most `train_docs` labelled
+documents of at most `train_bytes` bytes, cut into sequences of `SEQUENCE` lines: those of a
+document of quality 1 are content but for lines of legal or navigation words, those of
+quality 0 are boilerplate. A few built-in lines are always among them, so that the fit is
 defined without labels. Everything else works on all lines of all texts.
 
 Defined results: a null, empty or wordless text has no content and isn't
@@ -33,6 +33,7 @@ from . import _text as T
 FEATURES = ("any", "words < 3", "words < 9", "words >= 30", "ends a sentence", "pipes", "symbols > 4 %", "symbols > 15 %", "digits > 20 %", "capitals > 50 %", "repeated words > 50 %", "repeated words > 80 %", "legal or navigation word", "line repeated", "long words", "first", "last")
 MARKED = ("licensed", "license", "copyright", "reserved", "cookie", "cookies", "privacy", "login", "subscribe", "javascript", "newsletter", "sitemap", "disclaimer", "trademark")
 LEGAL = 1 << 12
+SEQUENCE = 100
 
 IS_SYMBOL = np.zeros(256, bool)
 IS_SYMBOL[[ord(c) for c in "#$%&*+<=>@[\\]^_`{}~|/!"]] = True
@@ -145,22 +146,29 @@ class Field:
 
 
 def fit(sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 200, rate: float = 0.1, decay: float = 1e-3) -> Field:
-    """Maximum likelihood by Adam; a sequence is the feature bits and the labels of some lines."""
-    sequences = [x for x in sequences if len(x[0])]
+    """Maximum likelihood by Adam; a sequence is the feature bits and the labels of some lines. Equal ones are one with a weight."""
+    often: dict[tuple[bytes, bytes], int] = {}
+    for bits, label in sequences:
+        if len(bits):
+            key = np.asarray(bits, np.int64).tobytes(), np.asarray(label, np.int64).tobytes()
+            often[key] = often.get(key, 0) + 1
+    sequences = [(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)) for a, b in often]
+    times = np.array(list(often.values()), float)
     size, longest, f = len(sequences), max(len(x[0]) for x in sequences), len(FEATURES)
     x, y, on = np.zeros((size, longest, f)), np.zeros((size, longest), np.int64), np.zeros((size, longest), bool)
     for i, (bits, label) in enumerate(sequences):
         x[i, : len(bits)] = (bits[:, None] >> np.arange(f)) & 1
         y[i, : len(bits)] = label
         on[i, : len(bits)] = True
-    lines_n = on.sum()
+    lines_n = (on * times[:, None]).sum()
+    each = on * times[:, None]
     theta = np.zeros(2 * f + 4 + 2)
     gold = np.zeros_like(theta)
     for label in (0, 1):
-        gold[label * f : (label + 1) * f] = x[(y == label) & on].sum(0)
-        gold[2 * f + 4 + label] = (y[:, 0] == label).sum()
+        gold[label * f : (label + 1) * f] = np.einsum("sl,slf->f", (y == label) * each, x)
+        gold[2 * f + 4 + label] = ((y[:, 0] == label) * times).sum()
         for to in (0, 1):
-            gold[2 * f + 2 * label + to] = ((y[:, :-1] == label) & (y[:, 1:] == to) & on[:, 1:]).sum()
+            gold[2 * f + 2 * label + to] = (((y[:, :-1] == label) & (y[:, 1:] == to)) * each[:, 1:]).sum()
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, rounds + 1):
         weight, move, begin = theta[: 2 * f].reshape(2, f), theta[2 * f : 2 * f + 4].reshape(2, 2), theta[2 * f + 4 :]
@@ -174,13 +182,13 @@ def fit(sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 200, rate:
         for j in range(longest - 2, -1, -1):
             b = e[:, j + 1] + beta[:, j + 1]
             beta[:, j] = np.where(on[:, j + 1, None], np.logaddexp(move[:, 0] + b[:, :1], move[:, 1] + b[:, 1:]), 0)
-        single = np.exp(alpha + beta - whole[:, None, None]) * on[..., None]
+        single = np.exp(alpha + beta - whole[:, None, None]) * each[..., None]
         got = np.zeros_like(theta)
         got[: 2 * f] = np.einsum("slk,slf->kf", single, x).ravel()
         got[2 * f + 4 :] = single[:, 0].sum(0)
         if longest > 1:
             pair = alpha[:, :-1, :, None] + move + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - whole[:, None, None, None]
-            got[2 * f : 2 * f + 4] = (np.exp(np.where(on[:, 1:, None, None], pair, -np.inf))).sum((0, 1)).ravel()
+            got[2 * f : 2 * f + 4] = (np.exp(np.where(on[:, 1:, None, None], pair, -np.inf)) * times[:, None, None, None]).sum((0, 1)).ravel()
         step = (gold - got) / lines_n - decay * theta
         m, v = 0.9 * m + 0.1 * step, 0.999 * v + 0.001 * step**2
         theta += rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -192,8 +200,8 @@ _PROSE = (
     "It is not known how many of the letters survived, since the archive burned in the last year of the war.", "Prices fell again in spring.", "We walked along the shore until it was dark, then turned back towards the lights of the town.",
 )
 _JUNK = (
-    "Home | News | Sports | Weather | Contact | About", "Copyright 2021 All rights reserved.", "*** $$$ ### CLICK HERE ### $$$ ***", "Licensed under the Apache License, Version 2.0.", "buy buy buy buy buy buy cheap cheap cheap cheap cheap cheap", "Login",
-    "BEST!! DEAL!! EVER!! CALL!! NOW!! FREE!! BEST!! DEAL!! EVER!! CALL!! NOW!! FREE!!", "Share | Tweet | Print | Email | Next | Previous", "12 34 556 7788 90 123 4456 77",
+    "Start | Products | Prices | Support | Imprint", "Copyright 2021 All rights reserved.", "!!! $$$ >>> ONLY TODAY <<< $$$ !!!", "This work is licensed under the terms of the agreement below.", "deal deal deal deal deal deal offer offer offer offer offer offer", "Login",
+    "FREE!! CALL!! NOW!! FREE!! CALL!! NOW!! FREE!! CALL!! NOW!! FREE!! CALL!! NOW!! FREE!!", "Share | Print | Mail | Older | Newer | Top", "12 34 556 7788 90 123 4456 77",
 )
 
 
@@ -206,27 +214,28 @@ def built_in(marked: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def trained(docs: DataFrame, labels: DataFrame | None, train_docs: int = 1000, train_lines: int = 100, id_col: str = "doc_id", text_col: str = "text") -> Field:
+def trained(docs: DataFrame, labels: DataFrame | None, train_docs: int = 1000, train_bytes: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> Field:
     """A field fitted on the labelled documents of smallest id hash and the built-in lines."""
     marked = _marked()
     data = built_in(marked)
     if labels is not None:
         pick = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long").alias("label_id"), F.col("quality").cast("int").alias("label"))
         pick = cut(pick.orderBy(F.xxhash64("label_id"), "label").limit(train_docs))
-        rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+        rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where(F.octet_length("t") <= train_bytes)
         both = rows.join(F.broadcast(pick), F.col("id") == F.col("label_id")).select("id", "label", "t")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for s in T.slices(b.column(2)):
                     own = lines(s, marked)
-                    cuts = [own.bits[a : min(z, a + train_lines)].tolist() for a, z in zip(own.ptr[:-1], own.ptr[1:])]
+                    cuts = [own.bits[a:z].tolist() for a, z in zip(own.ptr[:-1], own.ptr[1:])]
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, s.rows), b.column(1).slice(s.first, s.rows), pa.array(cuts, pa.list_(pa.int64()))], ["id", "label", "bits"])
 
         got = both.mapInArrow(run, "id long, label int, bits array<long>").collect()
         for r in sorted(got, key=lambda r: (r["id"], r["label"], r["bits"])):
             bits = np.array(r["bits"], np.int64)
-            data.append((bits, np.where(bits & LEGAL > 0, 0, r["label"])))
+            label = np.where(bits & LEGAL > 0, 0, r["label"])
+            data += [(bits[a : a + SEQUENCE], label[a : a + SEQUENCE]) for a in range(0, len(bits), SEQUENCE)]
     return fit(data)
 
 
