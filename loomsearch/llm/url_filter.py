@@ -8,9 +8,9 @@ the words of all pages; a stretch of n letters that is no known word costs
 words wins, then the one whose last word is longer.
 
 A multinomial naive Bayes model, with add-one smoothing and fitted on labelled
-hosts and paths, scores the words of the host and of the path; numbers are one
+URLs (a table of them, or invented ones from lists of words by topic), scores the words of the host and of the path; numbers are one
 token and words that the model has never seen say nothing. A page is blocked when
-the odds are above `threshold`.
+the log odds are above `threshold`; in doubt it stays.
 
 Substrings of distinct names are joined with the word counts, so that no
 vocabulary is broadcast. Defined results: a null, empty or hostless URL has no host
@@ -44,21 +44,40 @@ hotel real item international center store travel comments made development repo
 design take posted internet address community within states area want phone shipping reserved subject between forum family long based code show even black check special prices website index being women much sign
 file link open today technology south case project same pages version section own found sports house related security both county american photo game members power while care network down computer systems three
 total place end following download him without per access think north resources current posts big media law control water history pictures size art personal since including guide shop directory board location
-change white text small rating rate government children during return students shopping account times sites level digital profile previous form events love old john main call hours image department title
-casino win bet bets poker slots jackpot bonus adult porn sex xxx cam cams nude escort dating spam farm ads track tracker pills cheap viagra cialis pharmacy loan loans payday cash replica watches torrent warez crack
-keygen hack malware phishing click bait lottery gamble gambling roulette blog example shop river garden science kitchen weather museum library journal daily bread market press cloud code learn photo""".split()
-#: Hosts and paths, first such as a filter blocks, then others.
-BLOCKED = """casino-win.com/play casinobonus.net/slots freecasino.org/jackpot pokerbets.com/bonus free-bets.net/win betwin.org/odds onlinegambling.com/roulette jackpotslots.net/spin luckylottery.com/win adult-x.com/video
-adultcams.net/nude freeporn.com/xxx sexcam.net/adult xxxvideo.org/porn escortdating.com/girls hotadult.net/sex spam-farm.com/links spamlinks.org/farm linkfarm.net/spam clickbait.com/click ads-track.net/pixel
-adtracker.com/track adsclick.org/ads trackads.net/click cheap-pills.com/buy cheapviagra.net/order buycialis.org/cheap onlinepharmacy.com/pills pillsonline.net/cheap paydayloans.com/cash fastcashloan.net/payday
-replicawatches.com/cheap warezcrack.org/keygen torrentcrack.net/warez keygenhack.com/crack phishinglogin.com/verify malwaredownload.net/free winfreecash.com/bonus""".split()
-ORDINARY = """weatherreport.com/en/12 dailynews.com/world citylibrary.org/books historymuseum.org/art sciencejournal.net/article/77 homegarden.com/en kitchenbread.com/recipes cloudcode.io/docs learnmusic.org/lessons
-universityresearch.edu/papers statehealth.gov/help photoblog.net/2019/05 travelguide.com/fr/hotels schoolbooks.org/en/25 carreview.com/de/new localmarket.net/store riverwalk.org/map gamereviews.com/es/9
-familyhistory.net/page dailyweather.net/en/214.html businesspress.com/news publiclaw.org/en/825 artcenter.org/events computerhelp.net/forum waterpolicy.org/data sportsnews.com/en/333 housedesign.com/en/view
-goodfood.net/blog communityforum.org/posts musicstore.com/en/99 worldmap.net/fr printshop.com/order travelphoto.org/es openscience.org/en/48 thebookreview.com/en/3 smallbusiness.net/en/info healthcare.org/de/511
-softwareguide.com/en/673 videoart.net/en/742 webdesign.org/en/page""".split()
-#: Paths of no meaning, which either kind of host has: each listed host is also an example with each of these.
-NEUTRAL = ("/en/27", "/fr/825.html?page=2", "/de/49/?utm_source=feed", "/es/883?ref=x#top")
+change white text small rating rate government children during return students shopping account times sites level digital profile previous form events love old john main call hours image department title""".split()
+#: Words of hosts and paths that a filter blocks, by topic.
+TOPICS = {
+    "gambling": "casino bet bets betting bettor poker slots slot jackpot roulette bingo blackjack baccarat craps keno lottery lotto wager gamble gambler gambling odds bookie bookmaker sportsbook spins spin dice payout win",
+    "adult": "adult porn porno sex sexy sexual xxx cam cams webcam nude nudes naked escort escorts erotic erotica fetish hentai milf hookup hookups strip stripper babes girls lonely horny swinger swingers lingerie brothel",
+    "drugs": "pills pill viagra cialis levitra tramadol xanax valium oxycodone steroid steroids hormone weed kush cannabis opiate meds pharmacy prescription generic",
+    "loans": "payday loan loans lender lenders lending cash advance debt credit bailout cashloan quick instant",
+    "piracy": "warez crack cracks cracked keygen keygens serials torrent torrents nulled pirate pirated leak leaks cheats hack hacks hacked hacker exploit",
+    "malware": "malware trojan spyware phishing phish botnet ransomware virus infected login verify wallet giveaway airdrop doubler",
+    "spam": "spam spammer farm links linkfarm backlink backlinks ads ad adserver advert adverts track tracker trackers tracking pixel popup popunder click clicks clickbait bait traffic redirect",
+    "fakes": "replica replicas fake fakes knockoff counterfeit imitation watches handbags rolex diploma",
+}
+#: Words that stand beside any others, and ordinary ones beside those of WORDS.
+FILLERS = "best top online free live hot new cheap buy shop store club world my the get go web site net zone hub now deal deals".split()
+PLAIN = """river garden science kitchen weather museum library journal daily bread market press cloud code learn photo music school history sport sports travel health family church valley mountain lake forest city town village county
+street bridge harbor island coast farmers bakery coffee tea wine recipe cooking cook book books reader poetry theater cinema film art gallery paint design build house home room office paper print letter mail post news times herald
+tribune gazette report review research institute academy college university teacher student class course lesson math physics chemistry biology medicine doctor nurse clinic hospital dental care animal dog cat horse bird fish
+plant flower tree wood stone metal steel engine car auto bike train plane flight hotel tour guide map atlas ocean sea beach sun moon star sky space data open source software computer network phone radio video game chess
+football tennis run walk dance song guitar piano band choir law legal bank finance tax insurance energy water solar wind green blue red north south east west national public community council foundation society union""".split()
+#: Paths of no meaning, which either kind of host has.
+NEUTRAL = ("", "/", "/index.html", "/page/2", "/a/1?id=3", "/en/4", "/fr/5", "/de/6", "/es/7", "/it/8", "/archive/2019/05#top")
+
+
+def built_in() -> tuple[list[str], list[str]]:
+    """Invented hosts and paths, those that a filter blocks and others."""
+    blocked, ordinary = [], []
+    for words in (x.split() for x in TOPICS.values()):
+        for i, w in enumerate(words):
+            near = words[(i + 1) % len(words)]
+            blocked += [f"{w}-{near}.com/{words[(i + 5) % len(words)]}", f"{w}-{FILLERS[i % len(FILLERS)]}.net", f"{FILLERS[(7 * i + 3) % len(FILLERS)]}-{w}.org"]
+    for i, w in enumerate(PLAIN):
+        ordinary += [f"{w}-{PLAIN[(i + 7) % len(PLAIN)]}.org/{PLAIN[(i + 31) % len(PLAIN)]}", f"{w}-{FILLERS[i % len(FILLERS)]}.com", f"{FILLERS[(5 * i + 1) % len(FILLERS)]}-{w}.net"]
+    paths = lambda urls: [u if "/" in u else u + NEUTRAL[i % len(NEUTRAL)] for i, u in enumerate(urls)]
+    return paths(blocked), paths(ordinary)
 
 
 def split_url(url: str | None) -> tuple[str | None, str]:
@@ -84,7 +103,7 @@ def path_tokens(rest: str) -> list[str]:
 
 def prior() -> dict[str, float]:
     """Shares of the built-in words."""
-    words = list(dict.fromkeys(WORDS))
+    words = list(dict.fromkeys([*WORDS, *PLAIN, *FILLERS, *(w for x in TOPICS.values() for w in x.split())]))
     raw = [1 / (i + 10) for i in range(len(words))]
     whole = sum(raw)
     return {w: x / whole for w, x in zip(words, raw)}
@@ -119,17 +138,22 @@ def bayes(blocked: list[list[str]], ordinary: list[list[str]]) -> tuple[float, d
 
 
 def model(blocked: list[str] | None = None, ordinary: list[str] | None = None) -> tuple[float, dict[str, float]]:
-    """Naive Bayes fitted on labelled hosts and paths, whose names are split by the built-in words."""
+    """Naive Bayes fitted on labelled hosts and paths, by default the built-in ones, whose names are split by the built-in words. The prior odds are even."""
     share = prior()
 
     def tokens(url: str) -> list[str]:
-        host, rest = split_url("//" + url)
+        host, rest = split_url(url if "//" in url else "//" + url)
         return [w for name in names_of(host) for w in segment(name, share, 1e-9)] + path_tokens(rest)
 
-    def examples(urls: list[str]) -> list[list[str]]:
-        return [tokens(u) for url in urls for u in (url, *(url.partition("/")[0] + path for path in NEUTRAL))]
+    given = built_in() if blocked is None or ordinary is None else (blocked, ordinary)
+    _, ratio = bayes(*([tokens(u) for u in urls] for urls in given))
+    return 0.0, ratio
 
-    return bayes(examples(BLOCKED if blocked is None else blocked), examples(ORDINARY if ordinary is None else ordinary))
+
+def examples(labelled: DataFrame, url_col: str = "url", blocked_col: str = "blocked", train_urls: int = 20_000) -> tuple[list[str], list[str]]:
+    """Blocked and other URLs of a labelled table, of each those of smallest MD5, up to train_urls; nulls teach nothing."""
+    rows = labelled.select(F.col(url_col).alias("url"), F.col(blocked_col).cast("boolean").alias("bad")).where("url is not null and bad is not null").distinct()
+    return tuple([r["url"] for r in rows.where("bad" if bad else "not bad").orderBy(F.md5(F.col("url").cast("binary")), "url").limit(train_urls).collect()] for bad in (True, False))
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,11 +184,20 @@ def _hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def some(names: list[str], words: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(words, pa.string())], ["name", "word"])
+
     for b in batches:
+        names, words, held = [], [], 0
         for name in b.column(0).to_pylist():
-            spans = [name[i:j] for i in range(len(name)) for j in range(i + 2, min(len(name), i + LONGEST) + 1)]
-            spans = list(dict.fromkeys(spans)) or [name]
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(spans)), pa.array(spans)], ["name", "word"])
+            spans = list(dict.fromkeys(name[i:j] for i in range(len(name)) for j in range(i + 2, min(len(name), i + LONGEST) + 1))) or [name]
+            names += [name] * len(spans)
+            words += spans
+            held += len(spans) * (len(name) + LONGEST)
+            if held > 4 << 20:
+                yield some(names, words)
+                names, words, held = [], [], 0
+        yield some(names, words)
 
 
 def _split(total: int):
@@ -192,7 +225,7 @@ def segmented(names: DataFrame, counts: DataFrame, total: int) -> DataFrame:
     return known.mapInArrow(_split(max(total, 1)), "name string, words array<string>")
 
 
-def filtered(pages: DataFrame, threshold: float = 0.0, labelled: tuple[list[str], list[str]] | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def filtered(pages: DataFrame, threshold: float = 1.0, labelled: tuple[list[str], list[str]] | DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, host, host_words, log_odds, blocked) of every row."""
     spark = pages.sparkSession
     ship(spark)
@@ -203,7 +236,7 @@ def filtered(pages: DataFrame, threshold: float = 0.0, labelled: tuple[list[str]
     named = hosts.mapInArrow(_host_names, "host string, nth int, name string")
     words = segmented(named.select("name").distinct(), counts, total)
     by_host = cut(named.join(words, "name").groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("nth", "words"))), lambda x: x["words"])).alias("words")))
-    shared = spark.sparkContext.broadcast(model(*(labelled or (None, None))))
+    shared = spark.sparkContext.broadcast(model(*(examples(labelled) if isinstance(labelled, DataFrame) else labelled or (None, None))))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, ratio = shared.value
