@@ -1,23 +1,26 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Words and word pairs are counted over all documents. A count c of at least
-`min_count` is quantised to the level floor(log2 c), and the filter holds each
-n-gram once for every level from 1 up to its own. Workers probe the levels of an
+Words, word pairs and word triples are counted over all documents. A count c is
+quantised to the level 1 + floor(log2 c), and the filter holds each n-gram once for every
+level from 1 up to its own, those seen once too. Workers probe the levels of an
 n-gram upwards until one is missing, which gives its count back within a factor
-of two (errors only raise it, each level with probability about 1 %). A word's
-probability given the one before it interpolates both:
+of two (errors only raise it, each level with probability about 1 %).
 
-    p(b | a) = 0.8 * c(ab) / c(a) + 0.2 * (c(b) + 1) / (N + V + 1)
+A text is scored by what the other texts say: of an n-gram's count c its own k occurrences
+in this text are taken away. c is 1 at level 1, else 1.5 * 2**(level - 1), and c' = c - k,
+but 0 where k may be all of them (k >= 2**(level - 1)). A word's probability after a and b is
 
-with c = 1.5 * 2**level, 0 for a pair and 1 for a word that the filter lacks; c(ab)
-counts at most c(a). A text's first word has the second term only.
+    0.6 * c'(abw) / c'(ab) + 0.3 * c'(bw) / c'(b) + 0.1 * (c'(w) + 1) / (N + V + 1)
+
+where a count is at most that of its first words, and a fraction without a denominator
+is 0. A text's second word has the last two terms (times 2.5), its first word the last one
+(times 10).
 
 Counts are combined with numpy by task, and move as blobs of hashes by hash range;
-the task of a range builds that range's part of the filter. All parts of pairs are
-broadcast at once while the filter has at most `broadcast_bytes`; a larger one is
-broadcast in as many goes, each scoring the pairs whose hashes it holds, and the
-sums of a text's logarithms are added up. The words' part is in every go, and has
-about two bytes for each word seen `min_count` times.
+the task of a range builds that range's part of the filter. A filter of at most
+`broadcast_bytes` is broadcast. A larger one is never put together: distinct texts send
+the hashes of their n-grams to the parts, each part answers with levels, and the answers meet
+their text again. Each part is loaded once, by one task.
 
 Defined results: null, empty and wordless texts have 0 words and null scores; every
 row, repeated or not, is counted and scored; null ids are passed on; columns of
@@ -26,7 +29,7 @@ other names are not read; an empty table has no scores.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,6 +41,8 @@ from ..session import cut, ship
 from . import _text as T
 
 HELD = 3_000_000
+ORDERS = (1, 2, 3)
+MIX = (0.1, 0.3, 0.6)
 PROBES = 4
 BITS = 10
 TOP = 40
@@ -59,24 +64,41 @@ def part_of(h: np.ndarray, parts: int) -> np.ndarray:
     return (((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
 
+def grams(w: T.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-grams of some rows, and the word that each begins with."""
+    h, begin = T.ngrams(w, n)
+    return (T.mix(h) if n == 1 else h), begin
+
+
+def packed(h: np.ndarray, c: np.ndarray) -> tuple[bytes, bytes]:
+    """Hashes and counts as bytes; a count is one byte, and from 255 on four more at the end."""
+    big = c >= 255
+    return h.tobytes(), np.where(big, 255, c).astype(np.uint8).tobytes() + c[big].astype(np.uint32).tobytes()
+
+
+def unpacked(h: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray]:
+    hashes = np.frombuffer(h, np.uint64)
+    count = np.frombuffer(c, np.uint8, len(hashes)).astype(np.int64)
+    count[count == 255] = np.frombuffer(c, np.uint32, offset=len(hashes)) if len(c) > len(hashes) else 255
+    return hashes, count
+
+
 def _count(parts: int):
     def blobs(held: list[np.ndarray], order: int) -> Iterator[pa.RecordBatch]:
         h, c = summed(np.concatenate(held))
         at = np.searchsorted(part_of(h, parts), np.arange(parts + 1))
         some = np.flatnonzero(np.diff(at))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(some, pa.int32()), pa.array(np.full(len(some), order, np.int32)), pa.array([h[at[p] : at[p + 1]].tobytes() for p in some], pa.binary()), pa.array([c[at[p] : at[p + 1]].astype(np.uint32).tobytes() for p in some], pa.binary())],
-            ["part", "n", "h", "c"],
-        )
+        both = [packed(h[at[p] : at[p + 1]], c[at[p] : at[p + 1]]) for p in some]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(np.full(len(some), order, np.int32)), pa.array([x for x, _ in both], pa.binary()), pa.array([x for _, x in both], pa.binary())], ["part", "n", "h", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {1: [], 2: []}
+        held: dict[int, list[np.ndarray]] = {n: [] for n in ORDERS}
         size = 0
         for b in batches:
             for s in T.slices(b.column(0)):
                 w = T.words(s)
-                held[1].append(T.mix(w.h))
-                held[2].append(T.ngrams(w, 2)[0])
+                for n in ORDERS:
+                    held[n].append(grams(w, n)[0])
                 size += len(w.h)
                 if size >= HELD:
                     for order in held:
@@ -99,8 +121,8 @@ def _spots(h: np.ndarray, level: int, i: int, m: np.ndarray | np.uint64) -> np.n
 
 def built(h: np.ndarray, c: np.ndarray, min_count: int) -> np.ndarray:
     """The bits, as bytes, of one part."""
-    keep = c >= max(2, min_count)
-    h, level = h[keep], np.frexp(c[keep])[1] - 1
+    keep = c >= max(1, min_count)
+    h, level = h[keep], np.frexp(c[keep])[1]
     m = 64 + BITS * int(level.sum())
     m += -m % 8
     bits = np.zeros(m, bool)
@@ -119,9 +141,8 @@ def _build(min_count: int):
                 held.setdefault((part, n), []).append((h, c))
         for part, n in sorted(held):
             got = held.pop((part, n))
-            h = np.frombuffer(b"".join(x for x, _ in got), np.uint64)
-            c = np.frombuffer(b"".join(x for _, x in got), np.uint32).astype(np.int64)
-            h, c = summed(h, c)
+            each = [unpacked(*x) for x in got]
+            h, c = summed(np.concatenate([x for x, _ in each]), np.concatenate([x for _, x in each]))
             bits = built(h, c, min_count)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int32()), pa.array([bits.tobytes()], pa.binary()), pa.array([len(bits)], pa.int64()), pa.array([len(h)], pa.int64()), pa.array([int(c.sum())], pa.int64())], ["part", "n", "bits", "size", "distinct", "total"])
 
@@ -160,28 +181,39 @@ def loaded(rows: list, parts: int) -> Filter:
     return Filter(np.frombuffer(b"".join(bytes(r["bits"]) for r in rows) or b"\0", np.uint8), base, m)
 
 
-def log_probabilities(s: T.Slice, one: Filter, two: Filter, whole: int, first: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Words of each row, and the sum of the natural logarithms of the pairs that `two` has parts for, and of first words if `first`."""
+def counted(h: np.ndarray, row: np.ndarray, lookup: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """c' of each n-gram."""
+    _, first, which, own = np.unique(T.mix(h + T.mix(row.astype(np.uint64))), return_index=True, return_inverse=True, return_counts=True)
+    level = lookup(h[first])
+    low = np.exp2(np.maximum(level, 1) - 1.0)
+    c = np.where(level > 1, 1.5 * low, level)
+    return np.where((level > 0) & (own < low), c - own, 0.0)[which]
+
+
+def log_probabilities(s: T.Slice, lookup: Callable[[int, np.ndarray], np.ndarray], whole: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each row, and the sum of the natural logarithms of their probabilities; lookup gives the levels of n-grams of an order."""
     w = T.words(s)
     n = np.diff(w.ptr)
     if not len(w.h):
         return n, np.zeros(s.rows)
-    distinct, which = np.unique(w.h, return_inverse=True)
-    level = one.levels(T.mix(distinct))
-    c = np.where(level > 0, 1.5 * np.exp2(level), 1.0)[which]
-    plain = 0.2 * (c + 1) / whole
-    pairs, begin = T.ngrams(w, 2)
-    mine = two.m[part_of(pairs, len(two.m))] > 0
-    pairs, begin = pairs[mine], begin[mine]
-    level = two.levels(pairs)
-    both = np.minimum(np.where(level > 0, 1.5 * np.exp2(level), 0.0), c[begin])
-    logs = np.zeros(len(w.h) + 1)
-    logs[begin + 1] = np.log(0.8 * both / c[begin] + plain[begin + 1])
-    if first:
-        at = w.ptr[:-1][n > 0]
-        logs[at] = np.log(5 * plain[at])
+    row, c = T.row_of(w.ptr), np.zeros((3, len(w.h) + 2))
+    for order in ORDERS:
+        h, begin = grams(w, order)
+        if len(h):
+            c[order - 1, begin] = counted(h, row[begin], lambda x, order=order: lookup(order, x))
+    c[1] = np.minimum(c[1], c[0])
+    c[2] = np.minimum(c[2], c[1])
+    size = len(w.h)
+    share = [np.divide(c[k], c[k - 1], out=np.zeros(size + 2), where=c[k - 1] > 0) for k in (1, 2)]
+    p = MIX[0] * (c[0, :size] + 1) / whole
+    place = np.arange(size) - w.ptr[row]
+    two, three = np.flatnonzero(place >= 1), np.flatnonzero(place >= 2)
+    p[two] += MIX[1] * share[0][two - 1]
+    p[three] += MIX[2] * share[1][three - 2]
+    p[place == 0] /= MIX[0]
+    p[place == 1] /= MIX[0] + MIX[1]
     total = np.zeros(s.rows)
-    total[n > 0] = np.add.reduceat(logs[:-1], w.ptr[:-1][n > 0])
+    total[n > 0] = np.add.reduceat(np.log(p), w.ptr[:-1][n > 0])
     return n, total
 
 
@@ -194,46 +226,123 @@ def filters(docs: DataFrame, min_count: int, text_col: str, part_bytes: int) ->
     return cut(blobs.repartition(parts, "part").mapInArrow(_build(min_count), "part int, n int, bits binary, size long, distinct long, total long")), parts
 
 
-def scored(docs: DataFrame, min_count: int = 2, broadcast_bytes: int = 256 << 20, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 16 << 20) -> DataFrame:
+def _ask(parts: int):
+    """Of distinct texts (a, b, t): the hashes of their n-grams, in order, by order and part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in T.slices(batch.column(2)):
+                w = T.words(s)
+                row_of = T.row_of(w.ptr)
+                for n in ORDERS:
+                    h, begin = grams(w, n)
+                    order = np.lexsort((h, row_of[begin]))
+                    h, row = h[order], row_of[begin][order]
+                    if not len(h):
+                        continue
+                    new = np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1]))
+                    h, row = h[new], row[new]
+                    part = part_of(h, parts)
+                    at = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (row[1:] != row[:-1])))
+                    end = np.append(at[1:], len(h))
+                    own = pa.array(row[at] + s.first)
+                    yield pa.RecordBatch.from_arrays([pa.array(part[at], pa.int32()), pa.array(np.ones(len(at), np.int32)), pa.array(np.full(len(at), n, np.int32)), batch.column(0).take(own), batch.column(1).take(own), pa.array([h[x:y].tobytes() for x, y in zip(at, end)], pa.binary())], ["part", "kind", "n", "a", "b", "x"])
+
+    return run
+
+
+def _answer(parts: int):
+    """Rows (part, kind, n, a, b, x) ordered by part and kind: the filter's, of kind 0, answer the others with levels of a byte."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = -1, {}
+        for batch in batches:
+            columns = [batch[c].to_pylist() for c in ("part", "kind", "n", "a", "b", "x")]
+            out = []
+            for p, kind, n, a, b, x in zip(*columns):
+                if p != part:
+                    part, held = p, {}
+                if kind == 0:
+                    held[n] = loaded([{"part": p, "size": len(x), "bits": x}], parts)
+                else:
+                    h = np.frombuffer(x, np.uint64)
+                    out.append((p, 1, n, a, b, (held[n].levels(h) if n in held else np.zeros(len(h))).astype(np.uint8).tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["part", "kind", "n", "a", "b", "x"])
+
+    return run
+
+
+def _meet(whole: int):
+    """Rows (a, b, kind, n, part, x, t) ordered so: a text, of kind 0, and then its levels."""
+
+    def scored(text: tuple, got: dict[int, list[bytes]]) -> tuple:
+        levels = {n: np.frombuffer(b"".join(x), np.uint8).astype(np.int64) for n, x in got.items()}
+
+        def lookup(n: int, h: np.ndarray) -> np.ndarray:
+            return levels[n][np.unique(h, return_inverse=True)[1]]
+
+        n, total = log_probabilities(next(T.slices(pa.array([text[2]]), 1 << 62)), lookup, whole)
+        return text[0], text[1], int(n[0]), float(total[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text, got, out = None, {}, []
+
+        def flush() -> pa.RecordBatch:
+            rows = list(zip(*out)) or [()] * 4
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "n_words", "total"])
+
+        for batch in batches:
+            for a, b, kind, n, x, t in zip(*(batch[c].to_pylist() for c in ("a", "b", "kind", "n", "x", "t"))):
+                if kind == 0:
+                    if text:
+                        out.append(scored(text, got))
+                    text, got = (a, b, t), {}
+                else:
+                    got.setdefault(n, []).append(x)
+            yield flush()
+        if text:
+            out.append(scored(text, got))
+            yield flush()
+
+    return run
+
+
+def _joined(rows: DataFrame, table: DataFrame, parts: int, whole: int) -> DataFrame:
+    """(a, b, n_words, total) of the distinct texts of rows (a, b, t)."""
+    texts = cut(rows.where("t is not null").groupBy("a", "b").agg(F.first("t").alias("t")))
+    asked = texts.mapInArrow(_ask(parts), "part int, kind int, n int, a long, b long, x binary")
+    held = table.select("part", F.lit(0).alias("kind"), "n", F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), F.col("bits").alias("x"))
+    answers = asked.unionByName(held).repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(_answer(parts), "part int, kind int, n int, a long, b long, x binary")
+    whole_text = texts.select(F.lit(0).alias("part"), F.lit(0).alias("kind"), F.lit(0).alias("n"), "a", "b", F.lit(None).cast("binary").alias("x"), "t")
+    both = answers.withColumn("t", F.lit(None).cast("string")).unionByName(whole_text)
+    return both.repartition("a", "b").sortWithinPartitions("a", "b", "kind", "n", "part").mapInArrow(_meet(whole), "a long, b long, n_words long, total double")
+
+
+def scored(docs: DataFrame, min_count: int = 1, broadcast_bytes: int = 256 << 20, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 16 << 20) -> DataFrame:
     """(doc_id, n_words, log10_prob, perplexity) of every row; log10_prob is the mean over its words."""
     spark = docs.sparkSession
     ship(spark)
     table, parts = filters(docs, min_count, text_col, part_bytes)
-    sizes = table.where("n = 2").select("part", "size").orderBy("part").collect()
-    stats = table.where("n = 1").agg(F.sum("total").alias("total"), F.sum("distinct").alias("distinct")).first()
+    stats = table.agg(F.sum("size").alias("size"), F.sum(F.when(F.col("n") == 1, F.col("total"))).alias("total"), F.sum(F.when(F.col("n") == 1, F.col("distinct"))).alias("distinct")).first()
     whole = (stats["total"] or 0) + (stats["distinct"] or 0) + 1
-    goes: list[list[int]] = [[]]
-    room = broadcast_bytes
-    for r in sizes:
-        if r["size"] > room and goes[-1]:
-            goes.append([])
-            room = broadcast_bytes
-        goes[-1].append(r["part"])
-        room -= r["size"]
-    one = loaded(table.where("n = 1").select("part", "size", "bits").collect(), parts)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.lower(F.col(text_col)).alias("t"))
-
-    def go(nth: int) -> DataFrame:
-        two = loaded(table.where("n = 2").where(F.col("part").isin(goes[nth])).select("part", "size", "bits").collect(), parts)
-        shared = spark.sparkContext.broadcast((one, two))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            a, b2 = shared.value
-            for b in batches:
-                for s in T.slices(b.column(2)):
-                    n, total = log_probabilities(s, a, b2, whole, nth == 0)
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, s.rows), b.column(1).slice(s.first, s.rows), pa.array(n.astype(np.int64)), pa.array(total)], ["doc_id", "th", "n_words", "total"])
-
-        return rows.mapInArrow(run, "doc_id long, th long, n_words long, total double")
-
-    if len(goes) == 1:
-        sums = go(0)
-    else:
-        each = None
-        for nth in range(len(goes)):
-            got = cut(go(nth).groupBy("doc_id", "th").agg(F.first("n_words").alias("n_words"), F.first("total").alias("total"), F.count(F.lit(1)).alias("rows")))
-            each = got if each is None else each.unionByName(got)
-        sums = each.groupBy("doc_id", "th").agg(F.first("n_words").alias("n_words"), F.sum("total").alias("total"), F.first("rows").alias("rows"))
-        sums = sums.withColumn("row", F.explode(F.expr("sequence(1L, rows)")))
     mean = F.when(F.col("n_words") > 0, F.col("total") / F.col("n_words"))
-    return sums.select("doc_id", "n_words", (mean / F.lit(float(np.log(10)))).alias("log10_prob"), F.exp(-mean).alias("perplexity"))
+    result = ["doc_id", "n_words", (mean / F.lit(float(np.log(10)))).alias("log10_prob"), F.exp(-mean).alias("perplexity")]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("a"), F.xxhash64(text_col, F.lit(1)).alias("b"), F.lower(F.col(text_col)).alias("t"))
+    if (stats["size"] or 0) > broadcast_bytes:
+        scores = _joined(rows.select("a", "b", "t"), table, parts, whole)
+        both = rows.select("doc_id", "a", "b").join(scores, ["a", "b"], "left")
+        return both.withColumn("n_words", F.coalesce("n_words", F.lit(0).cast("long"))).select(*result)
+    held = {n: [r for r in table.where(F.col("n") == n).select("part", "size", "bits").collect()] for n in ORDERS}
+    shared = spark.sparkContext.broadcast({n: loaded(x, parts) for n, x in held.items()})
+    del held
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = shared.value
+        for b in batches:
+            for s in T.slices(b.column(1)):
+                n, total = log_probabilities(s, lambda order, h: found[order].levels(h), whole)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, s.rows), pa.array(n.astype(np.int64)), pa.array(total)], ["doc_id", "n_words", "total"])
+
+    return rows.select("doc_id", "t").mapInArrow(run, "doc_id long, n_words long, total double").select(*result)
