@@ -104,6 +104,33 @@ def test_sharding_balance(documents, texts, size):
     assert max(load.values()) <= (1.02 if size > 200 else 1.1) * best
 
 
+def test_sharding_up_a_tree(spark):
+    """Many partial partitions: nothing is collected, no merging task sees more than fan_in * shards numbers, ties and equal sizes are dealt evenly."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("concat(id, ' ', repeat('x', if(id % 3 = 0, 100, cast(id % 50 as int))))").alias("text"))
+    rows = kk_sharding.sharded(docs, 8, groups_per_part=20, fan_in=4).collect()
+    load = Counter()
+    for r in rows:
+        load[r["shard"]] += r["bytes"]
+    assert len(rows) == 3000 and len(load) == 8 and max(load.values()) - min(load.values()) <= 110
+    same = kk_sharding.sharded(docs.select("doc_id", F.expr("lpad(doc_id, 6, '0')").alias("text")), 8, groups_per_part=100, fan_in=2).collect()
+    count = Counter(r["shard"] for r in same)
+    assert max(count.values()) - min(count.values()) <= 1
+    r = random.Random(12)
+    given = {(p, s): r.randint(0, 1000) for p in range(9) for s in range(4)}
+    for p in range(9):
+        own = sorted(n for (q, _), n in given.items() if q == p)
+        given |= {(p, s): n for s, n in enumerate(own)}
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 36, pa.int32()), *(pa.array([k[i] for k in given], pa.int32()) for i in (0, 1)), pa.array(list(given.values()))], ["up", "part", "slot", "bytes"])
+    out = next(kk_sharding._merge(4)(iter([batch]))).to_pylist()
+    assert len(out) == 36
+    sums = Counter()
+    for x in out:
+        sums[x["up_slot"]] += given[x["part"], x["slot"]]
+    assert all(x["up_bytes"] == sums[x["up_slot"]] for x in out)
+    for p in range(9):
+        assert sorted(x["up_slot"] for x in out if x["part"] == p) == [0, 1, 2, 3]
+
+
 # 2 Language model
 
 
@@ -114,10 +141,10 @@ def test_filter_levels():
     part = bloom_lm.part_of(h, 4)
     rows = []
     for p in range(4):
-        bits = bloom_lm.built(h[part == p], c[part == p], 2)
+        bits = bloom_lm.built(h[part == p], c[part == p], 1)
         rows.append({"part": p, "bits": bits.tobytes(), "size": len(bits)})
     level = bloom_lm.loaded(rows, 4).levels(h)
-    true = np.where(c >= 2, np.floor(np.log2(c)), 0)
+    true = np.floor(np.log2(c)) + 1
     assert (level >= true).all() and (level == true).mean() > 0.97
     unseen = bloom_lm.loaded(rows, 4).levels(T.mix(h + np.uint64(12345)))
     assert (unseen > 0).mean() < 0.03
@@ -125,34 +152,50 @@ def test_filter_levels():
 
 def exact_scores(texts):
     words = {i: WORD.findall(t.lower()) for i, t in texts.items()}
-    one, two = Counter(w for ws in words.values() for w in ws), Counter(p for ws in words.values() for p in zip(ws, ws[1:]))
-    whole = sum(one.values()) + len(one) + 1
-    level = lambda c: 1.5 * 2 ** math.floor(math.log2(c)) if c >= 2 else None
+    runs = lambda ws, n: list(zip(*(ws[k:] for k in range(n))))
+    total = {n: Counter(g for ws in words.values() for g in runs(ws, n)) for n in (1, 2, 3)}
+    whole = sum(total[1].values()) + len(total[1]) + 1
     out = {}
     for i, ws in words.items():
-        total = 0.0
+        own = {n: Counter(runs(ws, n)) for n in (1, 2, 3)}
+
+        def count(*g):
+            c, k = total[len(g)][g], own[len(g)][g]  # noqa: B023
+            low = 2 ** math.floor(math.log2(c))
+            mine = (1.5 * low if c > 1 else 1) - k if k < low else 0
+            return min(mine, count(*g[:-1])) if len(g) > 1 else mine
+
+        share = lambda *g: count(*g) / count(*g[:-1]) if count(*g[:-1]) else 0  # noqa: E731, B023
+        logs = 0.0
         for k, w in enumerate(ws):
-            c = level(one[w]) or 1
-            if k == 0:
-                total += math.log((c + 1) / whole)
-                continue
-            before = level(one[ws[k - 1]]) or 1
-            total += math.log(0.8 * min(level(two[ws[k - 1], w]) or 0, before) / before + 0.2 * (c + 1) / whole)
-        out[i] = total / len(ws) / math.log(10) if ws else None
+            p = 0.1 * (count(w) + 1) / whole
+            if k >= 1:
+                p += 0.3 * share(ws[k - 1], w)
+            if k >= 2:
+                p += 0.6 * share(ws[k - 2], ws[k - 1], w)
+            logs += math.log(p / (0.1, 0.4, 1.0)[min(k, 2)])
+        out[i] = logs / len(ws) / math.log(10) if ws else None
     return out
 
 
-def test_scores_and_goes(documents, texts, monkeypatch):
+def test_packed_counts():
+    h = np.arange(6, dtype=np.uint64)
+    c = np.array([1, 254, 255, 256, 3, 10**9])
+    back = bloom_lm.unpacked(*bloom_lm.packed(h, c))
+    assert (back[0] == h).all() and (back[1] == c).all()
+
+
+def test_scores_broadcast_and_joined(documents, texts):
     want = exact_scores(texts)
     got = {r["doc_id"]: r for r in bloom_lm.scored(documents, part_bytes=40_000).collect()}
     assert got.keys() == want.keys()
     off = [got[i]["log10_prob"] - want[i] for i in want if want[i] is not None]
-    assert np.mean(np.abs(off)) < 0.03 and np.corrcoef([got[i]["log10_prob"] for i in want if want[i] is not None], [x for x in want.values() if x is not None])[0, 1] > 0.99
-    many = {r["doc_id"]: r for r in bloom_lm.scored(documents, part_bytes=40_000, broadcast_bytes=5_000).collect()}
-    assert many.keys() == got.keys()
+    assert np.mean(np.abs(off)) < 0.05 and np.corrcoef([got[i]["log10_prob"] for i in want if want[i] is not None], [x for x in want.values() if x is not None])[0, 1] > 0.99
+    joined = {r["doc_id"]: r for r in bloom_lm.scored(documents, part_bytes=40_000, broadcast_bytes=0).collect()}
+    assert joined.keys() == got.keys()
     for i in got:
-        assert many[i]["n_words"] == got[i]["n_words"] and (got[i]["log10_prob"] is None or abs(many[i]["log10_prob"] - got[i]["log10_prob"]) < 1e-9)
-    twice = bloom_lm.scored(documents.unionByName(documents), part_bytes=40_000, broadcast_bytes=5_000)
+        assert joined[i]["n_words"] == got[i]["n_words"] and (got[i]["log10_prob"] is None or abs(joined[i]["log10_prob"] - got[i]["log10_prob"]) < 1e-9)
+    twice = bloom_lm.scored(documents.unionByName(documents), part_bytes=40_000, broadcast_bytes=0)
     assert twice.count() == 2 * len(texts)
 
 
@@ -305,9 +348,21 @@ def test_word_counts_and_hosts(spark):
         words = [w for name in url_filter.names_of(host) for w in url_filter.segment(name, share, 1 / (2 * max(total, 1_000_000)))]
         assert r["host_words"].split() == words
         assert abs(r["log_odds"] - base - sum(ratio.get(t, 0) for t in words + url_filter.path_tokens(rest))) < 1e-6
-    for url, bad in (("https://www.bestcasinobonus.com/en/1", True), ("http://onlinepills.net/buy", True), ("https://www.citylibrary.org/en/1", False)):
-        got = url_filter.filtered(spark.createDataFrame([(1, url, "")], "page_id long, url string, html string")).first()
-        assert got["blocked"] == bad
+
+
+def test_hosts_that_the_tables_lack(spark):
+    bad = ("www.bestcasinobonus.com/en/1", "onlinepills.net/buy", "bingospins.com", "lonelygirls.net", "steroidshop.net", "luckyjackpot24.org/x", "nakedbabescam.tv", "instantpayday-loans.co/apply", "crackedkeygens.ru", "adtrackerpixel.io/p", "replicarolex.biz")
+    good = ("www.citylibrary.org/en/1", "greenvalleyschool.org/news", "thedailytelescope.com", "baroquemusic.org/bach", "mountainhiking.net/maps", "oldbridgebakery.com/bread", "openphysics.edu/lecture/3", "nationalbank.com/login", "dogcareclinic.org", "riverfishing.net/club", "mapleleafhotel.ca/book")
+    pages = spark.createDataFrame([(i, "https://" + u, "") for i, u in enumerate((*bad, *good))], "page_id long, url string, html string")
+    got = {r["page_id"]: r["blocked"] for r in url_filter.filtered(pages).collect()}
+    assert sum(got[i] for i in range(len(bad))) >= 0.9 * len(bad) and sum(got[len(bad) + i] for i in range(len(good))) <= 0.1 * len(good), got
+
+
+def test_labelled_urls(spark):
+    rows = [(f"http://zor{i % 7}kab.com/quux/{i}", True) for i in range(40)] + [(f"http://mild{i % 5}.com/page/{i}", False) for i in range(40)] + [(None, True), ("http://x.com", None)]
+    labelled = spark.createDataFrame(rows, "url string, blocked boolean")
+    pages = spark.createDataFrame([(1, "http://other.com/quux/9", ""), (2, "http://other.com/page/9", "")], "page_id long, url string, html string")
+    assert {r["page_id"]: r["blocked"] for r in url_filter.filtered(pages, labelled=labelled).collect()} == {1: True, 2: False}
 
 
 # 5 Quality
@@ -330,6 +385,61 @@ def test_field_viterbi_and_fit():
         assert (fitted.viterbi(np.array([0, len(x)]), x) == y).all()
 
 
+SYMBOLS = set("#$%&*+<=>@[\\]^_`{}~|/!")
+
+
+def naive_lines(text):
+    """(size in bytes, features) of the lines of a text that have a word."""
+    word = re.compile("[A-Za-z0-9\u0080-\U0010ffff]+")
+    marked = {f for x in line_crf.MARKED for f in (x, x.capitalize(), x.upper())}
+    whole = re.split(r"(?<=\n)", text)
+    raw = [x for x in whole if word.search(x)]
+    keys = [tuple(word.findall(x)) for x in raw]
+    out = []
+    for i, x in enumerate(raw):
+        w, size = keys[i], len(x.encode())
+        n, repeated = len(w), 1 - len(set(w)) / len(w)
+        tail = x[[m.end() for m in word.finditer(x)][-1] :]
+        count = lambda f: sum(map(f, x))  # noqa: E731, B023
+        symbols, digits = count(lambda c: c in SYMBOLS), count(lambda c: c in "0123456789")
+        upper, lower = count(lambda c: "A" <= c <= "Z"), count(lambda c: "a" <= c <= "z")
+        given = (True, n < 3, n < 9, n >= 30, tail[:1] in tuple(".!?"), x.count("|") * 3 >= n, symbols * 25 > size, symbols * 20 > 3 * size, digits * 5 > size, upper > lower,
+                 repeated > 0.5 and n >= 6, repeated > 0.8 and n >= 6, any(y in marked for y in w), keys.count(w) > 1, size > 14 * n, x is whole[0], i == len(raw) - 1)
+        out.append((size, sum(1 << f for f, y in enumerate(given) if y)))
+    return out
+
+
+def test_quality_query_by_brute_force(spark, documents, texts):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    field = line_crf.trained(documents, labels)
+    got = {r["doc_id"]: (r["n_lines"], r["n_content"], round(r["content_share"], 9)) for r in line_crf.judged(documents, field).collect()}
+    assert got == {r["doc_id"]: (r["n_lines"], r["n_content"], round(r["content_share"], 9)) for r in Q.QUERIES["op5_line_crf"](spark, SF).collect()}
+    want = {}
+    for i, text in texts.items():
+        own = naive_lines(text)
+        if not own:
+            continue
+        best = [(field.begin[y] + field.emissions(np.array([own[0][1]]))[0][y], [y]) for y in (0, 1)]
+        for _, bits in own[1:]:
+            e = field.emissions(np.array([bits]))[0]
+            best = [max(((s + field.move[p[-1], y] + e[y], [*p, y]) for s, p in best), key=lambda x: x[0]) for y in (0, 1)]
+        label = max(best, key=lambda x: x[0])[1]
+        size, good = sum(n for n, _ in own), sum(n for (n, _), y in zip(own, label) if y)
+        if 2 * good >= size:
+            want[i] = (len(own), sum(label), round(good / size, 9))
+    assert got == want
+
+
+def test_quality_trains_on_whole_documents(spark):
+    """Junk after line 100 of a labelled document teaches as well as any."""
+    filler = "\n".join("The river rose after three days of rain, and the fields were under water by noon." for _ in range(120))
+    odd = "\n".join(f"qq{i} | zz | yy {i}" for i in range(150))
+    docs = spark.createDataFrame([(1, odd), (2, filler)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int")
+    field = line_crf.trained(docs, labels)
+    assert {r["doc_id"] for r in line_crf.judged(docs, field).collect()} == {2}
+
+
 def test_quality_held_out(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     half = labels.where("doc_id % 2 = 0")
@@ -631,6 +741,27 @@ def test_packing_is_a_partition(documents, texts, size):
     assert not pieces and len(bins) <= (1.03 if size > 200 else 1.08) * total / 512 + 1
 
 
+def test_no_funnel(spark):
+    """Bins that no merge can improve don't rise: of 20,000 items of 1,200 in bins of 2,048 and a few small ones each task of a merge sees a bounded number."""
+    seen = []
+    r = random.Random(3)
+    for lengths in ([1200] * 5000, [1200] * 4990 + [100] * 10, [r.randint(700, 1400) for _ in range(5000)], [r.randint(1, 30) for _ in range(5000)]):
+        fills = [0] * (max(where := packing.best_fit(sorted(lengths, reverse=True), 2048)) + 1)
+        for n, at in zip(sorted(lengths, reverse=True), where):
+            fills[at] += n
+        done = packing.finished(fills, 2048, 2007, 64)
+        rising = [f for f, d in zip(fills, done) if not d]
+        seen.append(len(rising))
+        assert sum(2 * f <= 2048 for f in rising) == sum(2 * f <= 2048 for f in fills) <= 1
+    assert max(seen) <= 65
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"), F.lit(1199).alias("n"))
+    bins = packing.packed(docs, 2048, length=F.col("n"), items_per_part=500).collect()
+    assert len(bins) == 6000 and {b["fill"] for b in bins} == {1200}
+    mixed = docs.withColumn("n", F.when(F.col("doc_id") % 4 == 0, 799).otherwise(1199))
+    bins = packing.packed(mixed, 2048, length=F.col("n"), items_per_part=500).collect()
+    assert sum(len(b["pieces"]) for b in bins) == 6000 and len(bins) <= 4500 + 8
+
+
 # The pipeline
 
 

@@ -51,14 +51,15 @@ def test_sharding(docs, none):
     assert kk_sharding.sharded(none, 4).count() == 0
 
 
-def test_language_model(docs, none):
-    rows = bloom_lm.scored(docs).collect()
+@pytest.mark.parametrize("limit", [1 << 20, -1])
+def test_language_model(docs, none, limit):
+    rows = bloom_lm.scored(docs, broadcast_bytes=limit).collect()
     assert len(rows) == len(ROWS)
     for r in rows:
         assert (r["perplexity"] is None) == (r["n_words"] == 0)
     assert {r["n_words"] for r in rows if r["doc_id"] in (3, 4, 5, 6)} == {0}
     assert len({r["perplexity"] for r in rows if r["doc_id"] in (1, 2)}) == 1
-    assert bloom_lm.scored(none).count() == 0
+    assert bloom_lm.scored(none, broadcast_bytes=limit).count() == 0
 
 
 def test_personal_data(docs, none, net):
