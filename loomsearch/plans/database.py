@@ -1,9 +1,17 @@
 """Named collections of documents (id, vector, metadata) in a folder, and all that is done with them.
 
-Every change is validated as a whole, then logged, then applied: the new state of a
-collection is written as a new Parquet version beside the old one, and a small
-metadata file names the version that counts. A change that was logged but not
-applied when the process ended is applied when the database is opened again.
+Every change is validated as a whole, then logged, then applied: its rows are written as
+a Parquet delta beside the collection's base version, and a small metadata file, which is
+replaced in one step, names the base and the deltas that count. Reading merges them: of every
+id the last change counts. After `MAX_DELTAS` deltas, or when they have a fifth of
+the base's rows, they are folded into a new base; the files of the last fold but one are
+removed then. A change that was logged but not applied when the process ended is
+applied when the database is opened again.
+
+An index covers the base. A search asks it for the base's documents, compares the rows of
+the deltas one by one, and merges both, so that an upsert or a removal rebuilds nothing; a
+fold assigns the deltas' rows to the lists of an IVF index with the centroids as they are, and
+has a graph built again when it is next asked for.
 """
 
 from __future__ import annotations
@@ -13,6 +21,7 @@ import time
 import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -27,6 +36,7 @@ from .schema import Schema
 
 DOCS = "id string, vector array<double>, metadata string"
 INDEX_TYPES = ("hnsw", "ivf")
+MAX_DELTAS, MANY_ROWS, SMALL_K = 8, 100_000, 100_000
 
 
 @dataclass
@@ -39,6 +49,10 @@ class Meta:
     schema: str | None = None
     index_type: str = "none"
     version: str = ""
+    rows: int = 0  # of the base
+    deltas: list[str] = field(default_factory=list)
+    delta_rows: int = 0
+    old: list[str] = field(default_factory=list)  # versions that the last fold replaced
     index_version: str = ""
     centroids: list[list[float]] = field(default_factory=list)
     n_probe: int = 0  # of an IVF index, as measured when it was built; 0: all lists
@@ -112,8 +126,9 @@ class Database:
                 self.meta.pop(name, None)
             case "truncate_collection":
                 if name in self.meta:
-                    self.meta[name].version = ""
-                    self._forget_index(self.meta[name])
+                    m = self.meta[name]
+                    self._replace(m, "", 0)
+                    self._forget_index(m)
             case "upsert" | "batch_upsert":
                 if name in self.meta:
                     docs = e.get("documents") or [e["document"]]
@@ -143,7 +158,8 @@ class Database:
     def delete_collection(self, name: str) -> None:
         self._get(name)
         self._change({"action": "delete_collection", "collection": name})
-        files.remove(self.spark, self._file("data", name))
+        for kind in ("data", "index"):
+            files.remove(self.spark, self._file(kind, name))
 
     def truncate(self, name: str) -> None:
         """Remove all documents and the index; the dimension stays."""
@@ -167,10 +183,21 @@ class Database:
 
     # Documents
 
+    def _base(self, m: Meta) -> DataFrame:
+        return self.spark.read.parquet(self._file("data", m.name, m.version)) if m.version else self.spark.createDataFrame([], DOCS)
+
+    def _changes(self, m: Meta) -> DataFrame:
+        """(id, vector, metadata, gone): the last change of every id that the deltas have."""
+        each = [self.spark.read.parquet(self._file("data", m.name, d)).withColumn("_nth", F.lit(i)) for i, d in enumerate(m.deltas)]
+        return changelog.last_wins(reduce(DataFrame.unionByName, each), ["id"], ["_nth"]).drop("_nth")
+
     def documents(self, name: str) -> DataFrame:
         """(id, vector, metadata)."""
         m = self._get(name)
-        return self.spark.read.parquet(self._file("data", name, m.version)) if m.version else self.spark.createDataFrame([], DOCS)
+        if not m.deltas:
+            return self._base(m)
+        changes = self._changes(m)
+        return self._base(m).join(changes.select("id"), "id", "left_anti").unionByName(changes.where("not gone").select("id", "vector", "metadata"))
 
     def _frame(self, docs: Sequence[Mapping[str, Any]]) -> DataFrame:
         rows = [(d.get("id"), [float(x) for x in d.get("vector") or []], json.dumps(d.get("metadata") or {}, ensure_ascii=False, separators=(",", ":")), i) for i, d in enumerate(docs)]
@@ -219,21 +246,53 @@ class Database:
         return seen["n"]
 
     def _put(self, m: Meta, frame: DataFrame) -> None:
-        new = changelog.last_wins(frame, ["id"], ["nth"]).select("id", "vector", "metadata")
-        kept = self.documents(m.name).join(new.select("id"), "id", "left_anti")
-        self._write(m, kept.unionByName(new))
+        self._append(m, changelog.last_wins(frame, ["id"], ["nth"]).select("id", "vector", "metadata", F.lit(False).alias("gone")))
         if not m.dimension:
             first = self.documents(m.name).select(F.size("vector").alias("n")).first()
             m.dimension = max(0, first["n"]) if first else 0
 
     def _drop(self, m: Meta, ids: Sequence[str]) -> None:
-        self._write(m, changelog.delete(self.documents(m.name), self.spark.createDataFrame([(i,) for i in ids], "id string")))
+        rows = self.spark.createDataFrame([(i,) for i in dict.fromkeys(ids)], "id string")
+        self._append(m, rows.select("id", F.lit(None).cast("array<double>").alias("vector"), F.lit(None).cast("string").alias("metadata"), F.lit(True).alias("gone")))
+
+    def _append(self, m: Meta, rows: DataFrame) -> None:
+        if not m.version and not m.deltas:
+            self._write(m, rows.where("not gone"))
+            return
+        delta = "delta-" + uuid.uuid4().hex
+        path = self._file("data", m.name, delta)
+        rows.write.parquet(path)
+        m.deltas.append(delta)
+        m.delta_rows += self.spark.read.parquet(path).count()
+        if len(m.deltas) > MAX_DELTAS or m.delta_rows > MANY_ROWS and 5 * m.delta_rows > m.rows:
+            self.compact(m)
+
+    def compact(self, m: Meta) -> None:
+        """Fold the deltas into a new base, and into an IVF index of the old one."""
+        if not m.deltas:
+            return
+        before, path = m.version, self._index_path(m)
+        lists, changes = None, self._changes(m)
+        if m.index_type == "ivf" and m.index_version == before and files.exists(self.spark, path + "/_SUCCESS"):
+            gone = changes.select(F.xxhash64("id").alias("id"))
+            lists = self.spark.read.parquet(path).join(gone, "id", "left_anti").unionByName(self._listed(m, changes.where("not gone")))
+        self._write(m, self.documents(m.name))
+        if lists is not None:
+            lists.write.mode("overwrite").partitionBy("cid").parquet(self._index_path(m))
+            m.index_version = m.version
+            files.remove(self.spark, path)
 
     def _write(self, m: Meta, docs: DataFrame) -> None:
         version = uuid.uuid4().hex
-        docs.select("id", "vector", "metadata").write.parquet(self._file("data", m.name, version))
-        m.version = version
-        m.index_version = ""  # an index of older documents is built again when needed
+        path = self._file("data", m.name, version)
+        docs.select("id", "vector", "metadata").write.parquet(path)
+        self._replace(m, version, self.spark.read.parquet(path).count())
+
+    def _replace(self, m: Meta, version: str, rows: int) -> None:
+        for old in m.old:
+            files.remove(self.spark, self._file("data", m.name, old))
+        m.old = [x for x in (m.version, *m.deltas) if x]
+        m.version, m.rows, m.deltas, m.delta_rows, m.index_version = version, rows, [], 0, ""
 
     def remove(self, name: str, id: str) -> None:
         self._get(name)
@@ -268,23 +327,32 @@ class Database:
     def index_info(self, name: str) -> str:
         return self.meta[name].index_type if name in self.meta else "none"
 
-    def _numbered(self, name: str) -> DataFrame:
+    def _numbered(self, docs: DataFrame) -> DataFrame:
         """Documents with a number for their string id, as the indexes store them."""
-        return self.documents(name).withColumn("n", F.xxhash64("id"))
+        return docs.withColumn("n", F.xxhash64("id"))
+
+    def _listed(self, m: Meta, docs: DataFrame) -> DataFrame:
+        """(id, v, cid, name, metadata): documents in the lists of m's centroids."""
+        rows = self._numbered(docs)
+        return ivf.assign(rows, np.array(m.centroids), "n").join(rows.select(F.col("n").alias("id"), F.col("id").alias("name"), "metadata"), "id")
+
+    def _index_path(self, m: Meta) -> str:
+        return self._file("index", m.name, m.version + "-" + m.index_type)
 
     def _index(self, m: Meta) -> DataFrame | None:
-        """The stored index, built if it is wanted and not there."""
+        """The stored index of the base, built if it is wanted and not there."""
         if m.index_type == "none" or not m.version:
             return None
-        path = self._file("index", m.name, m.version + "-" + m.index_type)
-        if not m.index_version or not files.exists(self.spark, path + "/_SUCCESS"):
-            docs = self._numbered(m.name)
+        path = self._index_path(m)
+        if m.index_version != m.version or not files.exists(self.spark, path + "/_SUCCESS"):
+            docs = self._numbered(self._base(m))
+            if docs.isEmpty():
+                return None
             if m.index_type == "ivf":
                 centroids = ivf.train(docs)
                 m.centroids = centroids.tolist()
                 m.n_probe = ivf.measured_probes(docs, centroids, m.metric, id_col="n")
-                rows = ivf.assign(docs, centroids, "n").join(docs.select(F.col("n").alias("id"), F.col("id").alias("name"), "metadata"), "id")
-                rows.write.mode("overwrite").partitionBy("cid").parquet(path)
+                self._listed(m, self._base(m)).write.mode("overwrite").partitionBy("cid").parquet(path)
             else:
                 hnsw.build(docs, metric=m.metric, id_col="n").write.mode("overwrite").parquet(path)
             m.index_version = m.version
@@ -303,8 +371,7 @@ class Database:
         """(rank, id, score, vector, metadata) of the k best documents that satisfy the filter.
 
         An empty query or one of another dimension finds nothing. With an index the
-        search is approximate; a filter then acts before it, or, on a graph, is
-        answered exactly.
+        search is approximate; a filter acts within it.
         """
         if k <= 0:
             raise ValueError("k must be positive")
@@ -313,16 +380,31 @@ class Database:
         if not len(query) or (m.dimension and len(query) != m.dimension):
             return search.search(docs.where("false"), [0.0] * max(1, len(query)), k, m.metric).select("rank", "id", "score", F.lit(None).cast("array<double>").alias("vector"), F.lit(None).cast("string").alias("metadata"))
         index = None if exact else self._index(m)
-        if index is None or (m.index_type == "hnsw" and wanted is not None):
+        if index is None:
             found = search.search(docs, query, k, m.metric, wanted)
-        elif m.index_type == "ivf":
+        else:
+            found = self._indexed(m, index, query, k, wanted)
+        return docs.join(F.broadcast(found) if k <= SMALL_K else found, "id").select("rank", "id", "score", "vector", "metadata").orderBy("rank")
+
+    def _indexed(self, m: Meta, index: DataFrame, query: Sequence[float], k: int, wanted: Column | None) -> DataFrame:
+        """(rank, id, score) of the base by its index and of the deltas by comparison."""
+        changes = self._changes(m) if m.deltas else None
+        if m.index_type == "ivf":
             lists = index.select(F.col("name").alias("id"), "v", "cid", "metadata")
+            if changes is not None:
+                lists = lists.join(changes.select("id"), "id", "left_anti")
             found = ivf.search(lists, np.array(m.centroids), query, k, m.n_probe or len(m.centroids), m.metric, wanted)
         else:
             one = self.spark.createDataFrame([(0, [float(x) for x in query])], "id long, vector array<double>")
-            hits = hnsw.search_batch(one, index, k, m.metric).select("rank", F.col("id").alias("n"), "score")
-            found = self._numbered(name).select("id", "n").join(F.broadcast(hits), "n").select("rank", "id", "score")
-        return docs.join(F.broadcast(found), "id").select("rank", "id", "score", "vector", "metadata").orderBy("rank")
+            rows = self._numbered(self._base(m))
+            allowed = None if wanted is None else rows.where(wanted).select(F.col("n").alias("id"))
+            gone = None if changes is None else changes.select(F.xxhash64("id").alias("id"))
+            hits = hnsw.search_batch(one, index, k, m.metric, deleted=gone, allowed=allowed).select("rank", F.col("id").alias("n"), "score")
+            found = rows.select("id", "n").join(F.broadcast(hits) if k <= SMALL_K else hits, "n").select("rank", "id", "score")
+        if changes is None:
+            return found
+        own = search.search(changes.where("not gone"), query, k, m.metric, wanted)
+        return search.ranked(found.unionByName(own).select("id", "score"), k, F.col("score"), "id").select("rank", "id", "score")
 
     def hybrid_search(self, name: str, query: Sequence[float], text_query: str = "", k: int = 10, alpha: float = 0.5, where: Filter | Mapping | str | Column | None = None) -> DataFrame:
         """(rank, id, vector_score, text_score, combined_score), always by exact scores."""
@@ -346,13 +428,14 @@ class Database:
 
     def explain(self, name: str, query: Sequence[float], k: int = 10, where: Mapping | str | None = None) -> Explained:
         began = time.perf_counter_ns()
-        results = self.search(name, query, k, where).cache()
-        results.count()
+        plan = self.search(name, query, k, where)
+        results = self.spark.createDataFrame(plan.collect(), plan.schema)  # k rows at most
         took = time.perf_counter_ns() - began
         m = self._get(name)
         probed = ivf.probes(np.array(m.centroids), query, m.n_probe or len(m.centroids)) if m.index_type == "ivf" and m.centroids else None
-        scanned = self._index(m).where(F.col("cid").isin(probed)).count() if probed else self.documents(name).count()
-        return Explained(query, k, m.index_type, where, scanned, took, results._jdf.queryExecution().toString(), results)
+        index = self._index(m) if probed else None
+        scanned = self.documents(name).count() if index is None else index.where(F.col("cid").isin(probed)).count() + m.delta_rows
+        return Explained(query, k, m.index_type, where, scanned, took, plan._jdf.queryExecution().toString(), results)
 
     # Import, export, snapshots
 
@@ -377,7 +460,7 @@ class Database:
             raise ValueError("unknown snapshot version")
         fresh = {}
         for saved in raw["collections"]:
-            m = Meta(**(saved | {"version": "", "index_version": "", "centroids": []}))
+            m = Meta(**(saved | {"version": "", "rows": 0, "deltas": [], "delta_rows": 0, "old": [], "index_version": "", "centroids": []}))
             docs = self.spark.read.schema(DOCS).parquet(f"{path}/data/{m.name}")
             self._write(m, docs)
             fresh[m.name] = m

@@ -15,9 +15,11 @@ import zlib
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut, hinted
+
 ACTIONS = ("create_collection", "upsert", "delete", "batch_upsert", "batch_delete", "delete_collection", "truncate_collection")
 DOC = "struct<id: string, vector: array<double>, metadata: string>"
 LINE = "action string, collection string, crc32 bigint, document variant, documents array<variant>, id string, ids array<string>, metric string, schema variant"
@@ -65,9 +67,9 @@ def events(log: DataFrame) -> DataFrame:
 def replay(log: DataFrame) -> DataFrame:
     """(collection, id, vector, metadata): the documents that are there after the whole log."""
     e = events(log)
-    wiped = F.max(F.when(F.col("action").isin("create_collection", "delete_collection", "truncate_collection"), F.col("seq"))).over(Window.partitionBy("collection"))
-    dropped = F.max_by("action", F.when(F.col("action").isin("create_collection", "delete_collection"), F.col("seq"))).over(Window.partitionBy("collection"))
-    live = e.withColumn("_wiped", wiped).withColumn("_kind", dropped).where("id is not null and (_wiped is null or seq > _wiped) and (_kind is null or _kind <> 'delete_collection')")
+    wipe, drop = F.col("action").isin("create_collection", "delete_collection", "truncate_collection"), F.col("action").isin("create_collection", "delete_collection")
+    marks = e.groupBy("collection").agg(F.max(F.when(wipe, F.col("seq"))).alias("_wiped"), F.max_by("action", F.when(drop, F.col("seq"))).alias("_kind"))
+    live = e.where("id is not null").join(hinted(cut(marks)), "collection").where("(_wiped is null or seq > _wiped) and (_kind is null or _kind <> 'delete_collection')")
     last = last_wins(live, ["collection", "id"], ["seq", "nth"])
     return last.where(F.col("action").isin("upsert", "batch_upsert")).select(
         "collection", "id", F.try_variant_get("doc", "$.vector", "array<double>").alias("vector"), F.coalesce(F.to_json(F.try_variant_get("doc", "$.metadata", "variant")), F.lit("{}")).alias("metadata")
@@ -75,9 +77,9 @@ def replay(log: DataFrame) -> DataFrame:
 
 
 def last_wins(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    """The last row of every key."""
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) if isinstance(c, str) else c.desc() for c in order]))
-    return rows.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    """The last row of every key. Only one row of a key leaves each task, so a key of very many rows is no burden."""
+    last = F.max_by(F.struct(*rows.columns), F.struct(*[F.col(c) if isinstance(c, str) else c for c in order]))
+    return rows.groupBy(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]).agg(last.alias("_last")).select("_last.*")
 
 
 def delete(docs: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:

@@ -26,7 +26,7 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Replace a small file: written beside it and then renamed."""
+    """Replace a small file: written beside it and then renamed over it, in one step, so that a reader finds the old or the new text whatever fails."""
     jvm, fs, where = _at(spark, path)
     beside = jvm.org.apache.hadoop.fs.Path(path + ".new")
     out = fs.create(beside, True)
@@ -34,8 +34,16 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
-    fs.delete(where, False)
-    fs.rename(beside, where)
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(beside), fs.makeQualified(where), how)
+
+
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or folder."""
+    _, fs, where = _at(spark, path)
+    return fs.getContentSummary(where).getLength() if fs.exists(where) else 0
 
 
 def remove(spark: SparkSession, path: str) -> None:

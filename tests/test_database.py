@@ -1,12 +1,14 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loomsearch.operators import hnsw, ivf, recall, search
 from loomsearch.operators.filters import Eq
 from loomsearch.plans.database import Database
 from loomsearch.plans.schema import Field, Schema
-from loomsearch.sources import changelog, ndjson
+from loomsearch.sources import changelog, files, ndjson
 from loomsearch.streaming import ingest
 
 
@@ -164,3 +166,78 @@ def test_streaming_upserts(spark, tmp_path):
     assert rows == {"a": 11, "c": 30}
     ingest.merge(spark.createDataFrame([("z", 9, "upsert", 1)], schema), 0, table, ["id"], ["seq"])
     assert ingest.current(spark, table).where(F.col("id") == "z").count() == 0
+
+
+def test_upserts_are_deltas_and_old_versions_go(spark, tmp_path):
+    db = Database(spark, str(tmp_path / "db"))
+    db.create_collection("c", "l2")
+    db.load("c", spark.range(20_000).selectExpr("cast(id as string) as id", "array(cast(id as double), rand(1), rand(2), rand(3)) as vector", "concat('{\"n\":', id, '}') as metadata"))
+    size = files.size(spark, str(tmp_path / "db" / "data" / "c"))
+    base = db.meta["c"].version
+    for i in range(24):
+        db.upsert("c", doc(str(i), [i + 0.5, 0, 0, 0], n=-i))
+        if i == 3:
+            assert db.meta["c"].version == base and len(db.meta["c"].deltas) == 4
+    db.batch_remove("c", ["5", "19999", "nobody"])
+    assert files.size(spark, str(tmp_path / "db" / "data" / "c")) <= 3 * size
+    assert db.meta["c"].version != base
+    for one in (db, Database(spark, str(tmp_path / "db"))):
+        assert one.stats("c")["doc_count"] == 19_998
+        assert ids(one.search("c", [7.5, 0, 0, 0], 1)) == ["7"] and one.search("c", [5.5, 0, 0, 0], 3).where("id = '5'").count() == 0
+
+
+def test_crash_before_the_catalog_is_replaced(spark, tmp_path, monkeypatch):
+    db = Database(spark, str(tmp_path / "db"))
+    db.create_collection("c")
+    db.load("c", spark.createDataFrame([("a", [1.0, 0.0], "{}"), ("b", [0.0, 1.0], "{}")], "id string, vector array<double>, metadata string"))
+    whole = files.write_text
+    monkeypatch.setattr(files, "write_text", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        db.upsert("c", doc("x", [1, 1]))
+    monkeypatch.setattr(files, "write_text", whole)
+    (tmp_path / "db" / "meta.json.new").write_text('{"seq":')  # as when it ended while writing
+    again = Database(spark, str(tmp_path / "db"))
+    assert {r["id"] for r in again.documents("c").collect()} == {"a", "b", "x"}
+    files.write_text(spark, str(tmp_path / "t"), "1")
+    files.write_text(spark, str(tmp_path / "t"), "2")
+    assert files.read_text(spark, str(tmp_path / "t")) == "2"
+
+
+@pytest.mark.parametrize("kind", ["hnsw", "ivf"])
+def test_index_takes_changes_without_a_rebuild(spark, tmp_path, kind, monkeypatch):
+    db = Database(spark, str(tmp_path / "db"))
+    db.create_collection("c", index_type=kind)
+    db.batch_upsert("c", [doc(f"d{i:03}", [i / 300, 1 - i / 300, (i % 7) / 7, (i % 11) / 11], tag="news" if i % 3 == 0 else "blog") for i in range(300)])
+    q = [0.9, 0.1, 0.3, 0.5]
+    first = ids(db.search("c", q, 5))
+    for module, name in ((ivf, "train"), (hnsw, "build")):
+        monkeypatch.setattr(module, name, lambda *a, **k: pytest.fail("built again"))
+    db.batch_remove("c", [first[0]])
+    db.batch_upsert("c", [doc("best", q, tag="news"), doc(first[1], [-1, 0, 0, 0], tag="blog")])
+    assert ids(db.search("c", q, 4)) == ["best", *first[2:5]] and ids(db.search("c", q, 1, {"tag": "news"})) == ["best"]
+    hits, truth = (ids(db.search("c", q, 20, {"tag": "blog"}, exact=x)) for x in (False, True))
+    assert len(set(hits) & set(truth)) >= 18
+    if kind == "ivf":
+        version = db.meta["c"].version
+        for i in range(8):
+            db.upsert("c", doc(f"x{i}", [0.9, 0.1, 0.3, 0.5 + (i + 1) / 1000]))
+        m = db.meta["c"]
+        assert m.version != version and m.index_version == m.version
+        assert ids(db.search("c", q, 4)) == ["best", "x0", "x1", "x2"]
+
+
+def test_filtered_graph_recall(spark):
+    r = np.random.default_rng(11)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(r.uniform(-1, 1, (3000, 16)))], "id long, vector array<double>")
+    graph, asked = hnsw.build(df, shards=1).cache(), df.where("id % 100 = 0")
+    for share in ("id % 2 = 0", "id % 5 = 0"):
+        got = hnsw.search_batch(asked, graph, 10, allowed=df.where(share).select("id"))
+        assert got.where(f"not (id % {share.split()[2]} = 0)").count() == 0
+        assert recall.recall_at_k(got, search.search_batch(asked, df.where(share), 10)).first()["recall"] >= 0.9
+    graph.unpersist()
+    assert hnsw.shard_count(100, 8) == 1 and hnsw.shard_count(2000, 8) == 8 and hnsw.shard_count(10**9, 8) == 50_000
+
+
+def test_replay_has_no_window_by_collection(spark):
+    log = lines(spark, [changelog.encode({"action": "upsert", "collection": "t", "document": doc("d", [1])})])
+    assert "Window" not in changelog.replay(log)._jdf.queryExecution().executedPlan().toString()
