@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -12,7 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import metrics, text
 from ..operators import bm25, hnsw, hybrid, ivf, metadata_index, recall, search
 from ..operators.filters import And, Dynamic, Eq, Exists, Filter, Geo, In, Ne, Not, Or, Range, Text, Typed, parse_filter
+from ..session import scratch_dir
 from ..sources import changelog, ndjson
+from .database import Database
 from .schema import Field, Schema
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -197,6 +200,11 @@ _filter("filter_and", And((Eq("lang", "en"), Range("n_chars", 1000, None), Ne("q
 _filter("filter_or", Or((Eq("toxic", 1), Eq("lang", "es"))), "coalesce(toxic = 1, false) OR coalesce(lang = 'es', false)")
 _filter("filter_not", Not(Or((Eq("quality", 1), Text("source", "SRC1")))), "NOT (coalesce(quality = 1, false) OR coalesce(contains(lower(source), 'src1') AND length(source) > 0, false))")
 
+_filter("filter_plain_value", parse_filter({"lang": "en", "toxic": 0}), "coalesce(lang = 'en', false) AND coalesce(toxic = 0, false)")
+_filter("filter_eq_operator", parse_filter({"lang": {"$eq": "de"}}), "coalesce(lang = 'de', false)")
+_filter("filter_text_operator", parse_filter('{"text": {"$text": "LICENSE"}, "n_chars": {"$gt": 100}}'), f"coalesce(contains(translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}'), 'license'), false) AND coalesce(n_chars >= 100, false)")
+_filter("filter_unknown_ignored", parse_filter({"lang": {"$ne": "en", "$like": "x"}, "n_chars": {"$near": 3, "$lt": 900}}, strict=False), "NOT coalesce(lang = 'en', false) AND coalesce(n_chars <= 900, false)")
+
 SUPPLIERS = "SELECT s_suppkey, (s_suppkey * 37 % 180 - 90)::DOUBLE AS lat, (s_suppkey * 73 % 360 - 180)::DOUBLE AS lng FROM supplier"
 KM = "2 * 6371.0 * atan2(sqrt(a), sqrt(1 - a))"
 HAV = f"SELECT *, sin(radians(48.85 - lat) / 2) ^ 2 + cos(radians(lat)) * cos(radians(48.85)) * sin(radians(2.35 - lng) / 2) ^ 2 AS a FROM ({SUPPLIERS})"
@@ -218,6 +226,19 @@ def filter_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places.where(Geo("place", 48.85, 2.35, 5_000_000).where(Typed(places))).select("s_suppkey")
 
 
+@query(f"SELECT s_suppkey FROM ({HAV}) WHERE {KM} <= 3000 AND s_suppkey >= 10")
+def filter_geo_operator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = _places(spark, sf_dir)
+    return places.where(parse_filter({"place": {"$geo": {"lat": 48.85, "lng": 2.35, "radius": 3_000_000}}, "s_suppkey": {"$gt": 10}}).where(Typed(places))).select("s_suppkey")
+
+
+@query("SELECT vec_id AS id, label FROM embeddings")
+def filter_none(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No filter leaves all rows."""
+    docs = vectors(spark, sf_dir)
+    return docs.where(F.lit(True) if parse_filter(None) is None and parse_filter({}) is None else F.lit(False)).select("id", "label")
+
+
 @query("SELECT event_id, props FROM events WHERE coalesce((props ->> '$.k')::DOUBLE BETWEEN 10 AND 60, false) AND event_type IN ('click', 'view')")
 def filter_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
@@ -483,6 +504,42 @@ def collection_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors(spark, sf_dir).agg(F.count(F.lit(1)).alias("doc_count"), F.max(F.size("vector")).cast("long").alias("dimension"), F.lit("cosine").alias("metric"), F.lit("none").alias("index_type"))
 
 
+def _collection(spark: SparkSession, sf_dir: str) -> Database:
+    """Embeddings as a collection in the shared folder, with changes on top: a batch of upserts, one upsert, and a batch of removals."""
+    db = Database(spark, f"{scratch_dir(spark)}/queries-{uuid.uuid4().hex}")
+    db.create_collection("e", "l2")
+    docs = vectors(spark, sf_dir).select(F.col("id").cast("string").alias("id"), "vector", F.to_json(F.struct("label")).alias("metadata"))
+    size = len(docs.select("vector").first()["vector"])
+    db.load("e", docs)
+    db.batch_upsert("e", [{"id": str(i), "vector": [float(i)] * size, "metadata": {"label": 100 + i}} for i in range(-5, 20)])
+    db.upsert("e", {"id": "3", "vector": [0.5] * size, "metadata": {"label": 1}})
+    db.batch_remove("e", [str(i) for i in range(20, 40)])
+    return db
+
+
+CHANGED = f"""SELECT id::VARCHAR AS id, label, round(v[1], 6) + 0.0 AS first FROM ({V}) WHERE id NOT BETWEEN -5 AND 39
+UNION ALL SELECT i::VARCHAR, CASE WHEN i = 3 THEN 1 ELSE 100 + i END, CASE WHEN i = 3 THEN 0.5 ELSE i END FROM range(-5, 20) AS t(i)"""
+
+
+def _documents(db: Database) -> DataFrame:
+    return db.documents("e").select("id", F.get_json_object("metadata", "$.label").cast("int").alias("label"), F.round(F.col("vector")[0], 6).alias("first"))
+
+
+@query(f"SELECT id, label::INT AS label, first::DOUBLE AS first FROM ({CHANGED})")
+def batch_upsert_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(_collection(spark, sf_dir))
+
+
+@query(f"SELECT id, label::INT AS label, first::DOUBLE AS first FROM ({CHANGED})")
+def snapshot_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of a database that is restored from a snapshot of another."""
+    db = _collection(spark, sf_dir)
+    db.snapshot(db.path + "-snapshot")
+    other = Database(spark, db.path + "-restored")
+    other.restore(db.path + "-snapshot")
+    return _documents(other)
+
+
 @query("""SELECT '{"id":"' || doc_id || '","vector":[' || n_chars || '.0],"metadata":{"lang":"' || lang || '"}}' AS line FROM documents WHERE lang IS NOT NULL AND n_chars IS NOT NULL""")
 def export_ndjson(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").where("lang is not null and n_chars is not null")

@@ -8,13 +8,16 @@ from __future__ import annotations
 
 import json
 import re
+import signal
+import sys
+import threading
 import time
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Config
@@ -206,3 +209,22 @@ class Service:
                 pass
 
         return ThreadingHTTPServer((self.config.host, self.config.port), Handler)
+
+
+def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> None:
+    """Serve until SIGTERM or SIGINT; `python -m loomsearch.service --port 9000`. restore_from names a snapshot to begin with."""
+    config = Config.from_arguments(sys.argv[1:] if argv is None else argv)
+    db = Database(spark or SparkSession.builder.appName("loomsearch").getOrCreate(), config.path)
+    if config.restore_from:
+        db.restore(config.restore_from)
+    server = Service(db, config).server()
+    for number in (signal.SIGTERM, signal.SIGINT):
+        signal.signal(number, lambda *_: threading.Thread(target=server.shutdown).start())
+    try:
+        server.serve_forever()
+    finally:
+        server.server_close()
+
+
+if __name__ == "__main__":
+    main()

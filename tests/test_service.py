@@ -1,12 +1,16 @@
 import json
+import os
+import signal
+import socket
 import threading
+import time
 import urllib.request
 
 import pytest
 
 from loomsearch.config import Config
 from loomsearch.plans.database import Database
-from loomsearch.service import Service
+from loomsearch.service import Service, main
 
 
 def test_config(tmp_path):
@@ -18,6 +22,37 @@ def test_config(tmp_path):
         Config.load(str(tmp_path / "c.json"), {})
 
 
+def test_command_line(tmp_path):
+    (tmp_path / "c.json").write_text('{"port": 1234, "path": "x", "host": "h"}')
+    got = Config.from_arguments(["--config", str(tmp_path / "c.json"), "--port", "7", "--snapshot-path", "s"], {"LOOMSEARCH_PORT": "99", "LOOMSEARCH_HOST": "0.0.0.0"})
+    assert (got.port, got.path, got.host, got.snapshot_path) == (7, "x", "0.0.0.0", "s")
+
+
+def test_main_serves_until_a_signal(spark, tmp_path):
+    port = socket.socket()
+    port.bind(("127.0.0.1", 0))
+    number = port.getsockname()[1]
+    port.close()
+
+    def stop() -> None:
+        for _ in range(100):
+            try:
+                with urllib.request.urlopen(f"http://127.0.0.1:{number}/health") as r:
+                    seen.append(json.loads(r.read()))
+                break
+            except OSError:
+                time.sleep(0.1)
+        os.kill(os.getpid(), signal.SIGTERM)
+
+    seen: list = []
+    before = signal.getsignal(signal.SIGTERM), signal.getsignal(signal.SIGINT)
+    threading.Thread(target=stop, daemon=True).start()
+    main(["--port", str(number), "--path", str(tmp_path / "db")], spark)
+    signal.signal(signal.SIGTERM, before[0])
+    signal.signal(signal.SIGINT, before[1])
+    assert seen == [{"status": "ok"}]
+
+
 def test_requests(spark, tmp_path):
     s = Service(Database(spark, str(tmp_path / "db")), Config(port=0, snapshot_path=str(tmp_path / "snap")))
     ask = lambda method, path, body=None: s.handle(method, path, "" if body is None else body if isinstance(body, str) else json.dumps(body))
