@@ -168,26 +168,56 @@ def permuted(sig: np.ndarray, table: np.ndarray) -> np.ndarray:
     return out
 
 
+def _borders(run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First row and number of rows of each run."""
+    begin = np.flatnonzero(np.append(True, run[1:] != run[:-1])) if len(run) else np.zeros(0, np.int64)
+    return begin, np.diff(np.append(begin, len(run)))
+
+
+def side_by_side(begin: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of each run, those one apart, two apart and so on; the work is the number of pairs."""
+    order = np.argsort(-size, kind="stable")
+    begin, size = begin[order], size[order]
+    end = np.cumsum(size)
+    within = np.arange(end[-1] if len(end) else 0) - np.repeat(end - size, size)
+    row, left = np.repeat(begin, size) + within, np.repeat(size, size) - within
+    for step in range(1, int(size[0]) if len(size) else 1):
+        a = row[: end[np.searchsorted(-size, -step) - 1]]
+        a = a[left[: len(a)] > step]
+        yield a, a + step
+
+
+def joined(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The component of each of n rows, and which of the edges make up a spanning forest."""
+    label, keep = np.arange(n), []
+    at = np.arange(len(a))
+    while True:
+        x, y = label[a[at]], label[b[at]]
+        at, x, y = at[x != y], x[x != y], y[x != y]
+        if not len(at):
+            return label, np.concatenate(keep) if keep else at
+        low, high = np.minimum(x, y), np.maximum(x, y)
+        order = np.lexsort((low, high))
+        first = order[np.append(True, high[order][1:] != high[order][:-1])]
+        keep.append(at[first])
+        parent = np.arange(n)
+        parent[high[first]] = low[first]  # always to a smaller one, so there are no cycles
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        label = parent[label]
+
+
 def close_pairs(key: np.ndarray, seq: np.ndarray, run: np.ndarray, distance: int, seq_distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Verified edges among sorted rows that share a run number: a spanning forest of each run's pairs within both distances."""
-    n = len(key)
-    left, right = [], []
-    size = np.diff(np.append(np.flatnonzero(np.append(True, run[1:] != run[:-1])), n)) if n else np.zeros(0, int)
-    begin = np.cumsum(size) - size
-    small = size <= 64
-    pick = np.repeat(small, size)
-    idx = np.flatnonzero(pick)
-    k, q, r = key[idx], seq[idx], run[idx]
-    for step in range(1, int(size[small].max(initial=1))):
-        same = r[step:] == r[:-step]
-        if not same.any():
-            break
-        a = np.flatnonzero(same)
-        hit = np.bitwise_count(k[a] ^ k[a + step]) <= distance
-        a = a[hit]
-        a = a[np.bitwise_count(q[a] ^ q[a + step]) <= seq_distance]
-        left.append(idx[a])
-        right.append(idx[a + step])
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    begin, size = _borders(run)
+    small = size <= CROWD
+    for a, b in side_by_side(begin[small], size[small]):
+        hit = np.bitwise_count(key[a] ^ key[b]) <= distance
+        a, b = a[hit], b[hit]
+        hit = np.bitwise_count(seq[a] ^ seq[b]) <= seq_distance
+        left.append(a[hit])
+        right.append(b[hit])
     for at, m in zip(begin[~small], size[~small]):
         k, q = key[at : at + m], seq[at : at + m]
         label = np.arange(m)
@@ -200,41 +230,33 @@ def close_pairs(key: np.ndarray, seq: np.ndarray, run: np.ndarray, distance: int
             near = rest[np.bitwise_count(k[rest] ^ k[i]) <= distance]
             near = near[np.bitwise_count(q[near] ^ q[i]) <= seq_distance]
             if len(near):
-                joined, first = np.unique(label[near], return_index=True)
+                others, first = np.unique(label[near], return_index=True)
                 left.append(np.full(len(first), at + i))
                 right.append(at + near[first])
-                label[np.isin(label, joined)] = label[i]
-    if not left:
-        none = np.zeros(0, np.int64)
-        return none, none
-    return np.concatenate(left), np.concatenate(right)
+                label[np.isin(label, others)] = label[i]
+    a, b = np.concatenate(left), np.concatenate(right)
+    forest = joined(len(key), a, b)[1]
+    return a[forest], b[forest]
 
 
 def wide_pairs(key: np.ndarray, seq: np.ndarray, run: np.ndarray, sure: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Blocks of all pairs of a run within the wide limits, but for those that the sure edges connect already."""
-    n = len(key)
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[sure[0]], label[sure[1]])
-        new = label.copy()
-        np.minimum.at(new, label[sure[0]], low)
-        np.minimum.at(new, label[sure[1]], low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    size = np.diff(np.append(np.flatnonzero(np.append(True, run[1:] != run[:-1])), n)) if n else np.zeros(0, int)
-    begin = np.cumsum(size) - size
-    small = size <= 64
-    idx = np.flatnonzero(np.repeat(small, size))
-    k, q, r, own = key[idx], seq[idx], run[idx], label[idx]
-    for step in range(1, int(size[small].max(initial=1))):
-        a = np.flatnonzero(r[step:] == r[:-step])
-        if not len(a):
-            break
-        a = a[np.bitwise_count(k[a] ^ k[a + step]) <= WIDE]
-        a = a[(np.bitwise_count(q[a] ^ q[a + step]) <= WIDE_SEQ) & (own[a] != own[a + step])]
-        yield idx[a], idx[a + step]
+    label = joined(len(key), *sure)[0]
+    begin, size = _borders(run)
+    small = size <= CROWD
+    left, right, held = [], [], 0
+    for a, b in side_by_side(begin[small], size[small]):
+        hit = (np.bitwise_count(key[a] ^ key[b]) <= WIDE) & (label[a] != label[b])
+        a, b = a[hit], b[hit]
+        hit = np.bitwise_count(seq[a] ^ seq[b]) <= WIDE_SEQ
+        left.append(a[hit])
+        right.append(b[hit])
+        held += int(hit.sum())
+        if held > 100_000:
+            yield np.concatenate(left), np.concatenate(right)
+            left, right, held = [], [], 0
+    if left:
+        yield np.concatenate(left), np.concatenate(right)
     for at, m in zip(begin[~small], size[~small]):
         left, right, held = [], [], 0
         for i in range(at, at + m):

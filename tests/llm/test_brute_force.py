@@ -598,6 +598,34 @@ def test_every_long_span_is_found(spark, limit):
     assert {tuple(x) for x in got} == want and len(got) == len(want) > 10
 
 
+@pytest.mark.parametrize("limit", [5_000_000, 0])
+def test_short_items_are_found_whole(spark, limit, tmp_path):
+    r = random.Random(23)
+    vocabulary = [f"w{i}" for i in range(300)]
+    bench = [[r.choice(vocabulary) for _ in range(n)] for n in (5, 7, 8, 9, 10, 11, 12, 12, 13, 20)] + [["same"] * 9]
+    docs = []
+    for _ in range(80):
+        words = [r.choice(vocabulary) for _ in range(r.randint(0, 60))]
+        b = r.choice(bench)
+        k = r.randrange(len(words) + 1)
+        words[k:k] = b if r.random() < 0.7 else b[1:]
+        docs.append(words)
+    docs.append(["same"] * 11)
+    want = Counter()
+    for i, d in enumerate(docs):
+        for j, b in enumerate(bench):
+            if 8 <= len(b) <= 12:
+                want.update((i, j, p, len(b)) for p in range(len(d)) if d[p : p + len(b)] == b)
+    frame = lambda rows, name: spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(rows)], f"{name} long, text string")
+    d, b = frame(docs, "doc_id"), frame(bench, "item_id")
+    got = Counter(tuple(x) for x in winnowing.contaminated_spans(d, b, broadcast_words=limit).collect())
+    assert len(want) > 20 and {x: n for x, n in got.items() if len(bench[x[1]]) <= 12} == want
+    con = duckdb.connect()
+    for name, df in (("documents", d), ("benchmark", b)):
+        con.register(name, df.toArrow())
+    assert Counter(con.execute(f"SELECT doc_id, item_id, start_word, n_words FROM ({winnowing.SQL})").fetchall()) == got
+
+
 # 9 Near duplicates
 
 
@@ -691,6 +719,23 @@ def test_forest_climbs_and_crowded_subtrees(monkeypatch):
     assert sum((i, 5500 + i) in pairs for i in range(500)) >= 450
 
 
+def test_pairs_of_runs_and_their_spanning_forest(monkeypatch):
+    r = np.random.default_rng(21)
+    for crowd in (512, 20):
+        monkeypatch.setattr(simhash_forest, "CROWD", crowd)
+        size = r.integers(1, 60, 40)
+        run = np.repeat(np.arange(40), size)
+        pairs = [p for a, b in simhash_forest.side_by_side(*simhash_forest._borders(run)) for p in zip(a.tolist(), b.tolist())]
+        want = {(i, j) for i in range(len(run)) for j in range(i + 1, len(run)) if run[i] == run[j]}
+        assert len(pairs) == len(set(pairs)) and set(pairs) == want
+        key, seq = r.integers(0, 32, len(run)).astype(np.uint64), r.integers(0, 4, len(run)).astype(np.uint64)
+        a, b = simhash_forest.close_pairs(key, seq, run, 1, 1)
+        near = [(i, j) for i, j in want if (int(key[i]) ^ int(key[j])).bit_count() <= 1 and (int(seq[i]) ^ int(seq[j])).bit_count() <= 1]
+        label, every = simhash_forest.joined(len(run), *np.array(near).T)
+        assert (simhash_forest.joined(len(run), a, b)[0] == label).all() and set(zip(a.tolist(), b.tolist())) <= set(near)
+        assert len(a) == len(every) == len(run) - len(np.unique(label))
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001)], "a long, b long")
     assert {r["node"]: r["label"] for r in simhash_forest.components(edges).collect()} == {**{i: 0 for i in range(301)}, 1000: 1000, 1001: 1000}
