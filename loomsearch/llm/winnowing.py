@@ -5,14 +5,16 @@ smallest is kept as a fingerprint (the rightmost of equal ones). A span of
 k + window - 1 words that a document shares with a benchmark item therefore
 shares a fingerprint with it. Fingerprints of both sides are joined, and each
 hit is extended to both sides as far as the words agree. Spans that come to
-at least k + window - 1 words are reported, which is all of them.
+at least k + window - 1 words are reported, which is all of them. An item of fewer words,
+but at least k, can share no such span; it is reported where a document holds all of it, for
+which its first k words are looked up among all runs of the document.
 
 The benchmark's fingerprints and words are broadcast while they are at most
 `broadcast_words` words. Beyond that both sides' fingerprints are joined by a
 shuffle, and only documents and items that share one meet, for the extension.
 
 Words are as in _text, of the lower-cased text. Defined results: null or empty
-texts and texts of fewer words than a guaranteed span have no hit; each of
+texts and texts of fewer than k words have no hit; each of
 several equal rows has its own hits; ids may be null and stay so; an item that
 occurs twice hits twice; columns of other names are not read.
 """
@@ -73,6 +75,14 @@ def extend(a: np.ndarray, a_lo: np.ndarray, a_hi: np.ndarray, b: np.ndarray, b_l
     return back, on
 
 
+def _meet(ours: np.ndarray, at: np.ndarray, theirs: np.ndarray, their_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of equal hashes on both sides; theirs are ordered."""
+    lo, hi = np.searchsorted(theirs, ours, "left"), np.searchsorted(theirs, ours, "right")
+    hit = hi > lo
+    lo, n = lo[hit], (hi - lo)[hit]
+    return np.repeat(at[hit], n), their_at[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+
 class Target:
     """The words of some items, and an index of their fingerprints."""
 
@@ -90,6 +100,11 @@ class Target:
         pick = winnow(grams, np.searchsorted(self.ptr, begin, "right"), window)
         order = np.argsort(grams[pick], kind="stable")
         self.fp, self.at = grams[pick][order], begin[pick][order]
+        size = np.diff(self.ptr)
+        first = begin[np.isin(begin, self.ptr[:-1][(size >= k) & (size < k + window - 1)])]
+        heads = grams[np.searchsorted(begin, first)]
+        order = np.argsort(heads, kind="stable")
+        self.short, self.short_at = heads[order], first[order]
 
     def spans(self, w: T.Words) -> tuple[np.ndarray, ...]:
         """Row, item, first word in its row, and length of the maximal shared spans of the rows of w."""
@@ -98,35 +113,42 @@ class Target:
         if not len(grams) or not len(self.fp):
             return none, none, none, none
         pick = winnow(grams, np.searchsorted(w.ptr, begin, "right"), self.window)
-        lo, hi = np.searchsorted(self.fp, grams[pick], "left"), np.searchsorted(self.fp, grams[pick], "right")
-        hit = hi > lo
-        lo, hi, p = lo[hit], hi[hit], begin[pick][hit]
+        both = [_meet(grams[pick], begin[pick], self.fp, self.at)]
+        if len(self.short):
+            both.append(_meet(grams, begin, self.short, self.short_at))
+        p, q = (np.concatenate(x) for x in zip(*both))
         if not len(p):
             return none, none, none, none
-        n = hi - lo
-        q = self.at[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        p = np.repeat(p, n)
         row, item = np.searchsorted(w.ptr, p, "right") - 1, np.searchsorted(self.ptr, q, "right") - 1
         back, on = extend(w.h, w.ptr[row], w.ptr[row + 1], self.h, self.ptr[item], self.ptr[item + 1], p, q)
         found = np.unique(np.stack([row, item, p - back - w.ptr[row], q - back, back + on]), axis=1)
-        row, item, start, _, length = found[:, found[4] >= self.k + self.window - 1]
+        row, item, start, _, length = found[:, (found[4] >= self.k + self.window - 1) | (found[4] == np.diff(self.ptr)[found[1]])]
         return row, item, start, length
 
 
-def _fingerprints(k: int, window: int):
+def _fingerprints(k: int, window: int, every: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in T.slices(b.column(2)):
                 w = T.words(s)
                 grams, begin = T.ngrams(w, k)
                 row = np.searchsorted(w.ptr, begin, "right") - 1
-                pick = winnow(grams, row, window)
+                pick = np.arange(len(grams)) if every else winnow(grams, row, window)
                 at = pa.array(row[pick] + s.first)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(grams[pick].view(np.int64))], ["id", "th", "fp"])
 
     return run
 
 
+def _short(k: int, window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = np.concatenate([np.diff(T.words(s).ptr) for s in T.slices(b.column(0))] or [np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array([int(((n >= k) & (n < k + window - 1)).sum())], pa.int64())], ["n"])
+
+    return run
+
+
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.lower(F.col(text_col)).alias("t")).where(F.col("t").isNotNull())
 
@@ -152,7 +174,8 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, k: int = 8, window
         return rows.select("id", "t").mapInArrow(find, SPANS)
 
     marks = "id long, th long, fp long"
-    ours = rows.mapInArrow(_fingerprints(k, window), marks).select("th", "fp").distinct()
+    short = items.select("t").mapInArrow(_short(k, window), "n long").agg(F.sum("n").alias("n")).first()["n"]
+    ours = rows.mapInArrow(_fingerprints(k, window, bool(short)), marks).select("th", "fp").distinct()
     theirs = items.mapInArrow(_fingerprints(k, window), marks).select(F.col("th").alias("item_th"), "fp").distinct()
     pairs = cut(ours.join(theirs, "fp").select("th", "item_th").distinct())
     texts = items.groupBy(F.col("th").alias("item_th"), F.col("t").alias("item_t")).agg(F.collect_list(F.struct("id")).alias("items"))
@@ -161,8 +184,10 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, k: int = 8, window
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
+            built: dict[str, Target] = {}
             for i in range(b.num_rows):
-                index = Target(b.column(3).slice(i, 1), k, window)
+                text = b.column(3)[i].as_py()
+                index = built.get(text) or built.setdefault(text, Target(b.column(3).slice(i, 1), k, window))
                 _, _, start, length = index.spans(T.words(next(T.slices(b.column(1).slice(i, 1)))))
                 out += [(b.column(0)[i].as_py(), x["id"], int(p), int(n)) for x in b.column(2)[i].as_py() for p, n in zip(start, length)]
             if out:
@@ -194,4 +219,7 @@ hit AS (SELECT r, doc_id, i, item_id, p, q FROM dg JOIN bg USING (g)),
 run AS (SELECT *, p - row_number() OVER (PARTITION BY r, i, p - q ORDER BY p) AS island FROM hit)
 SELECT doc_id, item_id, min(p) - 1 AS start_word, count(*) + 12 AS n_words
 FROM run GROUP BY r, doc_id, i, item_id, p - q, island
+UNION ALL SELECT doc_id, item_id, p - 1, n FROM (
+  SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d JOIN (SELECT DISTINCT len(w) AS n FROM b WHERE len(w) BETWEEN 8 AND 12) ON len(w) >= n))
+JOIN (SELECT item_id, len(w) AS n, array_to_string(w, ' ') AS g FROM b) USING (n, g)
 """
