@@ -17,7 +17,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DataType, IntegralType, NumericType, StringType, StructType
+from pyspark.sql.types import BooleanType, DataType, DateType, IntegralType, LongType, NumericType, StringType, StructType, TimestampType
 
 from ..functions.metrics import haversine_km
 from ..functions.text import ascii_lower
@@ -48,7 +48,11 @@ def _kind(value: Any) -> str:
 
 
 class Typed:
-    """Fields are the columns of a DataFrame, or of a struct column of it."""
+    """Fields are the columns of a DataFrame, or of a struct column of it.
+
+    Dates and timestamps equal strings that mean them, and ranges of them are in seconds
+    since 1970; binary columns equal nothing.
+    """
 
     def __init__(self, df: DataFrame, struct: str | None = None):
         schema = df.schema
@@ -63,6 +67,8 @@ class Typed:
         kind = self.types.get(field)
         if kind is None or value is None or (isinstance(value, float) and math.isnan(value)):
             return F.lit(False)
+        if isinstance(kind, (DateType, TimestampType)):
+            return self.at[field] == F.lit(value).try_cast(kind) if isinstance(value, str) else F.lit(False)
         fits = {"bool": BooleanType, "number": NumericType, "string": StringType}.get(_kind(value))
         if fits is None:
             return F.to_json(self.at[field]) == json.dumps(value, separators=(",", ":")) if not isinstance(kind, (BooleanType, NumericType, StringType)) else F.lit(False)
@@ -70,11 +76,25 @@ class Typed:
             value = int(value)
         return self.at[field] == F.lit(value) if isinstance(kind, fits) else F.lit(False)
 
+    def among(self, field: str, values: Sequence[Any]) -> Column:
+        """Equal to one of the values, as one set where the type allows it."""
+        kind = self.types.get(field)
+        if isinstance(kind, StringType):
+            return self.at[field].isin([v for v in values if isinstance(v, str)])
+        numbers = [v for v in values if _kind(v) == "number" and abs(v) < 2**53]
+        if isinstance(kind, LongType) and len(numbers) == len(values):
+            return self.at[field].isin([int(v) for v in numbers if v == int(v)])
+        return reduce(lambda a, b: a | b, [self.equals(field, v) for v in values]) if values else F.lit(False)
+
     def exists(self, field: str) -> Column:
         return self.at[field].isNotNull() if field in self.types else F.lit(False)
 
     def within(self, field: str, low: float | None, high: float | None) -> Column:
         kind = self.types.get(field)
+        if isinstance(kind, DateType):
+            return _between(F.unix_date(self.at[field]).cast("double") * 86_400, low, high)
+        if isinstance(kind, TimestampType):
+            return _between(self.at[field].cast("double"), low, high)
         if not isinstance(kind, NumericType):
             return F.lit(False)
         x = self.at[field]
@@ -127,6 +147,9 @@ class Dynamic:
                 typed = {"bool": "boolean", "number": "double", "string": "string"}[kind]
                 return same & (self.get(field, kind=typed) == F.lit(float(value) if kind == "number" else value))
 
+    def among(self, field: str, values: Sequence[Any]) -> Column:
+        return reduce(lambda a, b: a | b, [self.equals(field, v) for v in values]) if values else F.lit(False)
+
     def exists(self, field: str) -> Column:
         return self.get(field).isNotNull()
 
@@ -216,7 +239,7 @@ class In(Filter):
     values: tuple
 
     def raw(self, fields: Fields) -> Column:
-        return reduce(lambda a, b: a | b, [fields.equals(self.field, v) for v in self.values]) if self.values else F.lit(False)
+        return fields.among(self.field, self.values)
 
 
 @dataclass(frozen=True)

@@ -1,7 +1,8 @@
 """Continuous ingest: a stream of changes folded into a table of current rows.
 
 Each micro-batch is reduced to the last change of every key and merged into a new
-Parquet version, which a small pointer file then names. The pointer carries the
+Parquet version, which a small pointer file then names; the version before the last one
+is removed. The pointer carries the
 batch number, so a batch that is run again after a failure changes nothing. Changes
 that come late lose against newer ones by their order column, in whatever batch.
 """
@@ -30,14 +31,16 @@ def current(spark: SparkSession, path: str) -> DataFrame | None:
 def merge(batch: DataFrame, batch_id: int, path: str, keys: Sequence[str], order: Sequence[str]) -> None:
     spark = batch.sparkSession
     pointer = f"{path}/current.json"
-    done = json.loads(files.read_text(spark, pointer))["batch"] if files.exists(spark, pointer) else -1
-    if batch_id <= done:
+    known = json.loads(files.read_text(spark, pointer)) if files.exists(spark, pointer) else {"batch": -1}
+    if batch_id <= known["batch"]:
         return
     old = current(spark, path)
     rows = batch if old is None else old.unionByName(batch)
     version = f"v{batch_id}"
     last_wins(rows, keys, order).write.mode("overwrite").parquet(f"{path}/{version}")
-    files.write_text(spark, pointer, json.dumps({"version": version, "batch": batch_id}))
+    files.write_text(spark, pointer, json.dumps({"version": version, "batch": batch_id, "before": known.get("version")}))
+    if known.get("before"):
+        files.remove(spark, f"{path}/{known['before']}")
 
 
 def upserts(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], order: Sequence[str], **trigger: object) -> StreamingQuery:

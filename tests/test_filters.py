@@ -97,3 +97,13 @@ def test_json_language(dynamic):
         with pytest.raises(ValueError):
             parse_filter(bad)
         assert parse_filter(bad, strict=False) is None
+
+
+def test_dates_and_sets(spark):
+    df = spark.sql("SELECT * FROM VALUES (1, DATE '2020-01-02', TIMESTAMP '2020-01-02 03:04:05', 'a', 1.5D), (2, DATE '2021-01-01', NULL, 'b', 2.0D) AS t(n, d, t, s, x)").withColumn("n", F.col("n").cast("long"))
+    found = lambda f: [r["n"] for r in df.where(f.where(Typed(df))).orderBy("n").collect()]
+    assert found(Eq("d", "2020-01-02")) == [1] and found(Eq("t", "2020-01-02 03:04:05")) == [1] and found(Eq("d", "no date")) == []
+    assert found(Range("d", 1_577_923_200, 1_600_000_000)) == [1] and found(Range("t", None, 1_577_934_245)) == [1] and found(Range("t", 1_577_934_246, None)) == []
+    assert found(In("n", (1, 2.0, 3))) == [1, 2] and found(In("n", (1.5, "1"))) == [] and found(In("s", ("b", 1))) == [2] and found(In("x", (2, 1.5))) == [1, 2] and found(In("s", ())) == []
+    plan = df.where(In("s", ("a", "b", "c")).where(Typed(df)))._jdf.queryExecution().optimizedPlan().toString()
+    assert " OR " not in plan.split("Project")[0]
