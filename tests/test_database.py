@@ -174,7 +174,7 @@ def test_upserts_are_deltas_and_old_versions_go(spark, tmp_path):
     db.load("c", spark.range(20_000).selectExpr("cast(id as string) as id", "array(cast(id as double), rand(1), rand(2), rand(3)) as vector", "concat('{\"n\":', id, '}') as metadata"))
     size = files.size(spark, str(tmp_path / "db" / "data" / "c"))
     base = db.meta["c"].version
-    for i in range(24):
+    for i in range(12):
         db.upsert("c", doc(str(i), [i + 0.5, 0, 0, 0], n=-i))
         if i == 3:
             assert db.meta["c"].version == base and len(db.meta["c"].deltas) == 4
