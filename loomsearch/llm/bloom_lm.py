@@ -20,7 +20,8 @@ Counts are combined with numpy by task, and move as blobs of hashes by hash rang
 the task of a range builds that range's part of the filter. A filter of at most
 `broadcast_bytes` is broadcast. A larger one is never put together: distinct texts send
 the hashes of their n-grams to the parts, each part answers with levels, and the answers meet
-their text again. Each part is loaded once, by one task.
+their text again. Each part is loaded once, by one task. (That moves 8 bytes for every
+distinct n-gram of every text, some seven times the input.)
 
 Defined results: null, empty and wordless texts have 0 words and null scores; every
 row, repeated or not, is counted and scored; null ids are passed on; columns of
@@ -47,6 +48,7 @@ PROBES = 4
 BITS = 10
 TOP = 40
 _STEP = 0x9E3779B97F4A7C15
+LOW = np.uint64((1 << 48) - 1)
 
 
 def summed(h: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -71,16 +73,19 @@ def grams(w: T.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def packed(h: np.ndarray, c: np.ndarray) -> tuple[bytes, bytes]:
-    """Hashes and counts as bytes; a count is one byte, and from 255 on four more at the end."""
+    """The low 48 bits of hashes (all that the filter uses of them within a part), and counts, as bytes; a count is one byte, and from 255 on four more at the end."""
     big = c >= 255
-    return h.tobytes(), np.where(big, 255, c).astype(np.uint8).tobytes() + c[big].astype(np.uint32).tobytes()
+    return h.view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), np.where(big, 255, c).astype(np.uint8).tobytes() + c[big].astype(np.uint32).tobytes()
 
 
 def unpacked(h: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray]:
-    hashes = np.frombuffer(h, np.uint64)
-    count = np.frombuffer(c, np.uint8, len(hashes)).astype(np.int64)
-    count[count == 255] = np.frombuffer(c, np.uint32, offset=len(hashes)) if len(c) > len(hashes) else 255
-    return hashes, count
+    low = np.frombuffer(h, np.uint8).reshape(-1, 6)
+    hashes = np.zeros((len(low), 8), np.uint8)
+    hashes[:, :6] = low
+    count = np.frombuffer(c, np.uint8, len(low)).astype(np.int64)
+    if len(c) > len(low):
+        count[count == 255] = np.frombuffer(c[len(low) :], np.uint32)
+    return hashes.view(np.uint64).ravel(), count
 
 
 def _count(parts: int):
@@ -114,7 +119,7 @@ def _count(parts: int):
 
 def _spots(h: np.ndarray, level: int, i: int, m: np.ndarray | np.uint64) -> np.ndarray:
     """The i-th bit of hashes at a level, in a part of m bits."""
-    g = T.mix(h + np.uint64(level * _STEP % (1 << 64)))
+    g = T.mix((h & LOW) + np.uint64(level * _STEP % (1 << 64)))
     low = np.uint64(0xFFFFFFFF)
     return (((g >> np.uint64(32)) + np.uint64(i) * ((g & low) | np.uint64(1))) & low) * m >> np.uint64(32)
 
@@ -181,6 +186,21 @@ def loaded(rows: list, parts: int) -> Filter:
     return Filter(np.frombuffer(b"".join(bytes(r["bits"]) for r in rows) or b"\0", np.uint8), base, m)
 
 
+def gathered(table: DataFrame, parts: int) -> dict[int, Filter]:
+    """The whole filter by order; its parts come one by one and are copied into place."""
+    sizes = table.select("n", "part", "size").collect()
+    out = {n: Filter(np.zeros(max(1, sum(r["size"] for r in sizes if r["n"] == n)), np.uint8), np.zeros(parts, np.int64), np.zeros(parts, np.uint64)) for n in ORDERS}
+    for n in ORDERS:
+        at = 0
+        for r in sorted((r for r in sizes if r["n"] == n), key=lambda r: r["part"]):
+            out[n].base[r["part"]], out[n].m[r["part"]] = at, 8 * r["size"]
+            at += r["size"]
+    for r in table.select("n", "part", "bits").toLocalIterator():
+        at = out[r["n"]].base[r["part"]]
+        out[r["n"]].bits[at : at + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
 def counted(h: np.ndarray, row: np.ndarray, lookup: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
     """c' of each n-gram."""
     _, first, which, own = np.unique(T.mix(h + T.mix(row.astype(np.uint64))), return_index=True, return_inverse=True, return_counts=True)
@@ -334,9 +354,7 @@ def scored(docs: DataFrame, min_count: int = 1, broadcast_bytes: int = 256 << 20
         scores = _joined(rows.select("a", "b", "t"), table, parts, whole)
         both = rows.select("doc_id", "a", "b").join(scores, ["a", "b"], "left")
         return both.withColumn("n_words", F.coalesce("n_words", F.lit(0).cast("long"))).select(*result)
-    held = {n: [r for r in table.where(F.col("n") == n).select("part", "size", "bits").collect()] for n in ORDERS}
-    shared = spark.sparkContext.broadcast({n: loaded(x, parts) for n, x in held.items()})
-    del held
+    shared = spark.sparkContext.broadcast(gathered(table, parts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = shared.value
