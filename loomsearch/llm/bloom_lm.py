@@ -30,11 +30,13 @@ other names are not read; an empty table has no scores.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -186,18 +188,49 @@ def loaded(rows: list, parts: int) -> Filter:
     return Filter(np.frombuffer(b"".join(bytes(r["bits"]) for r in rows) or b"\0", np.uint8), base, m)
 
 
-def gathered(table: DataFrame, parts: int) -> dict[int, Filter]:
-    """The whole filter by order; its parts come one by one and are copied into place."""
-    sizes = table.select("n", "part", "size").collect()
-    out = {n: Filter(np.zeros(max(1, sum(r["size"] for r in sizes if r["n"] == n)), np.uint8), np.zeros(parts, np.int64), np.zeros(parts, np.uint64)) for n in ORDERS}
-    for n in ORDERS:
-        at = 0
-        for r in sorted((r for r in sizes if r["n"] == n), key=lambda r: r["part"]):
-            out[n].base[r["part"]], out[n].m[r["part"]] = at, 8 * r["size"]
-            at += r["size"]
-    for r in table.select("n", "part", "bits").toLocalIterator():
-        at = out[r["n"]].base[r["part"]]
-        out[r["n"]].bits[at : at + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+class Streamed:
+    """The parts of a filter, which pickle as a list of bytearrays; they come to the driver one by one and are freed when written, which pickle does at most one item late."""
+
+    def __init__(self, parts: Iterator):
+        self.parts = parts
+
+    def _each(self) -> Iterator[bytearray]:
+        held: list[bytearray] = []
+        for r in self.parts:
+            held.append(bytearray(r["bits"]))
+            yield held[-1]
+            if len(held) > 2:
+                held.pop(0).clear()
+
+    def __reduce__(self) -> tuple:
+        return list, (), None, self._each()
+
+
+def opened(shared: Broadcast, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a broadcast list of parts of these sizes, and where each part begins.
+
+    The workers of an executor share its file of the broadcast by mapping it; where that
+    isn't to be had (as with encryption) each reads its own copy.
+    """
+    try:
+        bits = np.memmap(shared._path, np.uint8, "r")
+        begin, at = [], 0
+        for size in sizes:
+            mark = pickle.BYTEARRAY8 + size.to_bytes(8, "little")
+            at += bytes(bits[at : at + 128]).index(mark) + len(mark)
+            begin.append(at)
+            at += size
+        return bits, np.array(begin, np.int64)
+    except (AttributeError, TypeError, OSError, ValueError):
+        return np.frombuffer(b"".join(shared.value) or b"\0", np.uint8), np.cumsum([0, *sizes])[:-1]
+
+
+def gathered(shared: Broadcast, index: list[tuple[int, int, int]], parts: int) -> dict[int, Filter]:
+    """The whole filter by order, of its broadcast parts and their index (n, part, size)."""
+    bits, begin = opened(shared, [size for _, _, size in index])
+    out = {n: Filter(bits, np.zeros(parts, np.int64), np.zeros(parts, np.uint64)) for n in ORDERS}
+    for (n, part, size), at in zip(index, begin):
+        out[n].base[part], out[n].m[part] = at, 8 * size
     return out
 
 
@@ -354,10 +387,17 @@ def scored(docs: DataFrame, min_count: int = 1, broadcast_bytes: int = 256 << 20
         scores = _joined(rows.select("a", "b", "t"), table, parts, whole)
         both = rows.select("doc_id", "a", "b").join(scores, ["a", "b"], "left")
         return both.withColumn("n_words", F.coalesce("n_words", F.lit(0).cast("long"))).select(*result)
-    shared = spark.sparkContext.broadcast(gathered(table, parts))
+    index: list[tuple[int, int, int]] = []
+
+    def each() -> Iterator:
+        for r in table.select("n", "part", "size", "bits").toLocalIterator():
+            index.append((r["n"], r["part"], r["size"]))
+            yield r
+
+    shared = spark.sparkContext.broadcast(Streamed(each()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = shared.value
+        found = gathered(shared, index, parts)
         for b in batches:
             for s in T.slices(b.column(1)):
                 n, total = log_probabilities(s, lambda order, h: found[order].levels(h), whole)
