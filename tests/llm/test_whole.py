@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+import time
 
-from loomsearch.llm import queries
+import numpy as np
+
+from loomsearch.llm import pii_tagger, queries
 
 SF = "/root/testdata/sf0.01"
 
@@ -28,3 +31,29 @@ def test_near_copies_by_jaccard(spark):
     near = [(i, j) for (i, j), n in common.items() if n >= 0.6 * (len(sets[i]) + len(sets[j]) - n) and sets[i] != sets[j]]
     got = {r["doc_id"]: r["group_id"] for r in queries.op9_simhash_forest(spark, SF).collect()}
     assert len(near) > 50 and sum(i in got and got[i] == got.get(j) for i, j in near) >= 0.95 * len(near)
+
+
+def test_a_text_of_many_spans_costs_in_proportion():
+    began = time.thread_time()
+    found = [(10 * i, 10 * i + 8, i % 6, 3.0, True) for i in range(50_000)]
+    assert pii_tagger.reconciled(found) == [(a, b, kind) for a, b, kind, _, _ in found]
+    assert time.thread_time() - began < 10
+
+
+def test_tags_of_many_windows_at_once():
+    """Viterbi over whole windows, ties too, against one that keeps every way back."""
+    net, r = pii_tagger.new_net(7, 4, 5), np.random.default_rng(4)
+    for trial in range(4):
+        e = r.normal(size=(50, 30, pii_tagger.TAGS)).astype(np.float32)
+        if trial % 2:
+            e, net.trans, net.begin = np.round(e), np.round(net.trans), np.round(net.begin)
+        for own, got in zip(e, pii_tagger.viterbi(net, e)):
+            best, back = net.begin + own[0], []
+            for x in own[1:]:
+                options = best[:, None] + net.trans
+                back.append(options.argmax(0))
+                best = options.max(0) + x
+            tags = [int(best.argmax())]
+            for b in reversed(back):
+                tags.append(int(b[tags[-1]]))
+            assert tags[::-1] == got.tolist()
