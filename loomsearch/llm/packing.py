@@ -7,10 +7,11 @@ first, each into the fullest bin that still holds it. Bins filled to `full` of
 the capacity are emitted; of the others those rise as items that a merge can use, and
 `fan_in` partitions at a time merge and pack them again, until one partition is left, which
 emits all. Of two bins that become one, one is at most half full, and best fit leaves a
-partition at most one such bin; so a merge saves at most one bin a partition. That bin rises,
-with the `hosts` least full of the others for bins like it to go into; the rest are as good as
-they can be and are emitted too. No task of a merge sees more than
-`fan_in * (hosts + 1)` bins, whatever the lengths.
+partition at most one such bin; so all merges together bring a partition at most as many as
+there are other partitions. Its own rises, with so many of its least full other bins for those
+to go into. A bin that fits one of the rest fits all of these, and they are not all taken
+before it; so the rest, which are emitted, would not save a bin by rising, whatever `fan_in`.
+No task of a merge sees more than `fan_in` times as many bins as there are partitions.
 
 The fullest bin that fits is found in a bit set of free capacities, so an item
 costs about a microsecond and bins a few bytes each. Only ids and lengths move.
@@ -65,7 +66,7 @@ def best_fit(sizes: list[int], capacity: int) -> list[int]:
 
 
 def finished(fill: list[int], capacity: int, full: int, hosts: int) -> list[bool]:
-    """Whether each bin of a partition is emitted."""
+    """Whether each bin of a partition is emitted; hosts: how many bins at most half full the others can bring."""
     done = [x >= full for x in fill]
     half = [i for i, x in enumerate(fill) if not done[i] and 2 * x > capacity]
     half.sort(key=lambda i: (fill[i], i))
@@ -107,7 +108,7 @@ def byte_tokens(text_col: str = "text") -> Column:
     return F.ceil(F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) / 4)
 
 
-def packed(docs: DataFrame, capacity: int = 2048, full: float = 0.98, length: Column | None = None, id_col: str = "doc_id", text_col: str = "text", items_per_part: int = 50_000, fan_in: int = 8, hosts: int = 64) -> DataFrame:
+def packed(docs: DataFrame, capacity: int = 2048, full: float = 0.98, length: Column | None = None, id_col: str = "doc_id", text_col: str = "text", items_per_part: int = 50_000, fan_in: int = 8) -> DataFrame:
     """(bin_id, fill, pieces): every bin and the pieces of documents in it, each from token `start` on."""
     if capacity < 1:
         raise ValueError("capacity must be positive")
@@ -124,7 +125,7 @@ def packed(docs: DataFrame, capacity: int = 2048, full: float = 0.98, length: Co
     done, level = [whole], 0
     while True:
         last = parts == 1
-        bins = cut(items.repartition(parts, "part").mapInArrow(_pack(capacity, int(full * capacity), level, last, hosts), BINS))
+        bins = cut(items.repartition(parts, "part").mapInArrow(_pack(capacity, int(full * capacity), level, last, parts - 1), BINS))
         done.append(bins.where("done").select("bin_id", "fill", "pieces"))
         if last:
             return reduce(DataFrame.unionByName, done)

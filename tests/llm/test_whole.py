@@ -6,8 +6,9 @@ import re
 import time
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from loomsearch.llm import pii_tagger, queries
+from loomsearch.llm import packing, pii_tagger, queries
 
 SF = "/root/testdata/sf0.01"
 
@@ -57,3 +58,43 @@ def test_tags_of_many_windows_at_once():
             for b in reversed(back):
                 tags.append(int(b[tags[-1]]))
             assert tags[::-1] == got.tolist()
+
+
+def test_every_half_full_bin_finds_its_host(spark):
+    """One partition has 100 bins of 1,200 and each of 99 others one bin of 800: each of these goes into one of those."""
+    pool = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"), F.pmod(F.xxhash64("id", F.xxhash64(F.lit("")), F.lit(0).cast("long")), F.lit(100)).alias("at")).collect()
+    of: dict[int, list[int]] = {}
+    for r in pool:
+        of.setdefault(r["at"], []).append(r["doc_id"])
+    docs = [(i, "", 1199) for i in of[0][:100]] + [(of[k][0], "", 799) for k in range(1, 100)]
+    bins = packing.packed(spark.createDataFrame(docs, "doc_id long, text string, n long"), 2048, length=F.col("n"), items_per_part=2, fan_in=100).collect()
+    assert sum(len(b["pieces"]) for b in bins) == 199
+    assert sorted(b["fill"] for b in bins) == [1200] + [2000] * 99
+
+
+def test_emitted_bins_would_save_none():
+    """Bins of merges up a tree are as many as if every bin rose."""
+    r = np.random.default_rng(6)
+    for trial in range(200):
+        capacity, fan_in = 100, int(r.integers(2, 12))
+        low = int(r.integers(1, 60))
+        leaves = [r.integers(low, int(r.integers(low, 90)) + 1, r.integers(0, 30)).tolist() for _ in range(int(r.integers(1, 30)))]
+
+        def bins(cut: bool) -> int:
+            parts, total = leaves, 0
+            while True:
+                out = []
+                for own in parts:
+                    own = sorted(own, reverse=True)
+                    where = packing.best_fit(own, capacity)
+                    fill = [0] * (max(where, default=-1) + 1)
+                    for x, at in zip(own, where):
+                        fill[at] += x
+                    done = packing.finished(fill, capacity, capacity, len(parts) - 1 if cut else 10**9)
+                    out.append([x for x, d in zip(fill, done) if not d])
+                    total += sum(done)
+                if len(parts) == 1:
+                    return total + len(out[0])
+                parts = [sum(out[k : k + fan_in], []) for k in range(0, len(out), fan_in)]
+
+        assert bins(True) == bins(False)
