@@ -18,8 +18,10 @@ is 0. A text's second word has the last two terms (times 2.5), its first word th
 
 Counts are combined with numpy by task, and move as blobs of hashes by hash range;
 the task of a range builds that range's part of the filter. A filter of at most
-`broadcast_bytes` is broadcast. A larger one is never put together: distinct texts send
-the hashes of their n-grams to the parts, each part answers with levels, and the answers meet
+`broadcast_bytes` is broadcast. A larger one, up to `mapped_bytes`, is written part by part into
+a file in the shared folder of checkpoints, where that is a folder of files (scheme file), and every
+worker maps that file; no text and no hash moves. Where it is none, or the filter is larger still, it is
+never put together: distinct texts send the hashes of their n-grams to the parts, each part answers with levels, and the answers meet
 their text again. Each part is loaded once, by one task. (That moves 8 bytes for every
 distinct n-gram of every text, some seven times the input.)
 
@@ -30,17 +32,21 @@ other names are not read; an empty table has no scores.
 
 from __future__ import annotations
 
+import atexit
+import os
 import pickle
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.core.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, ship
+from ..session import cut, scratch_dir, ship
 from . import _text as T
 
 HELD = 3_000_000
@@ -227,7 +233,11 @@ def opened(shared: Broadcast, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]
 
 def gathered(shared: Broadcast, index: list[tuple[int, int, int]], parts: int) -> dict[int, Filter]:
     """The whole filter by order, of its broadcast parts and their index (n, part, size)."""
-    bits, begin = opened(shared, [size for _, _, size in index])
+    return placed(*opened(shared, [size for _, _, size in index]), index, parts)
+
+
+def placed(bits: np.ndarray, begin: np.ndarray, index: list[tuple[int, int, int]], parts: int) -> dict[int, Filter]:
+    """The whole filter by order, of its bytes and where each part of its index begins."""
     out = {n: Filter(bits, np.zeros(parts, np.int64), np.zeros(parts, np.uint64)) for n in ORDERS}
     for (n, part, size), at in zip(index, begin):
         out[n].base[part], out[n].m[part] = at, 8 * size
@@ -279,6 +289,32 @@ def filters(docs: DataFrame, min_count: int, text_col: str, part_bytes: int) ->
     return cut(blobs.repartition(parts, "part").mapInArrow(_build(min_count), "part int, n int, bits binary, size long, distinct long, total long")), parts
 
 
+def memory() -> int:
+    """Half of this machine's memory; the page cache should hold what workers map."""
+    return os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") // 2
+
+
+def shared_file(spark: SparkSession) -> str | None:
+    """The path of a new file that all executors see, if their shared folder is one of files."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    uri = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toUri()
+    return f"{uri.getPath()}/filter-{uuid.uuid4().hex}" if uri.getScheme() == "file" else None
+
+
+def _write(path: str, base: dict[tuple[int, int], int]):
+    """Parts (n, part, bits) into their places in one file; a task that runs again writes the same."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with open(path, "r+b") as f:
+            for b in batches:
+                for n, part, bits in zip(b["n"].to_pylist(), b["part"].to_pylist(), b["bits"]):
+                    f.seek(base[n, part])
+                    f.write(bits.as_buffer())
+                yield b.select(["n", "part"])
+
+    return run
+
+
 def _ask(parts: int):
     """Of distinct texts (a, b, t): the hashes of their n-grams, in order, by order and part."""
 
@@ -373,7 +409,7 @@ def _joined(rows: DataFrame, table: DataFrame, parts: int, whole: int) -> DataFr
     return both.repartition("a", "b").sortWithinPartitions("a", "b", "kind", "n", "part").mapInArrow(_meet(whole), "a long, b long, n_words long, total double")
 
 
-def scored(docs: DataFrame, min_count: int = 1, broadcast_bytes: int = 256 << 20, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 16 << 20) -> DataFrame:
+def scored(docs: DataFrame, min_count: int = 1, broadcast_bytes: int = 256 << 20, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 16 << 20, mapped_bytes: int | None = None) -> DataFrame:
     """(doc_id, n_words, log10_prob, perplexity) of every row; log10_prob is the mean over its words."""
     spark = docs.sparkSession
     ship(spark)
@@ -383,21 +419,38 @@ def scored(docs: DataFrame, min_count: int = 1, broadcast_bytes: int = 256 << 20
     mean = F.when(F.col("n_words") > 0, F.col("total") / F.col("n_words"))
     result = ["doc_id", "n_words", (mean / F.lit(float(np.log(10)))).alias("log10_prob"), F.exp(-mean).alias("perplexity")]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("a"), F.xxhash64(text_col, F.lit(1)).alias("b"), F.lower(F.col(text_col)).alias("t"))
-    if (stats["size"] or 0) > broadcast_bytes:
+    size = stats["size"] or 0
+    path = shared_file(spark) if broadcast_bytes < size <= (memory() if mapped_bytes is None else mapped_bytes) else None
+    if size > broadcast_bytes and path is None:
         scores = _joined(rows.select("a", "b", "t"), table, parts, whole)
         both = rows.select("doc_id", "a", "b").join(scores, ["a", "b"], "left")
         return both.withColumn("n_words", F.coalesce("n_words", F.lit(0).cast("long"))).select(*result)
     index: list[tuple[int, int, int]] = []
+    if path:
+        index += [(r["n"], r["part"], r["size"]) for r in table.select("n", "part", "size").collect()]
+        begin = np.cumsum([0] + [own for _, _, own in index])[:-1]
+        with open(path, "wb") as f:
+            f.truncate(size)
+        atexit.register(Path(path).unlink, True)
+        table.select("n", "part", "bits").mapInArrow(_write(path, {(n, part): int(at) for (n, part, _), at in zip(index, begin)}), "n int, part int").count()
+
+        def held() -> dict[int, Filter]:
+            return placed(np.memmap(path, np.uint8, "r"), begin, index, parts)
+
+    else:
+
+        def each() -> Iterator:
+            for r in table.select("n", "part", "size", "bits").toLocalIterator():
+                index.append((r["n"], r["part"], r["size"]))
+                yield r
 
-    def each() -> Iterator:
-        for r in table.select("n", "part", "size", "bits").toLocalIterator():
-            index.append((r["n"], r["part"], r["size"]))
-            yield r
+        shared = spark.sparkContext.broadcast(Streamed(each()))
 
-    shared = spark.sparkContext.broadcast(Streamed(each()))
+        def held() -> dict[int, Filter]:
+            return gathered(shared, index, parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = gathered(shared, index, parts)
+        found = held()
         for b in batches:
             for s in T.slices(b.column(1)):
                 n, total = log_probabilities(s, lambda order, h: found[order].levels(h), whole)

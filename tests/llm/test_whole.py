@@ -6,9 +6,10 @@ import re
 import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from loomsearch.llm import packing, pii_tagger, queries
+from loomsearch.llm import bloom_lm, packing, pii_tagger, queries
 
 SF = "/root/testdata/sf0.01"
 
@@ -98,3 +99,17 @@ def test_emitted_bins_would_save_none():
                 parts = [sum(out[k : k + fan_in], []) for k in range(0, len(out), fan_in)]
 
         assert bins(True) == bins(False)
+
+
+def test_a_filter_too_large_to_broadcast_moves_no_texts(spark, monkeypatch):
+    """It is mapped from the shared folder, with the scores of a broadcast one and of one that answers by parts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(300).localCheckpoint()
+
+    def scores(**limits: int) -> dict[int, tuple]:
+        return {r["doc_id"]: (r["n_words"], r["log10_prob"]) for r in bloom_lm.scored(docs, part_bytes=40_000, **limits).collect()}
+
+    whole, by_parts = scores(), scores(broadcast_bytes=0, mapped_bytes=0)
+    monkeypatch.setattr(bloom_lm, "_joined", None)
+    mapped = scores(broadcast_bytes=0)
+    assert mapped == whole
+    assert by_parts.keys() == whole.keys() and all(by_parts[i] == pytest.approx(whole[i]) for i in whole if whole[i][0])
