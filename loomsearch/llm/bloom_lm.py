@@ -16,12 +16,12 @@ where a count is at most that of its first words, and a fraction without a denom
 is 0. A text's second word has the last two terms (times 2.5), its first word the last one
 (times 10).
 
-Counts are combined with numpy by task, and move as blobs of hashes by hash range;
-the task of a range builds that range's part of the filter. A filter of at most
-`broadcast_bytes` is broadcast. A larger one, up to `mapped_bytes`, is written part by part into
-a file in the shared folder of checkpoints, where that is a folder of files (scheme file), and every
-worker maps that file; no text and no hash moves. Where it is none, or the filter is larger still, it is
-never put together: distinct texts send the hashes of their n-grams to the parts, each part answers with levels, and the answers meet
+Counts are combined with numpy by task, and move as small blobs of hashes by hash range;
+each range has a task, which builds that range's part of the filter. A filter of at most
+`mapped_bytes` is written part by part into a file in the shared folder of checkpoints, where that
+is a folder of files (scheme file), and every worker maps that file; neither the driver nor an executor's JVM
+holds it whole, and no text and no hash moves. Elsewhere a filter of at most
+`broadcast_bytes` is broadcast. A larger one is never put together: distinct texts send the hashes of their n-grams to the parts, each part answers with levels, and the answers meet
 their text again. Each part is loaded once, by one task. (That moves 8 bytes for every
 distinct n-gram of every text, some seven times the input.)
 
@@ -50,6 +50,11 @@ from ..session import cut, scratch_dir, ship
 from . import _text as T
 
 HELD = 3_000_000
+#: Hashes of a blob, and bytes of blobs that are sent at once: the JVM copies them, and its heap grows by arrays of over half a megabyte.
+BLOB = 24_000
+SENT = 2 << 20
+#: Hashes whose bits are set at once.
+SET = 1 << 17
 ORDERS = (1, 2, 3)
 MIX = (0.1, 0.3, 0.6)
 PROBES = 4
@@ -59,15 +64,10 @@ _STEP = 0x9E3779B97F4A7C15
 LOW = np.uint64((1 << 48) - 1)
 
 
-def summed(h: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes, ascending, and their total counts."""
-    if c is None:
-        h = np.sort(h)
-    else:
-        order = np.argsort(h)
-        h, c = h[order], c[order]
+def summed(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of ascending ones, and how often each is there."""
     at = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-    return h[at], np.diff(np.append(at, len(h))) if c is None else np.add.reduceat(c, at) if len(at) else np.zeros(0, np.int64)
+    return h[at], np.diff(np.append(at, len(h)))
 
 
 def part_of(h: np.ndarray, parts: int) -> np.ndarray:
@@ -97,12 +97,31 @@ def unpacked(h: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(parts: int):
+    # The first hash of each part but part 0, as part_of has it
+    border = np.array([-(-(p << 32) // parts) << 32 for p in range(1, parts)], np.uint64)
+
+    def batch(rows: list[tuple[int, bytes, bytes]], order: int) -> pa.RecordBatch:
+        part, h, c = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(np.full(len(rows), order, np.int32)), pa.array(h, pa.binary()), pa.array(c, pa.binary())], ["part", "n", "h", "c"])
+
     def blobs(held: list[np.ndarray], order: int) -> Iterator[pa.RecordBatch]:
-        h, c = summed(np.concatenate(held))
-        at = np.searchsorted(part_of(h, parts), np.arange(parts + 1))
-        some = np.flatnonzero(np.diff(at))
-        both = [packed(h[at[p] : at[p + 1]], c[at[p] : at[p + 1]]) for p in some]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(np.full(len(some), order, np.int32)), pa.array([x for x, _ in both], pa.binary()), pa.array([x for _, x in both], pa.binary())], ["part", "n", "h", "c"])
+        """Empties held."""
+        every = np.concatenate(held)
+        held.clear()
+        every.sort()
+        at = [0, *np.searchsorted(every, border).tolist(), len(every)]
+        rows: list[tuple[int, bytes, bytes]] = []
+        size = 0
+        for part in range(parts):
+            h, c = summed(every[at[part] : at[part + 1]])
+            for x in range(0, len(h), BLOB):
+                rows.append((part, *packed(h[x : x + BLOB], c[x : x + BLOB])))
+                size += sum(map(len, rows[-1][1:]))
+                if size >= SENT:
+                    yield batch(rows, order)
+                    rows, size = [], 0
+        if rows:
+            yield batch(rows, order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {n: [] for n in ORDERS}
@@ -115,8 +134,8 @@ def _count(parts: int):
                 size += len(w.h)
                 if size >= HELD:
                     for order in held:
-                        yield from blobs(held[order], order)
-                        held[order] = []
+                        if held[order]:
+                            yield from blobs(held[order], order)
                     size = 0
         for order in held:
             if sum(map(len, held[order])):
@@ -135,17 +154,35 @@ def _spots(h: np.ndarray, level: int, i: int, m: np.ndarray | np.uint64) -> np.n
 def built(h: np.ndarray, c: np.ndarray, min_count: int) -> np.ndarray:
     """The bits, as bytes, of one part."""
     keep = c >= max(1, min_count)
-    h, level = h[keep], np.frexp(c[keep])[1]
+    if not keep.all():
+        h, c = h[keep], c[keep]
+    level = np.concatenate([np.zeros(0, np.int8), *(np.frexp(c[x : x + SET])[1].astype(np.int8) for x in range(0, len(c), SET))])
     m = 64 + BITS * int(level.sum())
     m += -m % 8
     bits = np.zeros(m, bool)
     for j in range(1, int(level.max(initial=0)) + 1):
         own = h[level >= j]
-        for i in range(PROBES):
-            bits[_spots(own, j, i, np.uint64(m)).astype(np.int64)] = True
+        for x in range(0, len(own), SET):
+            for i in range(PROBES):
+                bits[_spots(own[x : x + SET], j, i, np.uint64(m)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little")
 
 
+def _sum(blobs: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes, ascending, and total counts of the blobs, which are emptied."""
+    end = np.cumsum([0] + [len(h) // 6 for h, _ in blobs])
+    h, c = np.zeros(end[-1], np.uint64), np.zeros(end[-1], np.int64)
+    for at in reversed(range(len(blobs))):
+        h[end[at] : end[at + 1]], c[end[at] : end[at + 1]] = unpacked(*blobs.pop())
+    order = np.argsort(h)
+    h, c = h[order], c[order]
+    del order
+    first = np.append(True, h[1:] != h[:-1])
+    at = np.flatnonzero(first)
+    c = np.add.reduceat(c, at)
+    return h[first], c
+
+
 def _build(min_count: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], list[tuple[bytes, bytes]]] = {}
@@ -153,9 +190,7 @@ def _build(min_count: int):
             for part, n, h, c in zip(*(b[k].to_pylist() for k in ("part", "n", "h", "c"))):
                 held.setdefault((part, n), []).append((h, c))
         for part, n in sorted(held):
-            got = held.pop((part, n))
-            each = [unpacked(*x) for x in got]
-            h, c = summed(np.concatenate([x for x, _ in each]), np.concatenate([x for _, x in each]))
+            h, c = _sum(held.pop((part, n)))
             bits = built(h, c, min_count)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int32()), pa.array([bits.tobytes()], pa.binary()), pa.array([len(bits)], pa.int64()), pa.array([len(h)], pa.int64()), pa.array([int(c.sum())], pa.int64())], ["part", "n", "bits", "size", "distinct", "total"])
 
@@ -286,7 +321,7 @@ def filters(docs: DataFrame, min_count: int, text_col: str, part_bytes: int) ->
     size = text.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
     parts = max(1, -(-size // part_bytes))
     blobs = text.mapInArrow(_count(parts), "part int, n int, h binary, c binary")
-    return cut(blobs.repartition(parts, "part").mapInArrow(_build(min_count), "part int, n int, bits binary, size long, distinct long, total long")), parts
+    return cut(blobs.repartitionById(parts, "part").mapInArrow(_build(min_count), "part int, n int, bits binary, size long, distinct long, total long")), parts
 
 
 def memory() -> int:
@@ -420,7 +455,7 @@ def scored(docs: DataFrame, min_count: int = 1, broadcast_bytes: int = 256 << 20
     result = ["doc_id", "n_words", (mean / F.lit(float(np.log(10)))).alias("log10_prob"), F.exp(-mean).alias("perplexity")]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("a"), F.xxhash64(text_col, F.lit(1)).alias("b"), F.lower(F.col(text_col)).alias("t"))
     size = stats["size"] or 0
-    path = shared_file(spark) if broadcast_bytes < size <= (memory() if mapped_bytes is None else mapped_bytes) else None
+    path = shared_file(spark) if 0 < size <= (memory() if mapped_bytes is None else mapped_bytes) else None
     if size > broadcast_bytes and path is None:
         scores = _joined(rows.select("a", "b", "t"), table, parts, whole)
         both = rows.select("doc_id", "a", "b").join(scores, ["a", "b"], "left")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +115,43 @@ def test_a_filter_too_large_to_broadcast_moves_no_texts(spark, monkeypatch):
     mapped = scores(broadcast_bytes=0)
     assert mapped == whole
     assert by_parts.keys() == whole.keys() and all(by_parts[i] == pytest.approx(whole[i]) for i in whole if whole[i][0])
+
+
+def test_a_filter_is_mapped_and_not_broadcast_where_it_can_be(spark, monkeypatch):
+    """Neither the driver nor an executor's JVM holds it; a broadcast one gives the same scores."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(300).localCheckpoint()
+
+    def scores(**limits: int) -> dict[int, tuple]:
+        return {r["doc_id"]: (r["n_words"], r["log10_prob"]) for r in bloom_lm.scored(docs, part_bytes=40_000, **limits).collect()}
+
+    by_broadcast = scores(mapped_bytes=0)
+    monkeypatch.setattr(bloom_lm, "Streamed", None)
+    monkeypatch.setattr(bloom_lm, "_joined", None)
+    assert scores() == by_broadcast
+    wordless = spark.createDataFrame([(1, "... !"), (2, None)], "doc_id long, text string")
+    monkeypatch.undo()
+    assert [r["n_words"] for r in bloom_lm.scored(wordless).collect()] == [0, 0]
+
+
+def test_a_task_builds_one_part_of_the_filter(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(300).localCheckpoint()
+    table, parts = bloom_lm.filters(docs, 1, "text", 40_000)
+    assert parts > 8
+    by_task = table.groupBy(F.spark_partition_id()).agg(F.countDistinct("part").alias("parts")).collect()
+    assert len(by_task) == parts and {r["parts"] for r in by_task} == {1}
+
+
+def test_memory_to_count_and_build(monkeypatch):
+    """Blobs and batches are small, and a part takes less than 50 bytes a hash besides its blobs."""
+    monkeypatch.setattr(bloom_lm, "HELD", 300_000)
+    text = pa.RecordBatch.from_arrays([pa.array([" ".join(map(str, range(x, x + 2000))) for x in range(0, 800_000, 2000)])], ["t"])
+    counted = list(bloom_lm._count(1)(iter([text])))
+    assert max(len(h) for b in counted for h in b["h"].to_pylist()) <= 150_000 and max(b.nbytes for b in counted) < 3 << 20
+    own = [b for b in counted if b["n"][0].as_py() == 3]
+    held = sum(b.nbytes for b in own)
+    tracemalloc.start()
+    built = list(bloom_lm._build(1)(iter(own)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    distinct = sum(b["distinct"][0].as_py() for b in built)
+    assert distinct == 400 * 1998 and peak < held + 50 * distinct
