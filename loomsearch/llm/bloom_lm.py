@@ -144,11 +144,15 @@ def _count(parts: int):
     return run
 
 
-def _spots(h: np.ndarray, level: int, i: int, m: np.ndarray | np.uint64) -> np.ndarray:
-    """The i-th bit of hashes at a level, in a part of m bits."""
-    g = T.mix((h & LOW) + np.uint64(level * _STEP % (1 << 64)))
-    low = np.uint64(0xFFFFFFFF)
-    return (((g >> np.uint64(32)) + np.uint64(i) * ((g & low) | np.uint64(1))) & low) * m >> np.uint64(32)
+def _halves(low: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the bits of hashes (their low 48 bits) at a level begin, and the step from one to the next."""
+    g = T.mix(low + np.asarray(level).astype(np.uint64) * np.uint64(_STEP))
+    return g >> np.uint64(32), (g & np.uint64(0xFFFFFFFF)) | np.uint64(1)
+
+
+def _spot(high: np.ndarray, step: np.ndarray, i: int, m: np.ndarray | np.uint64) -> np.ndarray:
+    """The i-th bit of hashes, in a part of m bits."""
+    return ((high + np.uint64(i) * step) & np.uint64(0xFFFFFFFF)) * m >> np.uint64(32)
 
 
 def built(h: np.ndarray, c: np.ndarray, min_count: int) -> np.ndarray:
@@ -163,8 +167,9 @@ def built(h: np.ndarray, c: np.ndarray, min_count: int) -> np.ndarray:
     for j in range(1, int(level.max(initial=0)) + 1):
         own = h[level >= j]
         for x in range(0, len(own), SET):
+            high, step = _halves(own[x : x + SET] & LOW, j)
             for i in range(PROBES):
-                bits[_spots(own[x : x + SET], j, i, np.uint64(m)).astype(np.int64)] = True
+                bits[_spot(high, step, i, np.uint64(m)).view(np.int64)] = True
     return np.packbits(bits, bitorder="little")
 
 
@@ -205,21 +210,29 @@ class Filter:
     base: np.ndarray
     m: np.ndarray
 
-    def levels(self, h: np.ndarray) -> np.ndarray:
+    def levels(self, h: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
+        """The level of each hash; levels up to a known one aren't probed."""
         part = part_of(h, len(self.m))
-        base, m = self.base[part], self.m[part]
-        out = np.zeros(len(h), np.int64)
-        live = np.flatnonzero(m)
-        for j in range(1, TOP):
+        base, m, low = self.base[part], self.m[part], h & LOW
+        out = np.zeros(len(h), np.int64) if known is None else np.where(m > 0, known, 0)
+        at = np.flatnonzero((m > 0) & (out < TOP - 1))
+        while len(at):
+            high, step = _halves(low[at], out[at] + 1)
             for i in range(PROBES):
-                at = _spots(h[live], j, i, m[live])
-                live = live[(self.bits[base[live] + (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-                if not len(live):
-                    return out
-            out[live] = j
+                spot = _spot(high, step, i, m[at])
+                hit = np.flatnonzero((self.bits[base[at] + (spot >> np.uint64(3)).view(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1)
+                if len(hit) < len(at):
+                    at, high, step = at[hit], high[hit], step[hit]
+            out[at] += 1
+            at = at[out[at] < TOP - 1]
         return out
 
 
+def surely(times: np.ndarray, min_count: int) -> np.ndarray | None:
+    """The level that n-grams have at least which are so often in some of the counted texts, if the filter leaves none out."""
+    return np.minimum(np.frexp(times)[1], TOP - 1).astype(np.int64) if min_count <= 1 else None
+
+
 def loaded(rows: list, parts: int) -> Filter:
     base, m = np.zeros(parts, np.int64), np.zeros(parts, np.uint64)
     at = 0
@@ -279,17 +292,30 @@ def placed(bits: np.ndarray, begin: np.ndarray, index: list[tuple[int, int, int]
     return out
 
 
-def counted(h: np.ndarray, row: np.ndarray, lookup: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """c' of each n-gram."""
-    _, first, which, own = np.unique(T.mix(h + T.mix(row.astype(np.uint64))), return_index=True, return_inverse=True, return_counts=True)
-    level = lookup(h[first])
+def grouped(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One place of each distinct hash, which of them each hash is, and how often each is there."""
+    order = np.argsort(h)
+    held = h[order]
+    new = np.append(True, held[1:] != held[:-1])
+    which = np.empty(len(h), np.int64)
+    which[order] = np.cumsum(new) - 1
+    at = np.flatnonzero(new)
+    return order[at], which, np.diff(np.append(at, len(h)))
+
+
+def counted(h: np.ndarray, row: np.ndarray, lookup: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """c' of each n-gram. An n-gram is looked up once, in however many texts it is, with how often it is there."""
+    first, which, own = grouped(h + T.mix(row.astype(np.uint64)))
+    h = h[first]
+    once, back, _ = grouped(h)
+    level = lookup(h[once], np.bincount(back, own).astype(np.int64))[back]
     low = np.exp2(np.maximum(level, 1) - 1.0)
     c = np.where(level > 1, 1.5 * low, level)
     return np.where((level > 0) & (own < low), c - own, 0.0)[which]
 
 
-def log_probabilities(s: T.Slice, lookup: Callable[[int, np.ndarray], np.ndarray], whole: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words of each row, and the sum of the natural logarithms of their probabilities; lookup gives the levels of n-grams of an order."""
+def log_probabilities(s: T.Slice, lookup: Callable[[int, np.ndarray, np.ndarray], np.ndarray], whole: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each row, and the sum of the natural logarithms of their probabilities; lookup gives the levels of n-grams of an order, which are there so often."""
     w = T.words(s)
     n = np.diff(w.ptr)
     if not len(w.h):
@@ -298,7 +324,7 @@ def log_probabilities(s: T.Slice, lookup: Callable[[int, np.ndarray], np.ndarray
     for order in ORDERS:
         h, begin = grams(w, order)
         if len(h):
-            c[order - 1, begin] = counted(h, row[begin], lambda x, order=order: lookup(order, x))
+            c[order - 1, begin] = counted(h, row[begin], lambda x, times, order=order: lookup(order, x, times))
     c[1] = np.minimum(c[1], c[0])
     c[2] = np.minimum(c[2], c[1])
     size = len(w.h)
@@ -403,7 +429,7 @@ def _meet(whole: int):
     def scored(text: tuple, got: dict[int, list[bytes]]) -> tuple:
         levels = {n: np.frombuffer(b"".join(x), np.uint8).astype(np.int64) for n, x in got.items()}
 
-        def lookup(n: int, h: np.ndarray) -> np.ndarray:
+        def lookup(n: int, h: np.ndarray, times: np.ndarray) -> np.ndarray:
             return levels[n][np.unique(h, return_inverse=True)[1]]
 
         n, total = log_probabilities(next(T.slices(pa.array([text[2]]), 1 << 62)), lookup, whole)
@@ -488,7 +514,7 @@ def scored(docs: DataFrame, min_count: int = 1, broadcast_bytes: int = 256 << 20
         found = held()
         for b in batches:
             for s in T.slices(b.column(1)):
-                n, total = log_probabilities(s, lambda order, h: found[order].levels(h), whole)
+                n, total = log_probabilities(s, lambda order, h, times: found[order].levels(h, surely(times, min_count)), whole)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, s.rows), pa.array(n.astype(np.int64)), pa.array(total)], ["doc_id", "n_words", "total"])
 
     return rows.select("doc_id", "t").mapInArrow(run, "doc_id long, n_words long, total double").select(*result)

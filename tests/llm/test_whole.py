@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from loomsearch.llm import _text as T
 from loomsearch.llm import bloom_lm, packing, pii_tagger, queries
 
 SF = "/root/testdata/sf0.01"
@@ -155,3 +156,17 @@ def test_memory_to_count_and_build(monkeypatch):
     tracemalloc.stop()
     distinct = sum(b["distinct"][0].as_py() for b in built)
     assert distinct == 400 * 1998 and peak < held + 50 * distinct
+
+
+def test_an_ngram_is_probed_once_in_many_texts_and_from_its_sure_level():
+    h = T.mix(np.arange(1, 4001, dtype=np.uint64) << np.uint64(20))
+    c = np.arange(4000) % 40 + 1
+    f = bloom_lm.loaded([{"part": 0, "bits": (x := bloom_lm.built(h, c, 1)).tobytes(), "size": len(x)}], 1)
+    assert np.array_equal(f.levels(h, bloom_lm.surely(np.minimum(c, 5), 1)), f.levels(h))
+    assert bloom_lm.surely(c, 2) is None
+    text = pa.array(["the same five words here", "the same five words here", "and other words"], pa.string())
+    asked = []
+    lookup = lambda order, h, times: (asked.append((order, len(h), len(np.unique(h)), int(times.sum()))), np.full(len(h), 3))[1]
+    n, total = bloom_lm.log_probabilities(next(T.slices(text)), lookup, 100)
+    assert n.tolist() == [5, 5, 3] and total[0] == total[1]
+    assert asked == [(1, 7, 7, 13), (2, 6, 6, 10), (3, 4, 4, 7)]
