@@ -37,6 +37,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,8 @@ from . import _text as T
 WIDE, WIDE_SEQ, WIDE_TRI, WIDE_PLAN = 12, 20, 26, 10
 #: Tries; share of the pairs at the limit that the forest within a crowded subtree may lose; rows that it compares directly.
 TRIES, LOSS, CROWD = 24, 0.05, 512
+#: Rows of a run up to which its pairs are listed side by side with other runs', and rows of a tile of pairs beyond.
+FEW, TILE = 16, 64
 #: Jaccard similarity of word trigrams from which texts are near copies.
 SIMILARITY = 0.6
 
@@ -146,6 +149,7 @@ def inner_plan(rows: int, distance: int, used: int, crowd: int = CROWD) -> tuple
     return depth, 1 if agree >= 1 else math.ceil(math.log(LOSS) / math.log(1 - agree))
 
 
+@lru_cache(4096)
 def permutations(tries: int, seed: int, top: int = 64) -> list[np.ndarray]:
     """For each trie a table [byte number, byte value] of permuted bits, to be or-ed; only the `top` bits change places."""
     out = []
@@ -207,67 +211,110 @@ def joined(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
         label = parent[label]
 
 
-def close_pairs(key: np.ndarray, seq: np.ndarray, run: np.ndarray, distance: int, seq_distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Verified edges among sorted rows that share a run number: a spanning forest of each run's pairs within both distances."""
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    begin, size = _borders(run)
-    small = size <= CROWD
-    for a, b in side_by_side(begin[small], size[small]):
-        hit = np.bitwise_count(key[a] ^ key[b]) <= distance
-        a, b = a[hit], b[hit]
-        hit = np.bitwise_count(seq[a] ^ seq[b]) <= seq_distance
-        left.append(a[hit])
-        right.append(b[hit])
-    for at, m in zip(begin[~small], size[~small]):
-        k, q = key[at : at + m], seq[at : at + m]
-        label = np.arange(m)
-        for i in range(m):  # each row against all later ones of other components, at once
-            rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
-            if not len(rest):
-                if (label == label[i]).all():
-                    break
-                continue
-            near = rest[np.bitwise_count(k[rest] ^ k[i]) <= distance]
-            near = near[np.bitwise_count(q[near] ^ q[i]) <= seq_distance]
-            if len(near):
-                others, first = np.unique(label[near], return_index=True)
-                left.append(np.full(len(first), at + i))
-                right.append(at + near[first])
-                label[np.isin(label, others)] = label[i]
-    a, b = np.concatenate(left), np.concatenate(right)
-    forest = joined(len(key), a, b)[1]
-    return a[forest], b[forest]
-
-
-def wide_pairs(key: np.ndarray, seq: np.ndarray, run: np.ndarray, sure: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of all pairs of a run within the wide limits, but for those that the sure edges connect already."""
-    label = joined(len(key), *sure)[0]
-    begin, size = _borders(run)
-    small = size <= CROWD
+def within(key: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of rows (the first one smaller) of keys that differ in at most `limit` bits, by tiles of all pairs."""
+    m = len(key)
+    for at in range(0, m, TILE):
+        own, rest = key[at : at + TILE], key[at:]
+        hit = np.flatnonzero(np.bitwise_count(own[:, None] ^ rest[None, :]).ravel() <= limit)
+        a, b = hit // len(rest), hit % len(rest)
+        later = a < b
+        yield a[later] + at, b[later] + at
+
+
+def near_pairs(key: np.ndarray, seq: np.ndarray, begin: np.ndarray, size: np.ndarray, limit: int, seq_limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of the pairs of rows of each run within both limits; a run's pairs are in one block."""
+    few = size <= FEW
     left, right, held = [], [], 0
-    for a, b in side_by_side(begin[small], size[small]):
-        hit = (np.bitwise_count(key[a] ^ key[b]) <= WIDE) & (label[a] != label[b])
+    for a, b in side_by_side(begin[few], size[few]):
+        hit = np.bitwise_count(key[a] ^ key[b]) <= limit
         a, b = a[hit], b[hit]
-        hit = np.bitwise_count(seq[a] ^ seq[b]) <= WIDE_SEQ
+        hit = np.bitwise_count(seq[a] ^ seq[b]) <= seq_limit
         left.append(a[hit])
         right.append(b[hit])
-        held += int(hit.sum())
-        if held > 100_000:
+    if left:
+        yield np.concatenate(left), np.concatenate(right)
+    left, right = [], []
+    for at, m in zip(begin[~few].tolist(), size[~few].tolist()):
+        for a, b in within(key[at : at + m], limit):
+            if len(a):
+                a, b = a + at, b + at
+                hit = np.bitwise_count(seq[a] ^ seq[b]) <= seq_limit
+                left.append(a[hit])
+                right.append(b[hit])
+                held += len(left[-1])
+        if held > 200_000:
             yield np.concatenate(left), np.concatenate(right)
             left, right, held = [], [], 0
     if left:
         yield np.concatenate(left), np.concatenate(right)
-    for at, m in zip(begin[~small], size[~small]):
-        left, right, held = [], [], 0
-        for i in range(at, at + m):
-            rest = np.flatnonzero(np.bitwise_count(key[i + 1 : at + m] ^ key[i]) <= WIDE) + i + 1
-            rest = rest[(np.bitwise_count(seq[rest] ^ seq[i]) <= WIDE_SEQ) & (label[rest] != label[i])]
-            left.append(np.full(len(rest), i))
-            right.append(rest)
-            held += len(rest)
-            if held > 100_000 or i == at + m - 1:
-                yield np.concatenate(left), np.concatenate(right)
-                left, right, held = [], [], 0
+
+
+def forest_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of some edges, ascending, the component of each, and which of the edges make up a spanning forest."""
+    rows, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label, keep = joined(len(rows), at[: len(a)], at[len(a) :])
+    return rows, label, keep
+
+
+def edges_of(key: np.ndarray, seq: np.ndarray, run: np.ndarray, distance: int, seq_distance: int, wide: bool) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+    """Verified edges (sure, a, b) among sorted rows that share a run number: a spanning forest of each run's pairs within both distances and, if wide, blocks of all pairs within the wide limits but for those that it connects."""
+    begin, size = _borders(run)
+    small = size <= CROWD
+    limits = (max(distance, WIDE), max(seq_distance, WIDE_SEQ)) if wide else (distance, seq_distance)
+    for a, b in near_pairs(key, seq, begin[small], size[small], *limits):
+        lex, of_pairs = np.bitwise_count(key[a] ^ key[b]), np.bitwise_count(seq[a] ^ seq[b])
+        sure = (lex <= distance) & (of_pairs <= seq_distance)
+        x, y = a[sure], b[sure]
+        rows, label, keep = forest_of(x, y)
+        yield True, x[keep], y[keep]
+        if wide:
+            rest = ~sure & (lex <= WIDE) & (of_pairs <= WIDE_SEQ)
+            a, b = a[rest], b[rest]
+            if len(rows) and len(a):
+                i, j = np.minimum(np.searchsorted(rows, a), len(rows) - 1), np.minimum(np.searchsorted(rows, b), len(rows) - 1)
+                apart = (rows[i] != a) | (rows[j] != b) | (label[i] != label[j])
+                a, b = a[apart], b[apart]
+            yield False, a, b
+    for at, m in zip(begin[~small].tolist(), size[~small].tolist()):
+        k, q = key[at : at + m], seq[at : at + m]
+        label, held = np.arange(m), [np.zeros((2, 0), np.int64)]
+        for a, b in within(k, limits[0]):  # tile by tile, without what is connected by then
+            apart = label[a] != label[b]
+            a, b = a[apart], b[apart]
+            lex, of_pairs = np.bitwise_count(k[a] ^ k[b]), np.bitwise_count(q[a] ^ q[b])
+            sure = (lex <= distance) & (of_pairs <= seq_distance)
+            if sure.any():
+                x, y = a[sure], b[sure]
+                rows, own, keep = forest_of(label[x], label[y])
+                yield True, at + x[keep], at + y[keep]
+                to = np.arange(m)
+                to[rows] = rows[own]
+                label = to[label]
+                if (label == label[0]).all():
+                    held.clear()
+                    break
+            if wide:
+                rest = ~sure & (lex <= WIDE) & (of_pairs <= WIDE_SEQ)
+                held.append(np.stack([a[rest], b[rest]]))
+                if sum(x.shape[1] for x in held) > 200_000:
+                    both = np.concatenate(held, axis=1)
+                    both = both[:, label[both[0]] != label[both[1]]]
+                    held = [both]
+                    if both.shape[1] > 100_000:
+                        yield False, at + both[0], at + both[1]
+                        held = [np.zeros((2, 0), np.int64)]
+        if wide and held:
+            both = np.concatenate(held, axis=1)
+            both = both[:, label[both[0]] != label[both[1]]]
+            yield False, at + both[0], at + both[1]
+
+
+def close_pairs(key: np.ndarray, seq: np.ndarray, run: np.ndarray, distance: int, seq_distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of each run's pairs within both distances."""
+    none = np.zeros(0, np.int64)
+    left, right = zip((none, none), *((a, b) for _, a, b in edges_of(key, seq, run, distance, seq_distance, False)))
+    return np.concatenate(left), np.concatenate(right)
 
 
 def runs_of(key: np.ndarray, depth: int) -> np.ndarray:
@@ -312,13 +359,12 @@ def _search(depth: int, distance: int, seq_distance: int, wide: bool, seed: int)
             for pick, runs in subtrees(key[rows], depth, plan, seed):
                 at = rows[pick]
                 own = key[at], seq[at], runs
-                edges = close_pairs(*own, distance, seq_distance)
-                for sure, blocks in ((True, [edges]), (False, wide_pairs(*own, edges) if wide else [])):
-                    for a, b in blocks:
-                        x, y = node[at][a], node[at][b]
-                        keep = x != y
-                        if keep.any():
-                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[keep]), pa.array(np.maximum(x, y)[keep]), pa.array(np.full(keep.sum(), sure))], ["a", "b", "sure"])
+                ids = node[at]
+                for sure, a, b in edges_of(*own, distance, seq_distance, wide):
+                    x, y = ids[a], ids[b]
+                    keep = x != y
+                    if keep.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[keep]), pa.array(np.maximum(x, y)[keep]), pa.array(np.full(keep.sum(), sure))], ["a", "b", "sure"])
 
     return run
 

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomsearch.llm import _text as T
-from loomsearch.llm import bloom_lm, packing, pii_tagger, queries
+from loomsearch.llm import bloom_lm, packing, pii_tagger, queries, simhash_forest
 
 SF = "/root/testdata/sf0.01"
 
@@ -170,3 +170,26 @@ def test_an_ngram_is_probed_once_in_many_texts_and_from_its_sure_level():
     n, total = bloom_lm.log_probabilities(next(T.slices(text)), lookup, 100)
     assert n.tolist() == [5, 5, 3] and total[0] == total[1]
     assert asked == [(1, 7, 7, 13), (2, 6, 6, 10), (3, 4, 4, 7)]
+
+
+@pytest.mark.parametrize("crowd", [20, 10_000])
+def test_pairs_of_subtrees_are_compared_by_tiles(monkeypatch, crowd):
+    monkeypatch.setattr(simhash_forest, "CROWD", crowd)
+    r = np.random.default_rng(5)
+    key = np.concatenate([r.integers(0, 1 << 63, 500).astype(np.uint64), np.uint64(1 << 40) ^ (np.uint64(1) << r.integers(0, 64, 200).astype(np.uint64))])[r.permutation(700)]
+    key[:300] ^= key[0] ^ (np.uint64(1) << r.integers(0, 60, 300).astype(np.uint64))
+    key, seq, run = key & np.uint64(0xFFFFFF0000), key & np.uint64(0xFF00), np.sort(r.integers(0, 3, 700))
+    asked = []
+    monkeypatch.setattr(simhash_forest, "side_by_side", lambda begin, size: (asked.extend(size.tolist()), iter(()))[1])
+    found = list(simhash_forest.edges_of(key, seq, run, 4, 3, True))
+    assert not asked  # only small runs are listed pair by pair
+    i, j = np.triu_indices(700, 1)
+    own = run[i] == run[j]
+    i, j = i[own], j[own]
+    lex, two = np.bitwise_count(key[i] ^ key[j]), np.bitwise_count(seq[i] ^ seq[j])
+    sure = (lex <= 4) & (two <= 3)
+    label = simhash_forest.joined(700, i[sure], j[sure])[0]
+    a, b = (np.concatenate([x[k] for x in found if x[0]]) for k in (1, 2))
+    assert len(a) == 700 - len(np.unique(label)) and (simhash_forest.joined(700, a, b)[0] == label).all()
+    rest = ~sure & (lex <= simhash_forest.WIDE) & (two <= simhash_forest.WIDE_SEQ) & (label[i] != label[j])
+    assert {(int(x), int(y)) for s, a, b in found if not s for x, y in zip(a, b)} == set(zip(i[rest].tolist(), j[rest].tolist()))
