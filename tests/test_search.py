@@ -208,3 +208,31 @@ def test_stored_text_index(spark, tmp_path):
     for q in ("database", "vector engine", "machine"):
         assert stored(q) == exact(now, q)
     assert [r["id"] for r in bm25.stored_search(spark, path, "engine", 1).collect()] == [6]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "ip"])
+@pytest.mark.parametrize("lists", [0, 40])
+def test_a_task_keeps_the_best_over_all_blocks_that_it_meets(monkeypatch, metric, lists):
+    r = np.random.default_rng(6)
+    v = r.normal(0, 1, (900, 16)) * np.repeat([1.0, 1e-3, 1e4], 300)[:, None]
+    v[100:140], v[200] = v[50], 0
+    ids, cid = r.permutation(900), r.integers(0, 40, 900).astype(np.int32)
+    probed = r.random((900, 40)) < 0.7
+    kind = search.Metric.parse(metric)
+    whole = []
+    monkeypatch.setattr(search, "pair_scores", lambda q, d, m, f=search.pair_scores: (whole.append(len(d)), f(q, d, m))[1])
+    rows = []
+    for b, at in enumerate(range(0, 900, 300)):
+        for x in range(0, 900, 300):
+            q, d = (slice(y, y + 300) for y in (at, x))
+            bits = np.packbits(probed[q], axis=1, bitorder="little").tobytes() if lists else b""
+            rows.append((b, ids[q].astype(np.int64).tobytes(), v[q].tobytes(), bits, ids[d].astype(np.int64).tobytes(), v[d].tobytes(), cid[d].tobytes() if lists else b""))
+    batch = search.pa.RecordBatch.from_arrays([search.pa.array(c) for c in zip(*rows)], list("abcdefg"))
+    out = search.pa.Table.from_batches(search._meet(7, kind, lists)(iter([batch]))).to_pydict()
+    assert len(out["id"]) == 900 * 7  # not 7 for each pair of blocks
+    assert sum(whole) < 9 * 300
+    s = search.pair_scores(v, v, kind)
+    if lists:
+        s = np.where(probed[:, cid], s, -np.inf)
+    row, at = search.best_of_block(s, ids, 7)
+    assert set(zip(out["query_id"], out["id"])) == set(zip(ids[row].tolist(), ids[at].tolist()))
