@@ -236,3 +236,25 @@ def test_a_task_keeps_the_best_over_all_blocks_that_it_meets(monkeypatch, metric
         s = np.where(probed[:, cid], s, -np.inf)
     row, at = search.best_of_block(s, ids, 7)
     assert set(zip(out["query_id"], out["id"])) == set(zip(ids[row].tolist(), ids[at].tolist()))
+
+
+def test_queries_walk_a_graph_together(spark, uniform):
+    for metric in search.Metric:
+        graph = hnsw.Graph(uniform, metric)
+        for i, level in enumerate(hnsw.levels(len(uniform))):
+            graph.insert(i, int(level))
+        row, node, score = graph.many(uniform, 5)
+        alone = [graph.search(q, 5) for q in uniform]
+        assert np.allclose(score.reshape(100, 5), [[s for s, _ in x] for x in alone]) and (np.diff(row) >= 0).all()
+    built = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for b in rows:
+            built.add(b.num_rows)
+            yield b
+
+    df = frame(spark, uniform)
+    graph = hnsw.build(df, shards=2)
+    counted = graph.mapInArrow(count, graph.schema)
+    asked = df.unionByName(df).unionByName(df)
+    assert hnsw.search_batch(asked, counted, 3).count() and built.value == graph.count()
